@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EMPTY = "array<bigint>"
@@ -27,3 +27,15 @@ def after(array, pos) -> Column:
     array = F.col(array) if isinstance(array, str) else array
     pos = F.col(pos) if isinstance(pos, str) else pos
     return F.slice(array, pos + 2, F.size(array))
+
+
+def computed(df: DataFrame, keep: list, **columns: Column) -> DataFrame:
+    """``df`` with ``keep`` and the given columns, each evaluated once per row.
+
+    A filter on a projected column is pushed below the projection with the
+    column's expression copied into it, so an array intersection would run again
+    for every mention. Filters do not move below a generator, which makes the
+    one-row ``inline`` a boundary for them.
+    """
+    row = F.struct(*(column.alias(name) for name, column in columns.items()))
+    return df.select(*keep, F.inline(F.array(row)))

@@ -6,14 +6,15 @@ rank order. One level explodes ``ext`` to the vertex that joins next, fetches
 that vertex's list with an equi-join and intersects it with the rest of ``ext``.
 The last level is never built: its size is the sum of the ``ext`` sizes.
 
-Strategies differ only in the table the level step joins:
-
-* ``join``       the ranked lists, keyed by vertex; the planner picks the join.
-* ``broadcast``  the same lists under a broadcast hint, if their measured size
-  is within ``max_broadcast_bytes``; otherwise as ``join``.
-* ``ego``        the lists restricted to the neighborhood of the clique's first
-  member, keyed by (first member, vertex). A hub's rows spread over all the
-  neighborhoods it occurs in.
+Strategies differ only in how the level step fetches a list:
+
+* ``join``       a shuffle join with the ranked lists, keyed by vertex.
+* ``ego``        a shuffle join with the lists restricted to the neighborhood of
+  the clique's first member, keyed by (first member, vertex). A hub's rows
+  spread over all the neighborhoods it occurs in.
+* ``broadcast``  the ranked lists are broadcast if their measured size is within
+  ``max_broadcast_bytes``; otherwise as ``join``.
+* ``auto``       ``broadcast`` within that bound, ``ego`` beyond it.
 """
 
 from __future__ import annotations
@@ -23,13 +24,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tightknit.functions.arrays import after, empty_list, ordered_intersect
+from tightknit.functions.arrays import after, computed, empty_list, ordered_intersect
 from tightknit.operators.graph import vertices_of
 from tightknit.plans.ranked import RankedGraph, rank_graph
-from tightknit.plans.stable import stable
+from tightknit.plans.stable import MAX_BROADCAST_BYTES, fetch_side, list_bytes, stable
 
-STRATEGIES = ("join", "broadcast", "ego")
-MAX_BROADCAST_BYTES = 256 << 20
+STRATEGIES = ("auto", "join", "broadcast", "ego")
 
 
 def init_frontier(adj: DataFrame) -> DataFrame:
@@ -42,11 +42,9 @@ def bound_prune(frontier: DataFrame, k: int) -> DataFrame:
     return frontier.filter(F.size("clique") + F.size("ext") >= k)
 
 
-def expand(frontier: DataFrame, adj: DataFrame, strategy: str = "join") -> DataFrame:
+def expand(frontier: DataFrame, adj: DataFrame) -> DataFrame:
     """All children ``(clique, ext)`` of all states, for lists oriented like ``ext``."""
-    lists = adj.select(F.col("v").alias("w"), "nbrs")
-    if strategy == "broadcast":
-        lists = F.broadcast(lists)
+    lists = adj.select(F.col("v").alias("w"), "nbrs").hint("merge")
     return (
         frontier.select("clique", "ext", F.explode("ext").alias("w"))
         .join(lists, "w", "left")
@@ -60,7 +58,7 @@ def expand(frontier: DataFrame, adj: DataFrame, strategy: str = "join") -> DataF
 def count_kcliques(
     edges: DataFrame,
     k: int,
-    strategy: str = "join",
+    strategy: str = "auto",
     order: str = "degree",
     vertices: DataFrame | None = None,
     seed: int = 0,
@@ -78,7 +76,7 @@ def count_kcliques(
     return _size_row(levels[k - 1].agg(F.sum(F.size("ext")).alias("n")), k)
 
 
-def triangle_count(edges: DataFrame, strategy: str = "join", order: str = "degree") -> DataFrame:
+def triangle_count(edges: DataFrame, strategy: str = "auto", order: str = "degree") -> DataFrame:
     """``(n_triangles)``"""
     return count_kcliques(edges, 3, strategy, order).select(F.col("n_cliques").alias("n_triangles"))
 
@@ -86,7 +84,7 @@ def triangle_count(edges: DataFrame, strategy: str = "join", order: str = "degre
 def clique_histogram(
     edges: DataFrame,
     k: int,
-    strategy: str = "join",
+    strategy: str = "auto",
     order: str = "degree",
     vertices: DataFrame | None = None,
     seed: int = 0,
@@ -113,7 +111,7 @@ def clique_histogram(
 def kcliques(
     edges: DataFrame,
     k: int,
-    strategy: str = "join",
+    strategy: str = "auto",
     order: str = "degree",
     vertices: DataFrame | None = None,
     seed: int = 0,
@@ -131,14 +129,14 @@ def kcliques(
     return _complete(levels[k - 1])
 
 
-def triangles(edges: DataFrame, strategy: str = "join", order: str = "degree") -> DataFrame:
+def triangles(edges: DataFrame, strategy: str = "auto", order: str = "degree") -> DataFrame:
     return kcliques(edges, 3, strategy, order)
 
 
 def cliques_upto(
     edges: DataFrame,
     k: int,
-    strategy: str = "join",
+    strategy: str = "auto",
     order: str = "degree",
     vertices: DataFrame | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
@@ -158,7 +156,7 @@ def cliques_per_anchor(
     edges: DataFrame,
     k: int,
     anchor: str = "min",
-    strategy: str = "join",
+    strategy: str = "auto",
     order: str = "degree",
     vertices: DataFrame | None = None,
 ) -> DataFrame:
@@ -174,20 +172,21 @@ def cliques_per_anchor(
     )
 
 
-def wedge_closures(out: DataFrame, how: str = "inner") -> DataFrame:
+def wedge_closures(out: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
     """``(anchor, w, pos, ext)`` per ranked edge anchor-w: the triangles above it.
 
     ``ext`` lists the common higher-ranked neighbors in rank order, ``pos`` is
     the place of w in the anchor's list. Only the part of the list behind w is
-    shipped. With ``how='inner'`` edges whose w has no list are left out.
+    shipped. ``lists(w, nbrs)`` is the side to fetch from; with ``how='inner'``
+    edges that close no triangle are left out.
     """
     starts = out.select("v", "nbrs", F.posexplode("nbrs").alias("pos", "w"))
     starts = starts.select(F.col("v").alias("anchor"), "w", "pos", after("nbrs", "pos").alias("rest"))
     if how == "inner":
         starts = starts.filter(F.size("rest") > 0)
-    lists = out.select(F.col("v").alias("w"), "nbrs")
     ext = ordered_intersect("rest", F.coalesce("nbrs", empty_list()))
-    return starts.join(lists, "w", how).select("anchor", "w", "pos", ext.alias("ext"))
+    closed = computed(starts.join(lists, "w", how), ["anchor", "w", "pos"], ext=ext)
+    return closed.filter(F.size("ext") > 0) if how == "inner" else closed
 
 
 def _levels(
@@ -203,20 +202,21 @@ def _levels(
     With ``prune`` states and candidates that cannot reach size k are dropped.
     """
     out = graph.out
-    if strategy == "broadcast" and _list_bytes(out) <= max_broadcast_bytes:
-        out_lists = F.broadcast(out)
-    else:
-        out_lists = out
+    n_bytes = list_bytes(out, "n_out") if strategy in ("auto", "broadcast") else None
+    if strategy == "auto" and n_bytes > max_broadcast_bytes:
+        strategy = "ego"
+    lists = fetch_side(out.select(F.col("v").alias("w"), "nbrs"), n_bytes, max_broadcast_bytes)
 
     start = out.filter(F.col("n_out") >= k - 1) if prune else out
-    start = start.select("v", F.col("nbrs").alias("ext"), *_members(members, F.array("v")))
-    keys = ["anchor", "w"] if strategy == "ego" else ["w"]
-    lists = out_lists.select(F.col("v").alias("w"), "nbrs")
-    frontier = _grow(start.withColumnRenamed("v", "anchor"), lists, ["w"], 1, k, members, prune)
+    start = start.select(
+        F.col("v").alias("anchor"), F.col("nbrs").alias("ext"), *_carry(members, F.array("v"))
+    )
+    keys = ["w"]
+    frontier = _grow(start, lists, keys, 1, k, members, prune)
     levels = {2: frontier}
     if strategy == "ego" and k > 3:
-        lists = wedge_closures(out).select("anchor", "w", F.col("ext").alias("nbrs"))
-        lists = stable(lists.filter(F.size("nbrs") > 0))
+        local = wedge_closures(out, lists).select("anchor", "w", F.col("ext").alias("nbrs"))
+        lists, keys = stable(local).hint("merge"), ["anchor", "w"]
     for size in range(2, k - 1):
         frontier = _grow(frontier, lists, keys, size, k, members, prune)
         levels[size + 1] = frontier
@@ -226,24 +226,21 @@ def _levels(
 def _grow(frontier, lists, keys, size, k, members, prune) -> DataFrame:
     """Frontier of cliques with ``size`` + 1 members from the one with ``size``."""
     missing = k - size if prune else 2
-    fan = frontier.select(
-        "anchor", "ext", *_members(members, F.col("clique") if members else None),
-        F.posexplode("ext").alias("pos", "w"),
-    )
+    fan = frontier.select("anchor", *_carry(members, "clique"), "ext", F.posexplode("ext").alias("pos", "w"))
     # w needs at least missing - 1 candidates behind it.
-    fan = fan.filter(F.size("ext") - F.col("pos") >= missing)
-    fan = fan.select(
+    fan = fan.filter(F.size("ext") - F.col("pos") >= missing).select(
         "anchor", "w", after("ext", "pos").alias("rest"),
-        *_members(members, F.concat("clique", F.array("w")) if members else None),
+        *_carry(members, F.array_append("clique", F.col("w"))),
     )
-    grown = fan.join(lists, keys).select(
-        "anchor", ordered_intersect("rest", "nbrs").alias("ext"),
-        *_members(members, F.col("clique") if members else None),
+    grown = computed(
+        fan.join(lists, keys), ["anchor", *_carry(members, "clique")],
+        ext=ordered_intersect("rest", "nbrs"),
     )
     return grown.filter(F.size("ext") >= missing - 1)
 
 
-def _members(members: bool, clique) -> list:
+def _carry(members: bool, clique) -> list:
+    clique = F.col(clique) if isinstance(clique, str) else clique
     return [clique.alias("clique")] if members else []
 
 
@@ -270,12 +267,6 @@ def _all_vertices(edges: DataFrame, vertices: DataFrame | None) -> DataFrame:
     return found if vertices is None else found.unionByName(vertices.select("v")).distinct()
 
 
-def _list_bytes(out: DataFrame) -> int:
-    """In-memory size of the ranked lists: 8 bytes per id and 64 per row."""
-    row = out.agg(F.sum(F.col("n_out").cast("bigint") * 8 + 64).alias("n")).first()
-    return row.n or 0
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

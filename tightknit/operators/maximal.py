@@ -27,11 +27,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tightknit.functions.arrays import empty_list, ordered_intersect
+from tightknit.functions.arrays import computed, empty_list, ordered_intersect
 from tightknit.operators.graph import degrees, symmetrize
 from tightknit.operators.kclique import wedge_closures
 from tightknit.plans.ranked import rank_graph
-from tightknit.plans.stable import stable
+from tightknit.plans.stable import MAX_BROADCAST_BYTES, fetch_side, list_bytes, stable, stable_counting
 
 
 def maximal_cliques(
@@ -41,6 +41,7 @@ def maximal_cliques(
     vertices: DataFrame | None = None,
     min_size: int = 1,
     seed: int = 0,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """All maximal cliques of at least ``min_size`` members.
 
@@ -48,22 +49,23 @@ def maximal_cliques(
     ``vertices`` adds isolated vertices, each a maximal clique of size 1.
     """
     graph = rank_graph(edges, order, seed)
-    found = _search(graph.out, pivot, min_size)
+    found = _search(graph.out, pivot, min_size, max_broadcast_bytes)
+    # The hash leads the join key because arrays sort and compare slowly.
+    key = ["hash", "members"]
+    hashed = F.xxhash64("members").alias("hash")
+    from_second = F.transform(
+        F.sequence(F.lit(2), F.size("members") - 1),
+        lambda i: F.slice("members", i, F.size("members")),
+    )
     suffixes = (
         found.filter(F.size("members") > 2)
-        .select(
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(2), F.size("members") - 1),
-                    lambda i: F.slice("members", i, F.size("members")),
-                )
-            ).alias("members")
-        )
+        .select(F.explode(from_second).alias("members"))
+        .select(hashed, "members")
         .distinct()
+        .hint("merge")
     )
-    cliques = found.join(suffixes, "members", "left_anti").select(
-        F.sort_array("members").alias("clique")
-    )
+    cliques = found.select(hashed, "members").join(suffixes, key, "left_anti")
+    cliques = cliques.select(F.sort_array("members").alias("clique"))
     if vertices is not None and min_size <= 1:
         isolated = vertices.select("v").distinct().join(graph.vertices, "v", "left_anti")
         cliques = cliques.unionByName(isolated.select(F.array("v").alias("clique")))
@@ -127,26 +129,21 @@ def is_maximal(cliques: DataFrame, edges: DataFrame) -> DataFrame:
     return cliques.join(reduce(DataFrame.unionByName, extended).distinct(), "clique", "left_anti")
 
 
-def _neighborhoods(out: DataFrame) -> DataFrame:
+def _neighborhoods(out: DataFrame, max_broadcast_bytes: int) -> DataFrame:
     """``(anchor, m, pos, nbrs)``: for every higher-ranked neighbor m of an anchor,
     its place in the anchor's list and its neighbors inside that list."""
-    own = wedge_closures(out, "left")
+    lists = out.select(F.col("v").alias("w"), "nbrs")
+    lists = fetch_side(lists, list_bytes(out, "n_out"), max_broadcast_bytes)
     # Each triangle anchor-w-b is seen once, from w; b gets its share of it here.
-    views = own.select(
-        "anchor",
-        F.inline(
-            F.concat(
-                F.array(F.struct(F.col("w").alias("m"), "pos", "ext", F.lit(None).cast("bigint").alias("low"))),
-                F.transform(
-                    "ext",
-                    lambda b: F.struct(
-                        b.alias("m"), F.lit(None).cast("int").alias("pos"),
-                        F.lit(None).cast("array<bigint>").alias("ext"), F.col("w").alias("low"),
-                    ),
-                ),
-            )
+    own = F.struct(F.col("w").alias("m"), "pos", "ext", F.lit(None).cast("bigint").alias("low"))
+    share = F.transform(
+        "ext",
+        lambda b: F.struct(
+            b.alias("m"), F.lit(None).cast("int").alias("pos"),
+            F.lit(None).cast("array<bigint>").alias("ext"), F.col("w").alias("low"),
         ),
     )
+    views = wedge_closures(out, lists, "left").select("anchor", F.inline(F.concat(F.array(own), share)))
     return views.groupBy("anchor", "m").agg(
         F.max("pos").alias("pos"),
         F.concat(
@@ -156,11 +153,12 @@ def _neighborhoods(out: DataFrame) -> DataFrame:
     )
 
 
-def _search(out: DataFrame, pivot: bool, min_size: int) -> DataFrame:
+def _search(out: DataFrame, pivot: bool, min_size: int, max_broadcast_bytes: int) -> DataFrame:
     """Cliques ``members`` (rank order) that nothing above their first member extends."""
-    local = stable(_neighborhoods(out))
-    start = out.filter(F.col("n_out") + 1 >= min_size)
-    live = start.select(
+    local = _neighborhoods(out, max_broadcast_bytes)
+    local = stable(local.withColumn("n", F.size("nbrs")))
+    lists = fetch_side(local.drop("n"), list_bytes(local, "n"), max_broadcast_bytes)
+    live = out.filter(F.col("n_out") + 1 >= min_size).select(
         F.col("v").alias("anchor"),
         F.array().cast("array<struct<pos:int,id:bigint>>").alias("clique"),
         F.col("nbrs").alias("pool"),
@@ -168,40 +166,35 @@ def _search(out: DataFrame, pivot: bool, min_size: int) -> DataFrame:
     )
     rounds = []
     while True:
-        table = stable(_branch(live, local, pivot, min_size))
+        table, n_live = stable_counting(_branch(live, lists, pivot, min_size), F.col("n_pool") > 0)
         rounds.append(
             table.filter(F.col("n_pool") == 0).select(
                 F.concat(F.array("anchor"), F.sort_array("clique")["id"]).alias("members")
             )
         )
+        if n_live == 0:
+            return reduce(DataFrame.unionByName, rounds)
         live = table.filter(F.col("n_pool") > 0)
-        if live.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, rounds)
 
 
-def _branch(live: DataFrame, local: DataFrame, pivot: bool, min_size: int) -> DataFrame:
+def _branch(live: DataFrame, lists: DataFrame, pivot: bool, min_size: int) -> DataFrame:
     """Children of the live states, finished (empty pool) or with candidates left."""
+    state = ["anchor", "clique", "pool", "done"]
     branches = F.array_except("pool", "done")
     if pivot:
         # The last of the pool is its vertex of highest rank.
-        live = live.withColumn("p", F.element_at("pool", -1)).join(
-            local.select("anchor", F.col("m").alias("p"), F.col("nbrs").alias("p_nbrs")),
-            ["anchor", "p"],
-        )
-        branches = F.array_except(branches, "p_nbrs")
-    live = live.select("anchor", "clique", "pool", "done", branches.alias("branches"))
-    fan = live.select(
-        "anchor", "clique", "pool", "done", "branches", F.posexplode("branches").alias("i", "m")
-    ).select(
+        live = live.withColumn("m", F.element_at("pool", -1)).join(lists, ["anchor", "m"])
+        branches = F.array_except(branches, "nbrs")
+    live = computed(live, state, branches=branches)
+    fan = live.select(*state, "branches", F.posexplode("branches").alias("i", "m")).select(
         "anchor", "clique", "pool", "m",
         F.concat("done", F.slice("branches", F.lit(1), F.col("i"))).alias("done"),
     )
-    child = fan.join(local, ["anchor", "m"]).select(
-        "anchor",
-        F.array_append("clique", F.struct("pos", F.col("m").alias("id"))).alias("clique"),
-        ordered_intersect("pool", "nbrs").alias("pool"),
-        ordered_intersect("done", "nbrs").alias("done"),
+    child = computed(
+        fan.join(lists, ["anchor", "m"]), ["anchor"],
+        clique=F.array_append("clique", F.struct("pos", F.col("m").alias("id"))),
+        pool=ordered_intersect("pool", "nbrs"),
+        done=ordered_intersect("done", "nbrs"),
     )
     n_pool, n_done = F.size("pool"), F.size("done")
     reach = 1 + F.size("clique") + n_pool - n_done

@@ -72,9 +72,10 @@ def rank_graph(
         F.when(up, F.col("src")).otherwise(F.col("dst")).alias("v"),
         F.when(up, F.col("dst_rank")).otherwise(F.col("src_rank")).alias("w"),
     )
+    oriented = oriented.repartition(num_partitions or _list_partitions(vertices), "v")
     out = oriented.groupBy("v").agg(F.sort_array(F.collect_list("w")).alias("w"))
     out = out.select("v", F.size("w").alias("n_out"), F.col("w.v").alias("nbrs"))
-    return RankedGraph(vertices, stable(out.repartition(num_partitions or _list_partitions(vertices))))
+    return RankedGraph(vertices, stable(out))
 
 
 def _list_partitions(vertices: DataFrame) -> int:

@@ -13,7 +13,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_BYTES = 256 << 20
 
 _own_folders: dict[str, str] = {}
 
@@ -41,6 +44,34 @@ def stable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """``stable(df)`` and the number of its rows that meet ``condition``, from the same pass.
+
+    A retried task may be counted twice; use the number to tell none from some.
+    """
+    seen = Observation()
+    table = stable(df.observe(seen, F.count_if(condition).alias("n")))
+    return table, seen.get["n"]
+
+
+def fetch_side(table: DataFrame, n_bytes: int | None, limit: int) -> DataFrame:
+    """``table`` as the side of an equi-join that rows are looked up in.
+
+    Broadcast if its measured in-memory size ``n_bytes`` is within ``limit``;
+    otherwise a shuffled sort-merge join, which spills and which adaptive
+    execution splits at hub keys. Without a hint the planner could broadcast the
+    other side, whose size it underestimates: an explode counts as one row out.
+    """
+    if n_bytes is not None and n_bytes <= limit:
+        return F.broadcast(table)
+    return table.hint("merge")
+
+
+def list_bytes(table: DataFrame, length: str) -> int:
+    """In-memory size of a table of id lists: 8 bytes per id and 64 per row."""
+    return table.agg(F.sum(F.col(length).cast("bigint") * 8 + 64)).first()[0] or 0
+
+
 def clear_tables(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results read from them end here."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(table_folder(spark))
