@@ -8,12 +8,10 @@ from tightknit.plans import stable as stable_module
 from tightknit.plans.ranked import LIST_BOUND, rank_graph
 
 CORE = [(a, b) for a in range(6) for b in range(a + 1, 6)]
-# Vertex 0 is an end of well over a third of all edges; 1 and 2 share its neighbors in part.
+# Three hubs are an end of nearly all edges, each of over a quarter, and share their neighbors.
 HUB = (
     CORE
-    + [(0, v) for v in range(100, 3100)]
-    + [(1, v) for v in range(100, 1100)]
-    + [(2, v) for v in range(100, 600)]
+    + [(hub, v) for hub in range(3) for v in range(100, 3100)]
     + [(v, v + 1) for v in range(100, 1500)]
 )
 
@@ -49,7 +47,7 @@ def test_degree_order_bounds_every_list(hub):
     graph = rank_graph(hub)
     longest = graph.out.agg({"n_out": "max"}).first()[0]
     assert longest <= (2 * len(HUB)) ** 0.5
-    assert graph.out.filter("v = 0").count() == 0  # the hub ranks last
+    assert {r.v: r.n_out for r in graph.out.filter("v < 3").collect()} == {0: 2, 1: 1}  # hub 2 ranks last
 
 
 @pytest.mark.parametrize("order", ["id", "random"])
@@ -57,7 +55,7 @@ def test_other_orders_bound_hub_lists_too(hub, order):
     graph = rank_graph(hub, order, list_bound=50)
     assert graph.out.agg({"n_out": "max"}).first()[0] <= max(50, (2 * len(HUB)) ** 0.5)
     unbounded = rank_graph(hub, "id", list_bound=LIST_BOUND)
-    assert unbounded.out.agg({"n_out": "max"}).first()[0] >= 3000
+    assert unbounded.out.agg({"n_out": "max"}).first()[0] >= 3000 - 2
 
 
 @pytest.mark.parametrize("strategy", ["join", "ego"])
@@ -69,15 +67,20 @@ def test_hub_counts_without_broadcast(hub, no_broadcast, strategy):
     assert "BroadcastHashJoin" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_hub_key_is_split_by_the_adaptive_skew_join(spark, hub, no_broadcast):
+def test_hub_key_is_split_by_the_adaptive_skew_join(hub, no_broadcast):
+    """Every neighbor of the hubs looks a hub's list up: a quarter of all rows under one key."""
     found, _ = brute_cliques(HUB, 3)
-    plans = []
-    count = tk.count_kcliques(hub, 3, "join", order="id")
-    plans.append(final_plan(count))
+    count = tk.count_kcliques(hub, 3, "join")
+    assert "skew=true" in final_plan(count)
     assert count.first().n_cliques == len(found[3])
-    ends = hub.join(tk.stable(tk.degrees(hub)).withColumnRenamed("v", "src"), "src")
-    plans.append(final_plan(ends))
-    assert "skew=true" in plans[1]
+
+
+def test_rank_join_splits_hubs(hub, no_broadcast):
+    """The joins that attach ranks to edges have a stored table on both sides."""
+    degrees = tk.stable(tk.degrees(hub))
+    ends = hub.join(degrees.withColumnRenamed("v", "src"), "src")
+    assert "skew=true" in final_plan(ends)
+    assert ends.count() == hub.count()
 
 
 def test_hub_maximal_cliques_without_broadcast(hub, no_broadcast):
@@ -94,10 +97,8 @@ def test_broadcast_needs_a_measured_size(hub):
 
 
 def test_histogram_levels_share_their_shuffles(hub, no_broadcast):
-    plan = tk.clique_histogram(hub, 5, "join")._jdf.queryExecution()
     hist = tk.clique_histogram(hub, 5, "join")
     assert "ReusedExchange" in final_plan(hist)
-    assert plan is not None
 
 
 def test_last_level_is_not_built(hub):

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tightknit.plans.ranked import LIST_BOUND
-from tightknit.plans.stable import stable
+from tightknit.plans.stable import LIST_BOUND, stable
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tightknit.functions.arrays import after, computed, empty_list, ordered_intersect
 from tightknit.operators.graph import vertices_of
 from tightknit.plans.ranked import RankedGraph, rank_graph
-from tightknit.plans.stable import MAX_BROADCAST_BYTES, fetch_side, list_bytes, stable
+from tightknit.plans.stable import MAX_BROADCAST_BYTES, fetch_side, stable
 
 STRATEGIES = ("auto", "join", "broadcast", "ego")
 
@@ -72,7 +72,7 @@ def count_kcliques(
     if k == 2:
         return _size_row(edges.agg(F.count(F.lit(1)).alias("n")), 2)
     graph = rank_graph(edges, order, seed, num_partitions)
-    levels = _levels(graph, k, strategy, max_broadcast_bytes)
+    levels = _levels(graph, k, strategy, max_broadcast_bytes, num_partitions=num_partitions)
     return _size_row(levels[k - 1].agg(F.sum(F.size("ext")).alias("n")), k)
 
 
@@ -100,7 +100,9 @@ def clique_histogram(
     parts = [count_kcliques(edges, size, vertices=vertices) for size in range(1, min(k, 2) + 1)]
     if k > 2:
         graph = rank_graph(edges, order, seed, num_partitions)
-        levels = _levels(graph, k, strategy, max_broadcast_bytes, prune=False)
+        levels = _levels(
+            graph, k, strategy, max_broadcast_bytes, prune=False, num_partitions=num_partitions
+        )
         parts += [
             _size_row(levels[size - 1].agg(F.sum(F.size("ext")).alias("n")), size)
             for size in range(3, k + 1)
@@ -125,7 +127,9 @@ def kcliques(
     if k == 2:
         return _clique_rows(edges.select(F.array("src", "dst").alias("clique")))
     graph = rank_graph(edges, order, seed, num_partitions)
-    levels = _levels(graph, k, strategy, max_broadcast_bytes, members=True)
+    levels = _levels(
+        graph, k, strategy, max_broadcast_bytes, members=True, num_partitions=num_partitions
+    )
     return _complete(levels[k - 1])
 
 
@@ -196,33 +200,46 @@ def _levels(
     max_broadcast_bytes: int,
     members: bool = False,
     prune: bool = True,
+    num_partitions: int | None = None,
 ) -> dict[int, DataFrame]:
     """Frontiers by clique size, 2..k-1; ``clique`` is carried if ``members``.
 
     With ``prune`` states and candidates that cannot reach size k are dropped.
     """
     out = graph.out
-    n_bytes = list_bytes(out, "n_out") if strategy in ("auto", "broadcast") else None
-    if strategy == "auto" and n_bytes > max_broadcast_bytes:
-        strategy = "ego"
-    lists = fetch_side(out.select(F.col("v").alias("w"), "nbrs"), n_bytes, max_broadcast_bytes)
-
-    start = out.filter(F.col("n_out") >= k - 1) if prune else out
-    start = start.select(
-        F.col("v").alias("anchor"), F.col("nbrs").alias("ext"), *_carry(members, F.array("v"))
-    )
+    if strategy == "auto":
+        strategy = "broadcast" if graph.n_bytes <= max_broadcast_bytes else "ego"
+    limit = max_broadcast_bytes if strategy == "broadcast" else 0
+    lists = fetch_side(out.select(F.col("v").alias("w"), "nbrs"), graph.n_bytes, limit)
+
     keys = ["w"]
-    frontier = _grow(start, lists, keys, 1, k, members, prune)
-    levels = {2: frontier}
     if strategy == "ego" and k > 3:
-        local = wedge_closures(out, lists).select("anchor", "w", F.col("ext").alias("nbrs"))
-        lists, keys = stable(local).hint("merge"), ["anchor", "w"]
+        # The restricted lists are the states of size 2 as well.
+        local = stable(wedge_closures(out, lists).drop("pos"))
+        frontier = local.select("anchor", *_carry(members, F.array("anchor", "w")), "ext")
+        if prune:
+            frontier = frontier.filter(F.size("ext") >= k - 2)
+        lists, keys = local.withColumnRenamed("ext", "nbrs").hint("merge"), ["anchor", "w"]
+    else:
+        start = out.filter(F.col("n_out") >= k - 1) if prune else out
+        start = start.select(
+            F.col("v").alias("anchor"), *_carry(members, F.array("v")), F.col("nbrs").alias("ext")
+        )
+        frontier = _grow(start, lists, keys, 1, k, members, prune)
+    levels = {2: frontier}
     for size in range(2, k - 1):
+        if strategy == "broadcast" and size == min(3, k - 2):
+            # Without a shuffle join all cliques of a vertex would grow in its task.
+            frontier = frontier.repartition(num_partitions or _spread(out))
         frontier = _grow(frontier, lists, keys, size, k, members, prune)
         levels[size + 1] = frontier
     return levels
 
 
+def _spread(table: DataFrame) -> int:
+    return 4 * table.sparkSession.sparkContext.defaultParallelism
+
+
 def _grow(frontier, lists, keys, size, k, members, prune) -> DataFrame:
     """Frontier of cliques with ``size`` + 1 members from the one with ``size``."""
     missing = k - size if prune else 2

@@ -3,21 +3,22 @@
 Search and proof of maximality are split so that no step needs the full
 neighbor list of a hub.
 
-1. *Search.* Each vertex a is the anchor of a search among its higher-ranked
+1. *Search.* Each vertex is the anchor of a search among its higher-ranked
    neighbors only. A state holds the clique, ``pool`` (the common neighbors of
-   the clique inside that neighborhood, in rank order) and ``done`` (the pool
-   members an earlier branch has dealt with). One round picks a pivot, branches
-   on the candidates not adjacent to it, and intersects pool and done with the
-   branch vertex's list; an empty pool means that nothing above the anchor
-   extends the clique. Lists are those of the neighborhood, keyed by (anchor,
-   vertex) and bounded by sqrt(2E).
-2. *Proof.* A clique C found in step 1 can only be extended by a vertex ranked
-   below its anchor. If there is one, C together with it lies in some found
-   clique D with a lower anchor, and the members of D from C's anchor upward are
-   C itself, because nothing above C's anchor extends C. So the maximal cliques
-   are the found ones that are no proper suffix, in rank order, of another:
-   one anti-join. Every found clique is a suffix of a maximal one, so the tables
-   stay within (largest clique) x (size of the result).
+   the clique inside that neighborhood) and ``done`` (the pool members that an
+   earlier branch has dealt with). One round picks a pivot, branches on the
+   candidates not adjacent to it, and intersects pool and done with the branch
+   vertex's list; an empty pool means that nothing above the anchor extends the
+   clique. The lists are those of the neighborhood, keyed by (anchor, vertex)
+   and bounded by sqrt(2E).
+2. *Proof.* A clique C found in step 1 can only be extended by vertices ranked
+   below its anchor. If there are any, let u be the highest. Nothing above u
+   extends C with u, so that clique has been found too, and C is what remains
+   of it without its first member. Hence the maximal cliques are the found ones
+   that are not another found one's remainder: a single anti-join.
+
+Every found clique ends a maximal one in rank order, so the tables stay within
+(largest clique) x (size of the result).
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from tightknit.functions.arrays import computed, empty_list, ordered_intersect
 from tightknit.operators.graph import degrees, symmetrize
 from tightknit.operators.kclique import wedge_closures
-from tightknit.plans.ranked import rank_graph
-from tightknit.plans.stable import MAX_BROADCAST_BYTES, fetch_side, list_bytes, stable, stable_counting
+from tightknit.plans.ranked import RankedGraph, rank_graph
+from tightknit.plans.stable import MAX_BROADCAST_BYTES, fetch_side, list_bytes, stable, stable_measured
 
 
 def maximal_cliques(
@@ -49,22 +50,14 @@ def maximal_cliques(
     ``vertices`` adds isolated vertices, each a maximal clique of size 1.
     """
     graph = rank_graph(edges, order, seed)
-    found = _search(graph.out, pivot, min_size, max_broadcast_bytes)
+    found = _search(graph, pivot, min_size, max_broadcast_bytes)
     # The hash leads the join key because arrays sort and compare slowly.
-    key = ["hash", "members"]
-    hashed = F.xxhash64("members").alias("hash")
-    from_second = F.transform(
-        F.sequence(F.lit(2), F.size("members") - 1),
-        lambda i: F.slice("members", i, F.size("members")),
+    key = [F.xxhash64("members").alias("hash"), "members"]
+    remainders = found.filter(F.size("members") > 2).select(
+        F.slice("members", F.lit(2), F.size("members")).alias("members")
     )
-    suffixes = (
-        found.filter(F.size("members") > 2)
-        .select(F.explode(from_second).alias("members"))
-        .select(hashed, "members")
-        .distinct()
-        .hint("merge")
-    )
-    cliques = found.select(hashed, "members").join(suffixes, key, "left_anti")
+    remainders = remainders.select(*key).distinct().hint("merge")
+    cliques = found.select(*key).join(remainders, ["hash", "members"], "left_anti")
     cliques = cliques.select(F.sort_array("members").alias("clique"))
     if vertices is not None and min_size <= 1:
         isolated = vertices.select("v").distinct().join(graph.vertices, "v", "left_anti")
@@ -108,13 +101,13 @@ def is_maximal(cliques: DataFrame, edges: DataFrame) -> DataFrame:
     arcs = stable(symmetrize(edges).toDF("m", "x"))
     weight = stable(degrees(edges)).select(F.col("v").alias("m"), "degree")
     member = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "m")
+    members = F.sort_array(F.collect_set(member))["m"]
     wanted = stable(
-        cliques.select("clique").distinct()
-        .select("clique", F.explode("clique").alias("m"))
+        cliques.select(F.xxhash64("clique").alias("hash"), "clique", F.explode("clique").alias("m"))
         .join(weight, "m", "left")
-        .groupBy("clique")
-        .agg(F.sort_array(F.collect_list(member)).alias("members"))
-        .select("clique", F.col("members.m").alias("members"), F.size("members").alias("n"))
+        .groupBy("hash", "clique")
+        .agg(members.alias("members"))
+        .select("clique", "members", F.size("members").alias("n"))
     )
     largest = wanted.agg(F.max("n")).first()[0] or 0
 
@@ -129,11 +122,12 @@ def is_maximal(cliques: DataFrame, edges: DataFrame) -> DataFrame:
     return cliques.join(reduce(DataFrame.unionByName, extended).distinct(), "clique", "left_anti")
 
 
-def _neighborhoods(out: DataFrame, max_broadcast_bytes: int) -> DataFrame:
-    """``(anchor, m, pos, nbrs)``: for every higher-ranked neighbor m of an anchor,
-    its place in the anchor's list and its neighbors inside that list."""
-    lists = out.select(F.col("v").alias("w"), "nbrs")
-    lists = fetch_side(lists, list_bytes(out, "n_out"), max_broadcast_bytes)
+def _neighborhoods(graph: RankedGraph, max_broadcast_bytes: int) -> DataFrame:
+    """``(anchor, m, pos, n_low, nbrs)``: for every higher-ranked neighbor m of an
+    anchor, its place in the anchor's list and its neighbors inside that list,
+    the ``n_low`` ones ranked below m first, the others in rank order."""
+    lists = graph.out.select(F.col("v").alias("w"), "nbrs")
+    lists = fetch_side(lists, graph.n_bytes, max_broadcast_bytes)
     # Each triangle anchor-w-b is seen once, from w; b gets its share of it here.
     own = F.struct(F.col("w").alias("m"), "pos", "ext", F.lit(None).cast("bigint").alias("low"))
     share = F.transform(
@@ -143,38 +137,50 @@ def _neighborhoods(out: DataFrame, max_broadcast_bytes: int) -> DataFrame:
             F.lit(None).cast("array<bigint>").alias("ext"), F.col("w").alias("low"),
         ),
     )
-    views = wedge_closures(out, lists, "left").select("anchor", F.inline(F.concat(F.array(own), share)))
+    views = wedge_closures(graph.out, lists, "left").select(
+        "anchor", F.inline(F.concat(F.array(own), share))
+    )
+    ext = F.coalesce(F.first("ext", ignorenulls=True), empty_list())
     return views.groupBy("anchor", "m").agg(
         F.max("pos").alias("pos"),
-        F.concat(
-            F.collect_list("low"),
-            F.coalesce(F.first("ext", ignorenulls=True), empty_list()),
-        ).alias("nbrs"),
+        F.count("low").cast("int").alias("n_low"),
+        F.concat(F.collect_list("low"), ext).alias("nbrs"),
     )
 
 
-def _search(out: DataFrame, pivot: bool, min_size: int, max_broadcast_bytes: int) -> DataFrame:
+def _search(graph: RankedGraph, pivot: bool, min_size: int, max_broadcast_bytes: int) -> DataFrame:
     """Cliques ``members`` (rank order) that nothing above their first member extends."""
-    local = _neighborhoods(out, max_broadcast_bytes)
-    local = stable(local.withColumn("n", F.size("nbrs")))
-    lists = fetch_side(local.drop("n"), list_bytes(local, "n"), max_broadcast_bytes)
-    live = out.filter(F.col("n_out") + 1 >= min_size).select(
-        F.col("v").alias("anchor"),
-        F.array().cast("array<struct<pos:int,id:bigint>>").alias("clique"),
+    local = _neighborhoods(graph, max_broadcast_bytes).withColumn("n_pool", F.size("nbrs"))
+    local, seen = stable_measured(local, n_bytes=list_bytes("n_pool"))
+    lists = local.select("anchor", "m", "pos", "nbrs")
+    lists = fetch_side(lists, seen["n_bytes"], max_broadcast_bytes)
+    # The lists are the states of size 2 as well: below m everything is done.
+    table = local.select(
+        "anchor",
+        F.array(F.struct("pos", F.col("m").alias("id"))).alias("clique"),
         F.col("nbrs").alias("pool"),
-        empty_list().alias("done"),
-    )
-    rounds = []
-    while True:
-        table, n_live = stable_counting(_branch(live, lists, pivot, min_size), F.col("n_pool") > 0)
+        F.slice("nbrs", F.lit(1), F.col("n_low")).alias("done"),
+        "n_pool",
+    ).filter(_alive(F.col("n_pool"), F.col("n_low"), min_size))
+    finished = F.col("n_pool") == 0
+    rounds, n_live = [], 1
+    while n_live:
         rounds.append(
-            table.filter(F.col("n_pool") == 0).select(
+            table.filter(finished).select(
                 F.concat(F.array("anchor"), F.sort_array("clique")["id"]).alias("members")
             )
         )
-        if n_live == 0:
-            return reduce(DataFrame.unionByName, rounds)
-        live = table.filter(F.col("n_pool") > 0)
+        grown = _branch(table.filter(~finished), lists, pivot, min_size)
+        table, seen = stable_measured(grown, n_live=F.when(finished, 0).otherwise(1))
+        n_live = seen["n_live"]
+    rounds.append(table.select(F.concat(F.array("anchor"), F.sort_array("clique")["id"]).alias("members")))
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def _alive(n_pool, n_done, min_size: int):
+    """Finished, or with candidates left; and large enough once all of them have joined."""
+    reach = 1 + F.size("clique") + n_pool - n_done
+    return ((n_pool == 0) | (n_pool > n_done)) & (reach >= min_size)
 
 
 def _branch(live: DataFrame, lists: DataFrame, pivot: bool, min_size: int) -> DataFrame:
@@ -197,6 +203,4 @@ def _branch(live: DataFrame, lists: DataFrame, pivot: bool, min_size: int) -> Da
         done=ordered_intersect("done", "nbrs"),
     )
     n_pool, n_done = F.size("pool"), F.size("done")
-    reach = 1 + F.size("clique") + n_pool - n_done
-    alive = ((n_pool == 0) | (n_pool > n_done)) & (reach >= min_size)
-    return child.filter(alive).withColumn("n_pool", n_pool)
+    return child.filter(_alive(n_pool, n_done, min_size)).withColumn("n_pool", n_pool)

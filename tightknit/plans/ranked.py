@@ -19,13 +19,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tightknit.plans.stable import stable
+from tightknit.operators.graph import degrees
+from tightknit.plans.stable import LIST_BOUND, list_bytes, stable_measured
 
 ORDERS = ("degree", "id", "random")
 
-# Longest neighbor list kept in one row (1 MiB of ids).
-LIST_BOUND = 1 << 17
-
 # A list is expanded quadratically, so its table is cut finer than a plain scan would be.
 PARTITION_BYTES = 32 << 20
 
@@ -34,11 +32,12 @@ class RankedGraph(NamedTuple):
     """``vertices(v, degree)`` and ``out(v, n_out, nbrs)``, both written tables.
 
     ``nbrs`` holds the higher-ranked neighbors in rank order; vertices without
-    any have no row.
+    any have no row. ``n_bytes`` bounds the in-memory size of ``out``.
     """
 
     vertices: DataFrame
     out: DataFrame
+    n_bytes: int
 
 
 def rank_graph(
@@ -52,8 +51,11 @@ def rank_graph(
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}, got {order!r}")
 
-    degree = F.count(F.lit(1)).alias("degree")
-    vertices = stable(_endpoints(edges).groupBy("v").agg(degree))
+    vertices, seen = stable_measured(degrees(edges), ends=F.col("degree"))
+    if not num_partitions:
+        # All cores busy, and no partition above PARTITION_BYTES of ids.
+        cores = edges.sparkSession.sparkContext.defaultParallelism
+        num_partitions = max(cores, -(-seen["ends"] * 4 // PARTITION_BYTES))
 
     if order == "degree":
         group, tie = F.col("degree"), F.lit(0).cast("bigint")
@@ -72,18 +74,7 @@ def rank_graph(
         F.when(up, F.col("src")).otherwise(F.col("dst")).alias("v"),
         F.when(up, F.col("dst_rank")).otherwise(F.col("src_rank")).alias("w"),
     )
-    oriented = oriented.repartition(num_partitions or _list_partitions(vertices), "v")
-    out = oriented.groupBy("v").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    out = oriented.repartition(num_partitions, "v").groupBy("v").agg(F.sort_array(F.collect_list("w")).alias("w"))
     out = out.select("v", F.size("w").alias("n_out"), F.col("w.v").alias("nbrs"))
-    return RankedGraph(vertices, stable(out))
-
-
-def _list_partitions(vertices: DataFrame) -> int:
-    """Partitions for the lists: all cores busy, and none above ``PARTITION_BYTES`` of ids."""
-    n_ids = (vertices.agg(F.sum("degree")).first()[0] or 0) // 2
-    cores = vertices.sparkSession.sparkContext.defaultParallelism
-    return max(cores, -(-n_ids * 8 // PARTITION_BYTES))
-
-
-def _endpoints(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("src", "dst")).alias("v"))
+    out, seen = stable_measured(out, n_bytes=list_bytes("n_out"))
+    return RankedGraph(vertices, out, seen["n_bytes"])

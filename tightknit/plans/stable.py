@@ -16,8 +16,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+# Largest table that may be broadcast, by its measured in-memory size.
 MAX_BROADCAST_BYTES = 256 << 20
 
+# Longest neighbor list kept in one row (1 MiB of ids).
+LIST_BOUND = 1 << 17
+
 _own_folders: dict[str, str] = {}
 
 
@@ -44,17 +48,18 @@ def stable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stable_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
-    """``stable(df)`` and the number of its rows that meet ``condition``, from the same pass.
+def stable_measured(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``stable(df)`` and the totals of integer columns over its rows, from the same pass.
 
-    A retried task may be counted twice; use the number to tell none from some.
+    A retried task can be counted twice: the totals are upper bounds, exact at
+    zero, and serve to size things, never as results.
     """
     seen = Observation()
-    table = stable(df.observe(seen, F.count_if(condition).alias("n")))
-    return table, seen.get["n"]
+    totals = [F.coalesce(F.sum(column.cast("bigint")), F.lit(0)).alias(name) for name, column in sums.items()]
+    return stable(df.observe(seen, *totals)), seen.get
 
 
-def fetch_side(table: DataFrame, n_bytes: int | None, limit: int) -> DataFrame:
+def fetch_side(table: DataFrame, n_bytes: int, limit: int) -> DataFrame:
     """``table`` as the side of an equi-join that rows are looked up in.
 
     Broadcast if its measured in-memory size ``n_bytes`` is within ``limit``;
@@ -62,14 +67,14 @@ def fetch_side(table: DataFrame, n_bytes: int | None, limit: int) -> DataFrame:
     execution splits at hub keys. Without a hint the planner could broadcast the
     other side, whose size it underestimates: an explode counts as one row out.
     """
-    if n_bytes is not None and n_bytes <= limit:
+    if n_bytes <= limit:
         return F.broadcast(table)
     return table.hint("merge")
 
 
-def list_bytes(table: DataFrame, length: str) -> int:
-    """In-memory size of a table of id lists: 8 bytes per id and 64 per row."""
-    return table.agg(F.sum(F.col(length).cast("bigint") * 8 + 64)).first()[0] or 0
+def list_bytes(length) -> Column:
+    """In-memory size of a row holding an id list: 8 bytes per id and 64 beside."""
+    return F.col(length).cast("bigint") * 8 + 64
 
 
 def clear_tables(spark: SparkSession) -> None:
