@@ -19,7 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import tightknit as tk  # noqa: E402
 from tightknit.functions.text import format_info  # noqa: E402
-from tightknit.plans.stable import table_folder  # noqa: E402
+from tightknit.plans.stable import LIST_BOUND, table_folder  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -124,9 +124,18 @@ def _bigger(spark, sf_dir) -> DataFrame:
     return tk.adjacency(edges, "out", vertices=tk.vertices_of(edges))
 
 
+def _ranked_by_id(edges: DataFrame) -> DataFrame:
+    return tk.rank_graph(edges, "id", order_bound=LIST_BOUND).out
+
+
+def _first_states(spark, sf_dir) -> DataFrame:
+    edges = trade(spark, sf_dir)
+    return tk.init_frontier(_ranked_by_id(edges), tk.vertices_of(edges))
+
+
 def _first_children(spark, sf_dir) -> DataFrame:
-    adj = tk.adjacency(trade(spark, sf_dir), "out")
-    return tk.expand(tk.init_frontier(adj), adj)
+    lists = _ranked_by_id(trade(spark, sf_dir))
+    return tk.expand(tk.init_frontier(lists), lists)
 
 
 def _count(k: int, **options) -> Callable[[SparkSession, str], DataFrame]:
@@ -169,13 +178,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ego_network": lambda s, d: tk.ego_network(trade(s, d)),
         "ego_network_above": lambda s, d: tk.ego_network(trade(s, d), above=True),
         # states
-        "init_frontier": lambda s, d: state_rows(tk.init_frontier(_bigger(s, d))),
+        "init_frontier": lambda s, d: state_rows(_first_states(s, d)),
         "expand": lambda s, d: state_rows(_first_children(s, d)),
         "degree_prune_k5": lambda s, d: list_rows(tk.prune_vertices(_bigger(s, d), 5)),
         "bound_prune_k5": lambda s, d: state_rows(tk.bound_prune(_first_children(s, d), 5)),
-        "format_state": lambda s, d: tk.init_frontier(_bigger(s, d)).select(
-            tk.format_state().alias("state")
-        ),
+        "format_state": lambda s, d: _first_states(s, d).select(tk.format_state().alias("state")),
         # k-cliques
         "triangle_count": lambda s, d: tk.triangle_count(trade(s, d)),
         "triangles": lambda s, d: clique_rows(tk.triangles(trade(s, d))),

@@ -81,20 +81,28 @@ def test_per_anchor(graph):
 
 
 def test_states(graph):
-    adj = tk.adjacency(graph, "out", tk.vertices_of(graph))
-    first = tk.init_frontier(adj)
+    lists = tk.rank_graph(graph, "id").out
+    first = tk.init_frontier(lists, tk.vertices_of(graph))
     assert first.count() == len(NBRS)
-    second = tk.expand(first, adj)
+    second = tk.expand(first, lists)
     assert {tuple(r.clique) for r in second.collect()} == FOUND[2]
     assert sum(len(r.ext) for r in second.collect()) == len(FOUND[3])
     kept = tk.bound_prune(second, 5).collect()
     assert kept and all(len(r.clique) + len(r.ext) >= 5 for r in kept)
 
 
+def test_states_need_whole_lists(graph):
+    parts = tk.adjacency(graph, "out", list_bound=2)
+    with pytest.raises(ValueError):
+        tk.init_frontier(parts)
+    with pytest.raises(ValueError):
+        tk.expand(tk.init_frontier(tk.rank_graph(graph).out), parts)
+
+
 def test_state_and_report_text(spark):
     edges = edges_df(spark, [(1, 2), (1, 3), (2, 3)])
-    adj = tk.adjacency(edges, "out", tk.vertices_of(edges))
-    states = tk.init_frontier(adj).select(tk.format_state().alias("s")).collect()
+    first = tk.init_frontier(tk.rank_graph(edges, "id").out, tk.vertices_of(edges))
+    states = first.select(tk.format_state().alias("s")).collect()
     assert sorted(r.s for r in states) == ["[1]->[2, 3]", "[2]->[3]", "[3]->[]"]
     hist = spark.createDataFrame([(3, 1234567), (4, 0)], "clique_size int, n_cliques bigint")
     assert [r.line for r in tk.format_report(hist).collect()] == [

@@ -4,8 +4,9 @@ import pytest
 from conftest import brute_cliques, brute_maximal, cliques_of, edges_df
 
 import tightknit as tk
+from tightknit.operators import kclique
 from tightknit.plans import stable as stable_module
-from tightknit.plans.ranked import LIST_BOUND, rank_graph
+from tightknit.plans.ranked import rank_graph
 
 CORE = [(a, b) for a in range(6) for b in range(a + 1, 6)]
 # Three hubs are an end of nearly all edges, each of over a quarter, and share their neighbors.
@@ -52,9 +53,9 @@ def test_degree_order_bounds_every_list(hub):
 
 @pytest.mark.parametrize("order", ["id", "random"])
 def test_other_orders_bound_hub_lists_too(hub, order):
-    graph = rank_graph(hub, order, list_bound=50)
+    graph = rank_graph(hub, order, order_bound=50)
     assert graph.out.agg({"n_out": "max"}).first()[0] <= max(50, (2 * len(HUB)) ** 0.5)
-    unbounded = rank_graph(hub, "id", list_bound=LIST_BOUND)
+    unbounded = rank_graph(hub, "id", order_bound=1 << 17)
     assert unbounded.out.agg({"n_out": "max"}).first()[0] >= 3000 - 2
 
 
@@ -88,6 +89,16 @@ def test_hub_maximal_cliques_without_broadcast(hub, no_broadcast):
     assert cliques_of(found) == brute_maximal(HUB)
 
 
+@pytest.mark.parametrize("strategy", ["join", "ego", "broadcast"])
+def test_long_lists_are_unfolded_in_pieces(hub, monkeypatch, strategy):
+    monkeypatch.setattr(kclique, "PIECE", 3)
+    found, _ = brute_cliques(HUB, 4)
+    hist = tk.clique_histogram(hub, 4, strategy, order="id")
+    assert "sequence" in hist._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.clique_size: r.n_cliques for r in hist.collect()} == {k: len(c) for k, c in found.items()}
+    assert cliques_of(tk.kcliques(hub, 4, strategy)) == found[4]
+
+
 def test_broadcast_needs_a_measured_size(hub):
     small = tk.count_kcliques(hub, 4, "broadcast")
     assert "BroadcastHashJoin" in final_plan(small)

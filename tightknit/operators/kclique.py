@@ -31,10 +31,22 @@ from tightknit.plans.stable import MAX_BROADCAST_BYTES, fetch_side, stable
 
 STRATEGIES = ("auto", "join", "broadcast", "ego")
 
+# Candidates of one list that a single task unfolds.
+PIECE = 1 << 12
 
-def init_frontier(adj: DataFrame) -> DataFrame:
-    """First states ``(clique, ext)``: every vertex with the neighbors that can join it."""
-    return adj.select(F.array("v").alias("clique"), F.col("nbrs").alias("ext"))
+
+def init_frontier(lists: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """First states ``(clique, ext)``: every vertex with the neighbors that can join it.
+
+    ``lists`` are the ranked lists ``rank_graph(...).out``, which hold each list
+    in one row. ``vertices`` adds a state for every vertex without one.
+    """
+    _check_whole(lists)
+    states = lists.select("v", F.col("nbrs").alias("ext"))
+    if vertices is not None:
+        bare = vertices.select("v").distinct().join(lists.select("v"), "v", "left_anti")
+        states = states.unionByName(bare.select("v", empty_list().alias("ext")))
+    return states.select(F.array("v").alias("clique"), "ext")
 
 
 def bound_prune(frontier: DataFrame, k: int) -> DataFrame:
@@ -42,16 +54,15 @@ def bound_prune(frontier: DataFrame, k: int) -> DataFrame:
     return frontier.filter(F.size("clique") + F.size("ext") >= k)
 
 
-def expand(frontier: DataFrame, adj: DataFrame) -> DataFrame:
-    """All children ``(clique, ext)`` of all states, for lists oriented like ``ext``."""
-    lists = adj.select(F.col("v").alias("w"), "nbrs").hint("merge")
-    return (
-        frontier.select("clique", "ext", F.explode("ext").alias("w"))
-        .join(lists, "w", "left")
-        .select(
-            F.concat("clique", F.array("w")).alias("clique"),
-            F.array_intersect("ext", F.coalesce("nbrs", empty_list())).alias("ext"),
-        )
+def expand(frontier: DataFrame, lists: DataFrame) -> DataFrame:
+    """All children ``(clique, ext)`` of all states, for the ranked lists they started from."""
+    _check_whole(lists)
+    fan = frontier.select("clique", "ext", F.explode("ext").alias("w"))
+    fetched = fan.join(lists.select(F.col("v").alias("w"), "nbrs").hint("merge"), "w", "left")
+    return computed(
+        fetched,
+        [F.array_append("clique", F.col("w")).alias("clique")],
+        ext=F.array_intersect("ext", F.coalesce("nbrs", empty_list())),
     )
 
 
@@ -176,20 +187,37 @@ def cliques_per_anchor(
     )
 
 
-def wedge_closures(out: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
+def wedges(graph: RankedGraph, behind: int) -> DataFrame:
+    """``(anchor, w, pos, rest)`` for every ranked edge anchor-w.
+
+    ``pos`` is the place of w in the anchor's list and ``rest`` the part behind
+    it, of at least ``behind`` vertices. A list of n ids unfolds into n rows of
+    up to n ids, so long lists are unfolded piece by piece in several tasks.
+    """
+    lists = graph.out.filter(F.col("n_out") > behind).select("v", "n_out", "nbrs")
+    pieces = lists.withColumn("first", F.lit(0))
+    if graph.longest > PIECE:
+        first = F.explode(F.sequence(F.lit(0), F.col("n_out") - 1, F.lit(PIECE))).alias("first")
+        cut = lists.filter(F.col("n_out") > PIECE).select("v", "n_out", "nbrs", first)
+        cut = cut.repartition(_spread(lists), "v", "first")
+        pieces = pieces.filter(F.col("n_out") <= PIECE).unionByName(cut)
+    piece = F.slice("nbrs", F.col("first") + 1, F.lit(PIECE))
+    rows = pieces.select("v", "n_out", "nbrs", "first", F.posexplode(piece).alias("i", "w"))
+    rows = rows.withColumn("pos", F.col("first") + F.col("i"))
+    rows = rows.filter(F.col("n_out") - F.col("pos") > behind)
+    return rows.select(F.col("v").alias("anchor"), "w", "pos", after("nbrs", "pos").alias("rest"))
+
+
+def wedge_closures(graph: RankedGraph, lists: DataFrame, how: str = "inner") -> DataFrame:
     """``(anchor, w, pos, ext)`` per ranked edge anchor-w: the triangles above it.
 
-    ``ext`` lists the common higher-ranked neighbors in rank order, ``pos`` is
-    the place of w in the anchor's list. Only the part of the list behind w is
-    shipped. ``lists(w, nbrs)`` is the side to fetch from; with ``how='inner'``
-    edges that close no triangle are left out.
+    ``ext`` lists the common higher-ranked neighbors in rank order. ``lists(w,
+    nbrs)`` is the side to fetch from; with ``how='inner'`` edges that close no
+    triangle are left out.
     """
-    starts = out.select("v", "nbrs", F.posexplode("nbrs").alias("pos", "w"))
-    starts = starts.select(F.col("v").alias("anchor"), "w", "pos", after("nbrs", "pos").alias("rest"))
-    if how == "inner":
-        starts = starts.filter(F.size("rest") > 0)
+    fan = wedges(graph, 1 if how == "inner" else 0)
     ext = ordered_intersect("rest", F.coalesce("nbrs", empty_list()))
-    closed = computed(starts.join(lists, "w", how), ["anchor", "w", "pos"], ext=ext)
+    closed = computed(fan.join(lists, "w", how), ["anchor", "w", "pos"], ext=ext)
     return closed.filter(F.size("ext") > 0) if how == "inner" else closed
 
 
@@ -206,54 +234,55 @@ def _levels(
 
     With ``prune`` states and candidates that cannot reach size k are dropped.
     """
-    out = graph.out
     if strategy == "auto":
         strategy = "broadcast" if graph.n_bytes <= max_broadcast_bytes else "ego"
     limit = max_broadcast_bytes if strategy == "broadcast" else 0
-    lists = fetch_side(out.select(F.col("v").alias("w"), "nbrs"), graph.n_bytes, limit)
-
+    lists = fetch_side(graph.out.select(F.col("v").alias("w"), "nbrs"), graph.n_bytes, limit)
     keys = ["w"]
+
+    def missing(size: int) -> int:
+        """Vertices a clique of this size still needs, at least."""
+        return k - size if prune else 1
+
+    pair = _carry(members, F.array("anchor", "w"))
     if strategy == "ego" and k > 3:
         # The restricted lists are the states of size 2 as well.
-        local = stable(wedge_closures(out, lists).drop("pos"))
-        frontier = local.select("anchor", *_carry(members, F.array("anchor", "w")), "ext")
-        if prune:
-            frontier = frontier.filter(F.size("ext") >= k - 2)
+        local = stable(wedge_closures(graph, lists).drop("pos"))
+        frontier = local.select("anchor", *pair, "ext").filter(F.size("ext") >= missing(2))
         lists, keys = local.withColumnRenamed("ext", "nbrs").hint("merge"), ["anchor", "w"]
     else:
-        start = out.filter(F.col("n_out") >= k - 1) if prune else out
-        start = start.select(
-            F.col("v").alias("anchor"), *_carry(members, F.array("v")), F.col("nbrs").alias("ext")
-        )
-        frontier = _grow(start, lists, keys, 1, k, members, prune)
+        fan = wedges(graph, missing(2)).select("anchor", "w", "rest", *pair)
+        frontier = _meet(fan, lists, keys, missing(2), members)
     levels = {2: frontier}
-    for size in range(2, k - 1):
-        if strategy == "broadcast" and size == min(3, k - 2):
+    for size in range(3, k):
+        if strategy == "broadcast" and size == min(4, k - 1):
             # Without a shuffle join all cliques of a vertex would grow in its task.
-            frontier = frontier.repartition(num_partitions or _spread(out))
-        frontier = _grow(frontier, lists, keys, size, k, members, prune)
-        levels[size + 1] = frontier
+            frontier = frontier.repartition(num_partitions or _spread(graph.out))
+        frontier = _meet(_fan(frontier, missing(size), members), lists, keys, missing(size), members)
+        levels[size] = frontier
     return levels
 
 
-def _spread(table: DataFrame) -> int:
-    return 4 * table.sparkSession.sparkContext.defaultParallelism
-
-
-def _grow(frontier, lists, keys, size, k, members, prune) -> DataFrame:
-    """Frontier of cliques with ``size`` + 1 members from the one with ``size``."""
-    missing = k - size if prune else 2
+def _fan(frontier: DataFrame, behind: int, members: bool) -> DataFrame:
+    """One row per candidate w that has at least ``behind`` further candidates behind it."""
     fan = frontier.select("anchor", *_carry(members, "clique"), "ext", F.posexplode("ext").alias("pos", "w"))
-    # w needs at least missing - 1 candidates behind it.
-    fan = fan.filter(F.size("ext") - F.col("pos") >= missing).select(
+    return fan.filter(F.size("ext") - F.col("pos") > behind).select(
         "anchor", "w", after("ext", "pos").alias("rest"),
         *_carry(members, F.array_append("clique", F.col("w"))),
     )
+
+
+def _meet(fan: DataFrame, lists: DataFrame, keys: list, missing: int, members: bool) -> DataFrame:
+    """The states after w has joined, if at least ``missing`` candidates remain."""
+    joined = fan.join(lists, keys)
     grown = computed(
-        fan.join(lists, keys), ["anchor", *_carry(members, "clique")],
-        ext=ordered_intersect("rest", "nbrs"),
+        joined, ["anchor", *_carry(members, "clique")], ext=ordered_intersect("rest", "nbrs")
     )
-    return grown.filter(F.size("ext") >= missing - 1)
+    return grown.filter(F.size("ext") >= missing)
+
+
+def _spread(table: DataFrame) -> int:
+    return 4 * table.sparkSession.sparkContext.defaultParallelism
 
 
 def _carry(members: bool, clique) -> list:
@@ -288,6 +317,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _check_whole(lists: DataFrame) -> None:
+    if "part" in lists.columns:
+        raise ValueError("states need whole lists: pass rank_graph(edges, order).out")
+
+
 def _check(k: int, strategy: str) -> None:
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")

@@ -137,7 +137,7 @@ def _neighborhoods(graph: RankedGraph, max_broadcast_bytes: int) -> DataFrame:
             F.lit(None).cast("array<bigint>").alias("ext"), F.col("w").alias("low"),
         ),
     )
-    views = wedge_closures(graph.out, lists, "left").select(
+    views = wedge_closures(graph, lists, "left").select(
         "anchor", F.inline(F.concat(F.array(own), share))
     )
     ext = F.coalesce(F.first("ext", ignorenulls=True), empty_list())
@@ -171,7 +171,7 @@ def _search(graph: RankedGraph, pivot: bool, min_size: int, max_broadcast_bytes:
             )
         )
         grown = _branch(table.filter(~finished), lists, pivot, min_size)
-        table, seen = stable_measured(grown, n_live=F.when(finished, 0).otherwise(1))
+        table, seen = stable_measured(grown, n_live=F.count_if(~finished))
         n_live = seen["n_live"]
     rounds.append(table.select(F.concat(F.array("anchor"), F.sort_array("clique")["id"]).alias("members")))
     return reduce(DataFrame.unionByName, rounds)

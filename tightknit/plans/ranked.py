@@ -7,8 +7,8 @@ never changes a result, only the length of the lists:
 * ``degree``  rank by (degree, id). No vertex has more than sqrt(2E)
   higher-ranked neighbors, and a vertex of degree d at most 2E/d: the hubs,
   whose full neighbor lists are unbounded, have the shortest lists here.
-* ``id`` / ``random``  rank by id or by a seeded hash, for vertices up to
-  ``LIST_BOUND`` neighbors. Vertices above that bound rank after all others, by
+* ``id`` / ``random``  rank by id or by a seeded hash, for vertices of up to
+  ``ORDER_BOUND`` neighbors. Vertices above that bound rank after all others, by
   degree, so their lists stay within the sqrt(2E) bound too.
 """
 
@@ -20,24 +20,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tightknit.operators.graph import degrees
-from tightknit.plans.stable import LIST_BOUND, list_bytes, stable_measured
+from tightknit.plans.stable import list_bytes, stable_measured
 
 ORDERS = ("degree", "id", "random")
 
-# A list is expanded quadratically, so its table is cut finer than a plain scan would be.
-PARTITION_BYTES = 32 << 20
+ORDER_BOUND = 1 << 12
+
+# Ids per partition of the list table, in bytes.
+PARTITION_BYTES = 256 << 20
 
 
 class RankedGraph(NamedTuple):
     """``vertices(v, degree)`` and ``out(v, n_out, nbrs)``, both written tables.
 
     ``nbrs`` holds the higher-ranked neighbors in rank order; vertices without
-    any have no row. ``n_bytes`` bounds the in-memory size of ``out``.
+    any have no row. ``n_bytes`` bounds the in-memory size of ``out``,
+    ``longest`` the length of a list.
     """
 
     vertices: DataFrame
     out: DataFrame
     n_bytes: int
+    longest: int
 
 
 def rank_graph(
@@ -45,13 +49,13 @@ def rank_graph(
     order: str = "degree",
     seed: int = 0,
     num_partitions: int | None = None,
-    list_bound: int = LIST_BOUND,
+    order_bound: int = ORDER_BOUND,
 ) -> RankedGraph:
     """Orient canonical ``edges`` along ``order`` and collect the oriented lists."""
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}, got {order!r}")
 
-    vertices, seen = stable_measured(degrees(edges), ends=F.col("degree"))
+    vertices, seen = stable_measured(degrees(edges), ends=F.sum("degree"))
     if not num_partitions:
         # All cores busy, and no partition above PARTITION_BYTES of ids.
         cores = edges.sparkSession.sparkContext.defaultParallelism
@@ -60,7 +64,7 @@ def rank_graph(
     if order == "degree":
         group, tie = F.col("degree"), F.lit(0).cast("bigint")
     else:
-        group = F.when(F.col("degree") > list_bound, F.col("degree")).otherwise(0)
+        group = F.when(F.col("degree") > order_bound, F.col("degree")).otherwise(0)
         tie = F.lit(0).cast("bigint") if order == "id" else F.xxhash64(F.lit(seed), F.col("v"))
 
     def rank_of(end: str) -> DataFrame:
@@ -74,7 +78,8 @@ def rank_graph(
         F.when(up, F.col("src")).otherwise(F.col("dst")).alias("v"),
         F.when(up, F.col("dst_rank")).otherwise(F.col("src_rank")).alias("w"),
     )
-    out = oriented.repartition(num_partitions, "v").groupBy("v").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    lists = oriented.repartition(num_partitions, "v").groupBy("v")
+    out = lists.agg(F.sort_array(F.collect_list("w")).alias("w"))
     out = out.select("v", F.size("w").alias("n_out"), F.col("w.v").alias("nbrs"))
-    out, seen = stable_measured(out, n_bytes=list_bytes("n_out"))
-    return RankedGraph(vertices, out, seen["n_bytes"])
+    out, seen = stable_measured(out, n_bytes=list_bytes("n_out"), longest=F.max("n_out"))
+    return RankedGraph(vertices, out, seen["n_bytes"], seen["longest"])

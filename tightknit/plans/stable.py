@@ -48,15 +48,15 @@ def stable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stable_measured(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
-    """``stable(df)`` and the totals of integer columns over its rows, from the same pass.
+def stable_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``stable(df)`` and integer aggregates over its rows, taken in the same pass.
 
-    A retried task can be counted twice: the totals are upper bounds, exact at
+    A retried task can be counted twice: the measures are upper bounds, exact at
     zero, and serve to size things, never as results.
     """
     seen = Observation()
-    totals = [F.coalesce(F.sum(column.cast("bigint")), F.lit(0)).alias(name) for name, column in sums.items()]
-    return stable(df.observe(seen, *totals)), seen.get
+    aggregates = [F.coalesce(measure, F.lit(0)).alias(name) for name, measure in measures.items()]
+    return stable(df.observe(seen, *aggregates)), seen.get
 
 
 def fetch_side(table: DataFrame, n_bytes: int, limit: int) -> DataFrame:
@@ -72,9 +72,9 @@ def fetch_side(table: DataFrame, n_bytes: int, limit: int) -> DataFrame:
     return table.hint("merge")
 
 
-def list_bytes(length) -> Column:
-    """In-memory size of a row holding an id list: 8 bytes per id and 64 beside."""
-    return F.col(length).cast("bigint") * 8 + 64
+def list_bytes(length: str) -> Column:
+    """In-memory size of a table of id lists: 8 bytes per id and 64 beside them per row."""
+    return F.sum(F.col(length).cast("bigint") * 8 + 64)
 
 
 def clear_tables(spark: SparkSession) -> None:
