@@ -94,7 +94,8 @@ def test_long_lists_are_unfolded_in_pieces(hub, monkeypatch, strategy):
     monkeypatch.setattr(kclique, "PIECE", 3)
     found, _ = brute_cliques(HUB, 4)
     hist = tk.clique_histogram(hub, 4, strategy, order="id")
-    assert "sequence" in hist._jdf.queryExecution().optimizedPlan().toString()
+    if strategy != "ego":  # there the unfolding is behind a stored table
+        assert "sequence" in hist._jdf.queryExecution().optimizedPlan().toString()
     assert {r.clique_size: r.n_cliques for r in hist.collect()} == {k: len(c) for k, c in found.items()}
     assert cliques_of(tk.kcliques(hub, 4, strategy)) == found[4]
 
