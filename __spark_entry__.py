@@ -101,7 +101,7 @@ def _edge_list_file(spark, sf_dir) -> tk.sources.edge_list.EdgeList:
 
 
 def _adjacency_file(spark, sf_dir) -> DataFrame:
-    adj = tk.adjacency(trade_edges(spark, sf_dir), "both")
+    adj = tk.adjacency(trade(spark, sf_dir), "both")
     path = tk.write_neighbor_list(adj, scratch_path(spark))
     return tk.read_adjacency(spark, path)
 
@@ -120,7 +120,7 @@ def _maximal_file(spark, sf_dir) -> DataFrame:
 
 
 def _bigger(spark, sf_dir) -> DataFrame:
-    edges = trade_edges(spark, sf_dir)
+    edges = trade(spark, sf_dir)
     return tk.adjacency(edges, "out", vertices=tk.vertices_of(edges))
 
 
@@ -158,20 +158,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clique_tab_roundtrip": lambda s, d: _clique_file(s, d, "\t"),
         "maximal_text_roundtrip": _maximal_file,
         # graph
-        "vertices": lambda s, d: tk.vertices_of(trade_edges(s, d)),
+        "vertices": lambda s, d: tk.vertices_of(trade_edges(s, d), ordered=True),
         "symmetrize": lambda s, d: tk.symmetrize(trade_edges(s, d)),
-        "neighbor_list": lambda s, d: list_rows(tk.adjacency(trade_edges(s, d), "both")),
+        "neighbor_list": lambda s, d: list_rows(tk.adjacency(trade(s, d), "both")),
         "bigger_neighbors": lambda s, d: list_rows(_bigger(s, d)),
         "smaller_neighbors": lambda s, d: list_rows(
-            tk.adjacency(trade_edges(s, d), "in", vertices=all_ids(s, d))
+            tk.adjacency(trade(s, d), "in", vertices=all_ids(s, d))
         ),
         "neighbor_lookup": lambda s, d: list_rows(
             tk.neighbors(
-                tk.adjacency(trade_edges(s, d), "both"),
+                tk.adjacency(trade(s, d), "both"),
                 s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("v")),
             )
         ),
-        "list_integrity": lambda s, d: tk.list_integrity(tk.adjacency(trade_edges(s, d), "both")),
+        "list_integrity": lambda s, d: tk.list_integrity(tk.adjacency(trade(s, d), "both")),
         "degrees": lambda s, d: tk.degrees(trade_edges(s, d)),
         "graph_info": lambda s, d: tk.graph_info(trade_edges(s, d)),
         "graph_info_text": lambda s, d: format_info(tk.graph_info(trade_edges(s, d), all_ids(s, d))),

@@ -69,13 +69,17 @@ def test_cliques_upto(graph):
     assert cliques_of(tk.cliques_upto(graph, 2, strategy="ego")) == FOUND[1] | FOUND[2]
 
 
-def test_per_anchor(graph):
+@pytest.mark.parametrize("k", [1, 2, 4])
+def test_per_anchor(graph, k):
     for anchor, pick in (("min", min), ("max", max)):
         want = {}
-        for c in FOUND[4]:
+        for c in FOUND[k]:
             want[pick(c)] = want.get(pick(c), 0) + 1
-        rows = tk.cliques_per_anchor(graph, 4, anchor).collect()
+        rows = tk.cliques_per_anchor(graph, k, anchor).collect()
         assert {r.anchor: r.n_cliques for r in rows} == want
+
+
+def test_per_anchor_rejects_other_anchors(graph):
     with pytest.raises(ValueError):
         tk.cliques_per_anchor(graph, 4, "middle")
 

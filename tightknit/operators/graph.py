@@ -23,9 +23,10 @@ def orient(pairs: DataFrame) -> DataFrame:
     )
 
 
-def vertices_of(pairs: DataFrame) -> DataFrame:
+def vertices_of(pairs: DataFrame, ordered: bool = False) -> DataFrame:
     """Distinct endpoints of ``pairs``, self-loop endpoints included."""
-    return pairs.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
+    found = pairs.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
+    return found.orderBy("v") if ordered else found
 
 
 def degrees(edges: DataFrame) -> DataFrame:

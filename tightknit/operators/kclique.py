@@ -174,17 +174,23 @@ def cliques_per_anchor(
     strategy: str = "auto",
     order: str = "degree",
     vertices: DataFrame | None = None,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """``(anchor, n_cliques)``: k-cliques counted at their smallest or largest member."""
     if anchor not in ("min", "max"):
         raise ValueError(f"anchor must be 'min' or 'max', got {anchor!r}")
-    pick = F.array_min if anchor == "min" else F.array_max
-    found = kcliques(edges, k, strategy, order, vertices)
-    return (
-        found.select(pick("clique").alias("anchor"))
-        .groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n_cliques"))
-    )
+    pick, closer = (F.array_min, F.least) if anchor == "min" else (F.array_max, F.greatest)
+    _check(k, strategy)
+    if k < 3:
+        anchors = kcliques(edges, k, vertices=vertices).select(pick("clique").alias("anchor"))
+    else:
+        levels = _levels(
+            rank_graph(edges, order), k, strategy, max_broadcast_bytes, members=True
+        )
+        # Only the end of the finished clique is needed, so its array is not built.
+        last = levels[k - 1].select(pick("clique").alias("end"), F.explode("ext").alias("w"))
+        anchors = last.select(closer("end", "w").alias("anchor"))
+    return anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_cliques"))
 
 
 def wedges(graph: RankedGraph, behind: int) -> DataFrame:
