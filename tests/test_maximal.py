@@ -28,8 +28,10 @@ def test_random_graphs(graph, order, pivot):
     assert all(r.clique == sorted(r.clique) and r.anchor == r.clique[-1] for r in found.collect())
 
 
-def test_without_broadcast(graph):
-    assert cliques_of(tk.maximal_cliques(graph, max_broadcast_bytes=0)) == MAXIMAL
+@pytest.mark.parametrize("limit", [0, 4000, 40_000])
+def test_without_broadcast_lists(graph, limit):
+    """No broadcast at all; states of the last rounds only; states of most rounds."""
+    assert cliques_of(tk.maximal_cliques(graph, max_broadcast_bytes=limit)) == MAXIMAL
 
 
 def test_moon_moser_growth(spark):

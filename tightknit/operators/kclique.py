@@ -194,11 +194,11 @@ def cliques_per_anchor(
 
 
 def wedges(graph: RankedGraph, behind: int) -> DataFrame:
-    """``(anchor, w, pos, rest)`` for every ranked edge anchor-w.
+    """``(anchor, w, rest)`` for every ranked edge anchor-w.
 
-    ``pos`` is the place of w in the anchor's list and ``rest`` the part behind
-    it, of at least ``behind`` vertices. A list of n ids unfolds into n rows of
-    up to n ids, so long lists are unfolded piece by piece in several tasks.
+    ``rest`` is the part of the anchor's list behind w, of at least ``behind``
+    vertices. A list of n ids unfolds into n rows of up to n ids, so long lists
+    are unfolded piece by piece in several tasks.
     """
     lists = graph.out.filter(F.col("n_out") > behind).select("v", "n_out", "nbrs")
     pieces = lists.withColumn("first", F.lit(0))
@@ -211,11 +211,11 @@ def wedges(graph: RankedGraph, behind: int) -> DataFrame:
     rows = pieces.select("v", "n_out", "nbrs", "first", F.posexplode(piece).alias("i", "w"))
     rows = rows.withColumn("pos", F.col("first") + F.col("i"))
     rows = rows.filter(F.col("n_out") - F.col("pos") > behind)
-    return rows.select(F.col("v").alias("anchor"), "w", "pos", after("nbrs", "pos").alias("rest"))
+    return rows.select(F.col("v").alias("anchor"), "w", after("nbrs", "pos").alias("rest"))
 
 
 def wedge_closures(graph: RankedGraph, lists: DataFrame, how: str = "inner") -> DataFrame:
-    """``(anchor, w, pos, ext)`` per ranked edge anchor-w: the triangles above it.
+    """``(anchor, w, ext)`` per ranked edge anchor-w: the triangles above it.
 
     ``ext`` lists the common higher-ranked neighbors in rank order. ``lists(w,
     nbrs)`` is the side to fetch from; with ``how='inner'`` edges that close no
@@ -223,7 +223,7 @@ def wedge_closures(graph: RankedGraph, lists: DataFrame, how: str = "inner") ->
     """
     fan = wedges(graph, 1 if how == "inner" else 0)
     ext = ordered_intersect("rest", F.coalesce("nbrs", empty_list()))
-    closed = computed(fan.join(lists, "w", how), ["anchor", "w", "pos"], ext=ext)
+    closed = computed(fan.join(lists, "w", how), ["anchor", "w"], ext=ext)
     return closed.filter(F.size("ext") > 0) if how == "inner" else closed
 
 
@@ -253,7 +253,7 @@ def _levels(
     pair = _carry(members, F.array("anchor", "w"))
     if strategy == "ego" and k > 3:
         # The restricted lists are the states of size 2 as well.
-        local = stable(wedge_closures(graph, lists).drop("pos"))
+        local = stable(wedge_closures(graph, lists))
         frontier = local.select("anchor", *pair, "ext").filter(F.size("ext") >= missing(2))
         lists, keys = local.withColumnRenamed("ext", "nbrs").hint("merge"), ["anchor", "w"]
     else:

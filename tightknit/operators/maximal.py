@@ -53,12 +53,10 @@ def maximal_cliques(
     found = _search(graph, pivot, min_size, max_broadcast_bytes)
     # The hash leads the join key because arrays sort and compare slowly.
     key = [F.xxhash64("members").alias("hash"), "members"]
-    remainders = found.filter(F.size("members") > 2).select(
-        F.slice("members", F.lit(2), F.size("members")).alias("members")
-    )
+    remainders = found.filter(F.size("rest") > 1).select(F.col("rest").alias("members"))
     remainders = remainders.select(*key).distinct().hint("merge")
     cliques = found.select(*key).join(remainders, ["hash", "members"], "left_anti")
-    cliques = cliques.select(F.sort_array("members").alias("clique"))
+    cliques = cliques.select(F.col("members").alias("clique"))
     if vertices is not None and min_size <= 1:
         isolated = vertices.select("v").distinct().join(graph.vertices, "v", "left_anti")
         cliques = cliques.unionByName(isolated.select(F.array("v").alias("clique")))
@@ -123,18 +121,17 @@ def is_maximal(cliques: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _neighborhoods(graph: RankedGraph, max_broadcast_bytes: int) -> DataFrame:
-    """``(anchor, m, pos, n_low, nbrs)``: for every higher-ranked neighbor m of an
-    anchor, its place in the anchor's list and its neighbors inside that list,
-    the ``n_low`` ones ranked below m first, the others in rank order."""
+    """``(anchor, m, n_low, nbrs)``: for every higher-ranked neighbor m of an anchor,
+    its neighbors inside the anchor's list, the ``n_low`` ones ranked below m
+    first, the others in rank order."""
     lists = graph.out.select(F.col("v").alias("w"), "nbrs")
     lists = fetch_side(lists, graph.n_bytes, max_broadcast_bytes)
     # Each triangle anchor-w-b is seen once, from w; b gets its share of it here.
-    own = F.struct(F.col("w").alias("m"), "pos", "ext", F.lit(None).cast("bigint").alias("low"))
+    own = F.struct(F.col("w").alias("m"), "ext", F.lit(None).cast("bigint").alias("low"))
     share = F.transform(
         "ext",
         lambda b: F.struct(
-            b.alias("m"), F.lit(None).cast("int").alias("pos"),
-            F.lit(None).cast("array<bigint>").alias("ext"), F.col("w").alias("low"),
+            b.alias("m"), F.lit(None).cast("array<bigint>").alias("ext"), F.col("w").alias("low")
         ),
     )
     views = wedge_closures(graph, lists, "left").select(
@@ -142,39 +139,43 @@ def _neighborhoods(graph: RankedGraph, max_broadcast_bytes: int) -> DataFrame:
     )
     ext = F.coalesce(F.first("ext", ignorenulls=True), empty_list())
     return views.groupBy("anchor", "m").agg(
-        F.max("pos").alias("pos"),
         F.count("low").cast("int").alias("n_low"),
         F.concat(F.collect_list("low"), ext).alias("nbrs"),
     )
 
 
 def _search(graph: RankedGraph, pivot: bool, min_size: int, max_broadcast_bytes: int) -> DataFrame:
-    """Cliques ``members`` (rank order) that nothing above their first member extends."""
+    """``(members, rest)``: the cliques that nothing above their lowest-ranked member
+    extends, with that member and without it, both ascending."""
     local = _neighborhoods(graph, max_broadcast_bytes).withColumn("n_pool", F.size("nbrs"))
-    local, seen = stable_measured(local, n_bytes=list_bytes("n_pool"))
-    lists = local.select("anchor", "m", "pos", "nbrs")
+    fan = _fan_bytes(F.col("n_pool"), F.col("n_low"), F.lit(1))
+    local, seen = stable_measured(local, n_bytes=list_bytes("n_pool"), fan_bytes=fan)
+    lists = local.select("anchor", "m", "nbrs")
+    broadcast_lists = seen["n_bytes"] <= max_broadcast_bytes
     lists = fetch_side(lists, seen["n_bytes"], max_broadcast_bytes)
     # The lists are the states of size 2 as well: below m everything is done.
     table = local.select(
         "anchor",
-        F.array(F.struct("pos", F.col("m").alias("id"))).alias("clique"),
+        F.array("m").alias("clique"),
         F.col("nbrs").alias("pool"),
         F.slice("nbrs", F.lit(1), F.col("n_low")).alias("done"),
         "n_pool",
     ).filter(_alive(F.col("n_pool"), F.col("n_low"), min_size))
     finished = F.col("n_pool") == 0
-    rounds, n_live = [], 1
+    tables, n_live = [table], 1
     while n_live:
-        rounds.append(
-            table.filter(finished).select(
-                F.concat(F.array("anchor"), F.sort_array("clique")["id"]).alias("members")
-            )
-        )
-        grown = _branch(table.filter(~finished), lists, pivot, min_size)
-        table, seen = stable_measured(grown, n_live=F.count_if(~finished))
+        # A few states are brought to the lists rather than all lists to them.
+        few = not broadcast_lists and seen["fan_bytes"] <= max_broadcast_bytes
+        grown = _branch(tables[-1].filter(~finished), local if few else lists, pivot, min_size, few)
+        fan = _fan_bytes(F.col("n_pool"), F.size("done"), F.size("clique"))
+        table, seen = stable_measured(grown, n_live=F.count_if(~finished), fan_bytes=fan)
+        tables.append(table)
         n_live = seen["n_live"]
-    rounds.append(table.select(F.concat(F.array("anchor"), F.sort_array("clique")["id"]).alias("members")))
-    return reduce(DataFrame.unionByName, rounds)
+    found = reduce(DataFrame.unionByName, (t.filter(finished).select("anchor", "clique") for t in tables))
+    return found.select(
+        F.sort_array(F.array_append("clique", F.col("anchor"))).alias("members"),
+        F.sort_array("clique").alias("rest"),
+    )
 
 
 def _alive(n_pool, n_done, min_size: int):
@@ -183,13 +184,24 @@ def _alive(n_pool, n_done, min_size: int):
     return ((n_pool == 0) | (n_pool > n_done)) & (reach >= min_size)
 
 
-def _branch(live: DataFrame, lists: DataFrame, pivot: bool, min_size: int) -> DataFrame:
-    """Children of the live states, finished (empty pool) or with candidates left."""
+def _fan_bytes(n_pool, n_done, n_clique):
+    """Bound on the in-memory size of the states' children: one row per candidate."""
+    row = (2 * n_pool + n_clique).cast("bigint") * 8 + 128
+    return F.sum((n_pool - n_done).cast("bigint") * row)
+
+
+def _branch(live: DataFrame, lists: DataFrame, pivot: bool, min_size: int, few: bool) -> DataFrame:
+    """Children of the live states, finished (empty pool) or with candidates left.
+
+    With ``few`` the states are the broadcast side of the joins.
+    """
+    near = F.broadcast if few else lambda states: states
+    lists = lists.select("anchor", "m", "nbrs")
     state = ["anchor", "clique", "pool", "done"]
     branches = F.array_except("pool", "done")
     if pivot:
         # The last of the pool is its vertex of highest rank.
-        live = live.withColumn("m", F.element_at("pool", -1)).join(lists, ["anchor", "m"])
+        live = near(live.select(*state, F.element_at("pool", -1).alias("m"))).join(lists, ["anchor", "m"])
         branches = F.array_except(branches, "nbrs")
     live = computed(live, state, branches=branches)
     fan = live.select(*state, "branches", F.posexplode("branches").alias("i", "m")).select(
@@ -197,8 +209,8 @@ def _branch(live: DataFrame, lists: DataFrame, pivot: bool, min_size: int) -> Da
         F.concat("done", F.slice("branches", F.lit(1), F.col("i"))).alias("done"),
     )
     child = computed(
-        fan.join(lists, ["anchor", "m"]), ["anchor"],
-        clique=F.array_append("clique", F.struct("pos", F.col("m").alias("id"))),
+        near(fan).join(lists, ["anchor", "m"]), ["anchor"],
+        clique=F.array_append("clique", F.col("m")),
         pool=ordered_intersect("pool", "nbrs"),
         done=ordered_intersect("done", "nbrs"),
     )
