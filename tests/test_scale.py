@@ -2,9 +2,10 @@
 
 import pytest
 from conftest import brute_cliques, brute_maximal, cliques_of, edges_df
+from pyspark.sql import functions as F
 
 import tightknit as tk
-from tightknit.operators import kclique
+from tightknit.operators import kclique, maximal
 from tightknit.plans import stable as stable_module
 from tightknit.plans.ranked import rank_graph
 
@@ -154,3 +155,18 @@ def test_clear_tables(spark):
     tk.stable(spark.range(3))
     folder = Path(stable_module.table_folder(spark).replace("file:", ""))
     assert folder.exists()
+
+
+def test_rounds_of_the_maximal_search_shuffle_the_lists_once(hub, no_broadcast):
+    """Pivot and branch lookups of a round read the same exchange."""
+    graph = rank_graph(hub)
+    local = tk.stable(maximal._neighborhoods(graph, 0).withColumn("n_pool", F.size("nbrs")))
+    live = local.select(
+        "anchor", F.array("m").alias("clique"), F.col("nbrs").alias("pool"),
+        F.slice("nbrs", F.lit(1), F.col("n_low")).alias("done"),
+    )
+    lists = local.select("anchor", "m", "nbrs").hint("merge")
+    plan = final_plan(maximal._branch(live, lists, True, 1, False))
+    assert "ReusedExchange" in plan and plan.count("SortMergeJoin") >= 2
+    few = final_plan(maximal._branch(live, local, True, 1, True))
+    assert few.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in few

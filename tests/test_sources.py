@@ -72,6 +72,18 @@ def test_neighbor_list_round_trip(spark, tmp_path):
     assert pairs_of(tk.edges_from_adjacency(back)) == pairs_of(edges)
 
 
+def test_adjacency_comments_and_blanks(spark, tmp_path):
+    path = tmp_path / "adj.txt"
+    path.write_text("# a b\n\n1 2 3\n  2\t1\n3 1\n9\n")
+    adj = tk.read_adjacency(spark, str(path))
+    assert sorted((r.v, r.nbrs) for r in adj.collect()) == [(1, [2, 3]), (2, [1]), (3, [1]), (9, [])]
+    assert pairs_of(tk.edges_from_adjacency(adj)) == [(1, 2), (1, 3)]
+    assert pairs_of(tk.edges_from_adjacency(adj.filter("v > 1"))) == [(1, 2), (1, 3)]
+    path.write_text("1 2 x\n")
+    with pytest.raises(PySparkException):
+        tk.read_adjacency(spark, str(path)).collect()
+
+
 def test_lists_in_parts_read_back_as_the_same_edges(spark, tmp_path):
     edges = edges_df(spark, [(0, i) for i in range(1, 40)])
     adj = tk.adjacency(edges, "both", list_bound=8)

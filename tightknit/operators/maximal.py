@@ -201,7 +201,7 @@ def _branch(live: DataFrame, lists: DataFrame, pivot: bool, min_size: int, few:
     branches = F.array_except("pool", "done")
     if pivot:
         # The last of the pool is its vertex of highest rank.
-        live = near(live.select(*state, F.element_at("pool", -1).alias("m"))).join(lists, ["anchor", "m"])
+        live = near(live.select(*state, F.try_element_at("pool", F.lit(-1)).alias("m"))).join(lists, ["anchor", "m"])
         branches = F.array_except(branches, "nbrs")
     live = computed(live, state, branches=branches)
     fan = live.select(*state, "branches", F.posexplode("branches").alias("i", "m")).select(

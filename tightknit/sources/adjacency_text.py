@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tightknit.operators.graph import orient
-from tightknit.sources.edge_list import data_lines
+from tightknit.sources.edge_list import data_lines, is_data
 from tightknit.sources.output import run_path
 
 
 def parse_adjacency_lines(lines: DataFrame) -> DataFrame:
     """``(v, nbrs)`` per line; a long list may be spread over several lines of the same v."""
-    ids = F.transform("tokens", lambda t: t.cast("bigint"))
+    # The cast fails on text; a filter moved below it must not reach comment lines.
+    ids = F.transform(F.when(is_data(), F.col("tokens")), lambda t: t.cast("bigint"))
     return data_lines(lines).select(
-        ids[0].alias("v"), F.slice(ids, 2, F.size("tokens")).alias("nbrs")
+        F.get(ids, F.lit(0)).alias("v"), F.slice(ids, 2, F.size("tokens")).alias("nbrs")
     )
 
 

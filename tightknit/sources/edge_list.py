@@ -28,11 +28,16 @@ def tokens_of(line="value"):
     return F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
 
 
+def is_data(tokens="tokens"):
+    """Neither blank nor a comment."""
+    first = F.get(tokens, F.lit(0))
+    return (first != "") & ~first.startswith("#")
+
+
 def data_lines(lines: DataFrame) -> DataFrame:
     """``(line, tokens)`` of the lines that are neither blank nor comments."""
     rows = lines.select(F.col(lines.columns[0]).alias("line"))
-    rows = rows.withColumn("tokens", tokens_of("line"))
-    return rows.filter((F.col("tokens")[0] != "") & ~F.col("tokens")[0].startswith("#"))
+    return rows.withColumn("tokens", tokens_of("line")).filter(is_data())
 
 
 def parse_pairs(lines: DataFrame) -> DataFrame:
