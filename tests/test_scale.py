@@ -149,7 +149,7 @@ def test_tables_go_to_the_shared_folder(spark, tmp_path, monkeypatch):
         stable_module.table_folder(Session)
 
 
-def test_clear_tables(spark):
+def test_tables_are_written_below_the_folder(spark):
     from pathlib import Path
 
     tk.stable(spark.range(3))
