@@ -21,6 +21,19 @@ import tightknit as tk  # noqa: E402
 from tightknit.functions.text import format_info  # noqa: E402
 from tightknit.plans.stable import LIST_BOUND, table_folder  # noqa: E402
 
+try:  # The text operators and the pipeline built from them can be left out.
+    from tightknit.llm import queries as text_operators  # noqa: E402
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith("tightknit.llm"):
+        raise
+    text_operators = None
+try:
+    import corpus_pipeline  # noqa: E402
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("corpus_pipeline", "tightknit.llm")):
+        raise
+    corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -217,6 +230,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             found[f"kclique_count_k{k}_{strategy}"] = _count(k, strategy=strategy)
     for order in ("id", "degree", "random"):
         found[f"kclique_count_{order}_order"] = _count(5, order=order, seed=7)
+    if text_operators:
+        found |= text_operators.queries()
+    if corpus_pipeline:
+        found["pipeline"] = corpus_pipeline.run
     return found
 
 
@@ -404,6 +421,10 @@ from (select src from edges union select dst from edges)"""
             found[f"kclique_count_k{k}_{strategy}"] = _count_sql(k)
     for order in ("id", "degree", "random"):
         found[f"kclique_count_{order}_order"] = _count_sql(5)
+    if text_operators:
+        found |= text_operators.oracle_sql()
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
 
 
