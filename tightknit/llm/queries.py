@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tightknit.llm import language_id, quality_model, quality_rules, token_counts
+from tightknit.llm import decontamination, language_id, quality_model, quality_rules, token_counts
 from tightknit.llm.batches import crc_of_id
 
 
@@ -16,6 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontamination.contaminated().alias("contaminated"),
+    )
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), crc_of_id() % 5 == 0
     model = quality_model.train_on(docs, table(spark, sf_dir, "labels"), ~out)
@@ -38,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op5_quality_classifier": op5_quality_classifier,
         "op8_token_counts": op8_token_counts,
         "op9_language_id": op9_language_id,
@@ -83,6 +96,35 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from failed"""
 
 
+#: Words as in the contract, and every window of every item with its occurrences.
+OP1_SQL = r"""
+with spelled as (
+  select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from documents),
+items as (
+  select item_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from benchmark),
+windows as (
+  select distinct item_id, least(len(w), 13) as size, w[i:i + least(len(w), 13) - 1] as part
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from items where len(w) > 0)),
+sizes as (select distinct size from windows),
+places as (
+  select r, i, size, w[i:i + size - 1] as part
+  from (select r, w, size, unnest(range(1, len(w) - size + 2)) as i from spelled, sizes where len(w) >= size)),
+found as (
+  select r, i, p.size, item_id from places p join windows v on p.size = v.size and p.part = v.part),
+hit as (select r, count(distinct place) as n_hit from (select r, unnest(range(i, i + size)) as place from found) group by r),
+ids as (
+  select r, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids
+  from (select distinct r, item_id from found) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from spelled left join hit using (r) left join ids using (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op10_quality_rules": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op10_quality_rules": OP10_SQL}
