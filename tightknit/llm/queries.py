@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tightknit.llm import decontamination, language_id, quality_model, quality_rules, token_counts
+from tightknit.llm import decontamination, jaccard_join, language_id, paragraph_dedup, quality_model, quality_rules, token_counts
 from tightknit.llm.batches import crc_of_id
 
 
@@ -28,12 +28,27 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), crc_of_id() % 5 == 0
     model = quality_model.train_on(docs, table(spark, sf_dir, "labels"), ~out)
     return quality_model.score_quality(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = paragraph_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        F.size("removed").cast("bigint").alias("n_removed"),
+        F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, p: n + p["n_words"]).alias("n_words_removed"),
+        F.array_distinct(F.transform("removed", lambda p: p["first_doc_id"])).alias("first_doc_ids"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,7 +66,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op3_jaccard_join": op3_jaccard_join,
         "op5_quality_classifier": op5_quality_classifier,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_token_counts": op8_token_counts,
         "op9_language_id": op9_language_id,
         "op10_quality_rules": op10_quality_rules,
