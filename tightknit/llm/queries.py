@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tightknit.llm import decontamination, jaccard_join, language_id, paragraph_dedup, quality_model, quality_rules, token_counts
+from tightknit.llm import bpe, decontamination, jaccard_join, language_id, paragraph_dedup, quality_model, quality_rules, token_counts
 from tightknit.llm.batches import crc_of_id
 
 
@@ -38,6 +38,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
+    return bpe.digests(bpe.decode(encoded, vocabulary))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = paragraph_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select(
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op3_jaccard_join": op3_jaccard_join,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_bpe": op6_bpe,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_token_counts": op8_token_counts,
         "op9_language_id": op9_language_id,
