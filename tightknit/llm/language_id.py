@@ -13,8 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tightknit.llm.batches import bytes_of, id_text, offsets_of, pieces
@@ -156,8 +157,6 @@ def train_on(
 
     Reads at most ``TRAIN_CHARS`` characters of each; both bounds limit training only.
     """
-    from pyspark.sql import Window
-
     rows = docs.where(usable & docs[lang].isNotNull() & docs[text].isNotNull()).select(
         F.substring(docs[text], 1, TRAIN_CHARS).alias("text"), docs[lang].alias("lang"), F.xxhash64(docs[text]).alias("h")
     )
@@ -168,32 +167,56 @@ def train_on(
     return fit([x for x, _ in pairs], [y for _, y in pairs])
 
 
+def _predict(net: ByteNet, tables: list, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text, none of them null."""
+    n = len(texts)
+    lettered = np.array([LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+    names, score = np.full(n, UNKNOWN, object), np.zeros(n)
+    if net.languages and lettered.any():
+        windows, row = windows_of(bytes_of(texts), offsets_of(texts))
+        total = np.zeros((n, len(net.languages)))
+        for start in range(0, len(windows), 2048):
+            part = net.probabilities(windows[start : start + 2048], tables)
+            np.add.at(total, row[start : start + 2048], part)
+        total /= np.maximum(np.bincount(row, minlength=n), 1)[:, None]
+        best = total.argmax(axis=1)
+        names[lettered] = np.array(net.languages, object)[best[lettered]]
+        score[lettered] = np.clip(total[np.arange(n), best], 0, 1)[lettered]
+    return names, score
+
+
 def identify(docs: DataFrame, net: ByteNet, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Language of every whole text: ``doc_id, lang_pred, score``, one row per row of ``docs``.
 
     The score is the mean probability over the text's windows. A null text or one
     without a letter, and any text if nothing was learned, gets ``und`` with score 0.
     """
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.paired() if net.languages else []
         for piece in pieces(batches):
-            texts = piece.column(1)
-            n = piece.num_rows
-            lettered = np.array([LETTER.search(t) is not None for t in texts.to_pylist()], bool)
-            names, score = np.full(n, UNKNOWN, object), np.zeros(n)
-            if net.languages and lettered.any():
-                windows, row = windows_of(bytes_of(texts), offsets_of(texts))
-                total = np.zeros((n, len(net.languages)))
-                for start in range(0, len(windows), 2048):
-                    part = net.probabilities(windows[start : start + 2048], tables)
-                    np.add.at(total, row[start : start + 2048], part)
-                total /= np.maximum(np.bincount(row, minlength=n), 1)[:, None]
-                best = total.argmax(axis=1)
-                names[lettered] = np.array(net.languages, object)[best[lettered]]
-                score[lettered] = np.clip(total[np.arange(n), best], 0, 1)[lettered]
+            names, score = _predict(net, tables, piece.column(1))
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), *piece.columns[2:], pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                [*(f.name for i, f in enumerate(piece.schema) if i != 1), "lang_pred", "score"],
+                [piece.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())],
+                ["doc_id", "lang_pred", "score"],
             )
 
     return id_text(docs, text=text, doc_id=doc_id).mapInArrow(predict, "doc_id bigint, lang_pred string, score double")
+
+
+def of_known_language(docs: DataFrame, net: ByteNet, *, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a known language with a score of ``least``, with their columns.
+
+    If nothing was learned, all rows are kept.
+    """
+    if not net.languages:
+        return docs
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = net.paired()
+        for piece in pieces(batches, text):
+            texts = pc.fill_null(piece.column(piece.schema.get_field_index(text)), "")
+            names, score = _predict(net, tables, texts)
+            yield piece.filter(pa.array((names != UNKNOWN) & (score >= least)))
+
+    return docs.mapInArrow(choose, docs.schema)
