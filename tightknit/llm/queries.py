@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tightknit.llm import bpe, decontamination, jaccard_join, language_id, paragraph_dedup, quality_model, quality_rules, token_counts
+from tightknit.llm import bpe, decontamination, jaccard_join, language_id, paragraph_dedup, quality_model, quality_rules, suffix_dedup, token_counts
 from tightknit.llm.batches import crc_of_id
 
 
@@ -32,6 +32,16 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), crc_of_id() % 5 == 0
     model = quality_model.train_on(docs, table(spark, sf_dir, "labels"), ~out)
@@ -73,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_bpe": op6_bpe,
         "op7_substring_dedup": op7_substring_dedup,
