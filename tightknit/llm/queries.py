@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tightknit.llm import bpe, decontamination, jaccard_join, language_id, paragraph_dedup, quality_model, quality_rules, suffix_dedup, token_counts
+from tightknit.llm import bpe, decontamination, jaccard_join, language_id, paragraph_dedup, ppm, quality_model, quality_rules, suffix_dedup, token_counts
 from tightknit.llm.batches import crc_of_id
 
 
@@ -28,6 +28,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -82,6 +86,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality_classifier": op5_quality_classifier,
