@@ -192,4 +192,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id:
     bad = found.select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct()
     version = F.xxhash64(F.coalesce(docs[text], F.lit("")))
     same = docs[doc_id].cast("bigint").eqNullSafe(bad["bad_id"]) & (version == bad["bad_version"])
-    return docs.join(bad, same, "left_anti")
+    return docs.join(bad.hint("merge"), same, "left_anti")
