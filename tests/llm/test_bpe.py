@@ -46,6 +46,10 @@ def test_odd_rows(docs_of, spark):
     found = bpe.encode(docs_of([(None, text), (None, text), (4, text), (4, text), (4, None)]), PATH).collect()
     assert sorted(len(r.ids) for r in found) == [0, 2, 2, 2, 2]
     assert bpe.encode(docs_of([]), PATH).count() == 0
+    # Chunks of equal content have one name.
+    same = docs_of([(1, text), (2, "other words")]).repartition(1)
+    found = bpe.encode(same.unionByName(same).unionByName(same), PATH).collect()
+    assert sorted(len(r.ids) for r in found) == [2] * 6
     loose = spark.createDataFrame([(1, [159, 244]), (2, None), (3, [])], "doc_id bigint, ids array<int>")
     library = Tokenizer.from_file(PATH)
     decoded = {r.doc_id: r.decoded for r in bpe.decode(loose, PATH).collect()}

@@ -1,13 +1,12 @@
 """Byte-level BPE encoding and decoding through a table of distinct words.
 
-Spark splits texts into words and deals documents into chunks of bounded size.
-Each chunk's distinct words go, packed, to the task of their hash; there every
-distinct word is encoded once, and its ids go back to the chunks that asked,
-where they are joined to the words by position. Decoding joins ids to the pieces
-they stand for.
-
-Only packed lists of distinct words and ids are shuffled beside the texts
-themselves, which are shuffled once: both readers of a chunk share the exchange.
+Spark splits texts into words. A task keeps consecutive texts as a chunk: its distinct words, and for each
+text the numbers of its words in order. The distinct words go to the task of their hash; there every
+distinct word is encoded once for all chunks that have it, and its ids go back to these chunks,
+where they are joined to the words by position. Decoding joins ids to the pieces they stand for.
+
+Chunks are shuffled once, compressed, for both steps that read them; beside them only lists of
+distinct words and of their ids.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -31,8 +31,10 @@ from tightknit.llm.batches import bytes_of, offsets_of
 # Fixed value: the split of byte-level BPE. (?U): white space as Unicode has it.
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Bytes of text in a chunk; a longer text is a chunk's own or shares one.
+#: Bytes of text after which a chunk is full; a longer text is in one chunk too.
 CHUNK = 16 << 20
+#: Words of a chunk whose ids are put together at once.
+SLICE = 500_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -41,37 +43,54 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*shown}))}
 
 
-def pack(words: list[bytes]) -> bytes:
-    sizes = np.array([len(w) for w in words], np.uint32)
-    return zlib.compress(np.uint32(len(words)).tobytes() + sizes.tobytes() + b"".join(words), 1)
+def _packed(*arrays: np.ndarray) -> bytes:
+    sizes = np.array([len(x) for x in arrays], np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + b"".join(x.tobytes() for x in arrays))
+
+
+def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    raw, at, found = zstandard.ZstdDecompressor().decompress(data), 8 * len(kinds), []
+    for size, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds):
+        found.append(np.frombuffer(raw, kind, size, at))
+        at += size * np.dtype(kind).itemsize
+    return found
+
 
+def _packed_words(words: pa.Array) -> bytes:
+    return _packed(np.diff(offsets_of(words)).astype(np.uint32), bytes_of(words))
 
-def unpack(data: bytes) -> list[bytes]:
-    raw = zlib.decompress(data)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 4)).tolist()
-    body = raw[4 + 4 * n :]
-    return [body[a:b] for a, b in zip([0, *ends], ends)]
+
+def _words(data: bytes) -> pa.Array:
+    lengths, values = _unpacked(data, "<u4", "u1")
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _stretches(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of stretches given by start and length, one stretch after the other."""
+    total = np.cumsum(length)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - length), length)
 
 
 def encoder(tokenizer: Tokenizer):
-    """``bytes of a word -> ids``, as the library encodes the word alone."""
-    letters, merge = byte_letters(), tokenizer.model.tokenize
-    table = str.maketrans({chr(b): c for b, c in letters.items()})
+    """``words as bytes -> number of ids of each, all ids``, as the library encodes each word alone."""
+    table, merge = str.maketrans({chr(b): c for b, c in byte_letters().items()}), tokenizer.model.tokenize
 
-    def encode(words: list[bytes]) -> list[np.ndarray]:
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found: list = [None] * len(words)
         whole = []
         for i, word in enumerate(words):
             # A word of plain ASCII is one pre-token; others may be texts that were not split.
             if word.isascii() and b"<|" not in word:
-                found[i] = np.array([t.id for t in merge(word.decode().translate(table))], np.uint32)
+                found[i] = [t.id for t in merge(word.decode().translate(table))]
             else:
                 whole.append(i)
-        codes = tokenizer.encode_batch_fast([words[i].decode() for i in whole], add_special_tokens=False)
-        for i, code in zip(whole, codes):
-            found[i] = np.array(code.ids, np.uint32)
-        return found
+        for start in range(0, len(whole), 10_000):
+            part = whole[start : start + 10_000]
+            codes = tokenizer.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False)
+            for i, code in zip(part, codes):
+                found[i] = code.ids
+        return np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.uint32)
 
     return encode
 
@@ -95,74 +114,113 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-n_bytes // CHUNK))
-    chunked = (
-        rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-        .repartition(n, "chunk")
-        .sortWithinPartitions("chunk")
-    )
     split = F.when(whole, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)))
-    worded = chunked.select("chunk", "doc_id", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(split).alias("words"))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct words of each chunk, by their hash."""
-        now, held = None, []
-
-        def packed():
-            words = pc.unique(pa.concat_arrays(held)).cast(pa.binary()).to_pylist()
-            by_bucket: dict[int, list[bytes]] = {}
-            for word in sorted(words):
-                by_bucket.setdefault(zlib.crc32(word) % n, []).append(word)
-            keys = sorted(by_bucket)
+    none = F.array().cast("array<string>")
+    worded = rows.select("doc_id", F.when(F.col("text") == "", none).otherwise(split).alias("words"))
+
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Consecutive texts as numbers of their distinct words, these in the order of their buckets."""
+        ids: list[pa.Array] = []
+        counts: list[np.ndarray] = []
+        words: list[pa.Array] = []
+
+        def full() -> pa.RecordBatch:
+            coded = pa.concat_arrays(words).dictionary_encode()
+            distinct = coded.dictionary
+            bucket = np.array([zlib.crc32(w) % n for w in distinct.to_pylist()], np.int64)
+            order = np.lexsort((pc.rank(distinct).to_numpy(), bucket))
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
+            numbers = place[coded.indices.to_numpy()] if len(order) else np.zeros(0, np.uint32)
+            doc_ids = pa.concat_arrays(ids)
+            texts = _packed(
+                doc_ids.is_valid().to_numpy(zero_copy_only=False), doc_ids.fill_null(0).to_numpy(), np.concatenate(counts), numbers
+            )
+            listed = _packed_words(distinct.take(pa.array(order)))
+            # Named by what it holds, so that a repeated task gives the same name.
+            name = int.from_bytes(hashlib.blake2b(texts + listed, digest_size=8).digest(), "little", signed=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int32()), pa.array([now] * len(keys), pa.int32()), pa.array([pack(by_bucket[k]) for k in keys], pa.binary())],
-                ["bucket", "chunk", "words"],
+                [pa.array([name], pa.int64()), pa.array([texts], pa.binary()), pa.array([listed], pa.binary())],
+                ["chunk", "texts", "words"],
             )
 
+        size = 0
+        for batch in batches:
+            for row in range(0, batch.num_rows, 500):
+                part = batch.slice(row, 500)
+                own = part.column(1).flatten().cast(pa.large_binary())
+                ids.append(part.column(0))
+                counts.append(part.column(1).value_lengths().to_numpy().astype(np.int32))
+                words.append(own)
+                size += int(offsets_of(own)[-1])
+                if size >= CHUNK:
+                    yield full()
+                    ids, counts, words, size = [], [], [], 0
+        if ids:
+            yield full()
+
+    def buckets(words: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+        keys = np.array([zlib.crc32(w) % n for w in words.to_pylist()], np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        yield from ((int(keys[a]), words.slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if a < b)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct words of each chunk, by their bucket."""
         for batch in batches:
-            chunks = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if now is not None and chunks[a] != now:
-                    yield packed()
-                    held = []
-                now = int(chunks[a])
-                held.append(pc.unique(batch.column(2).slice(a, b - a).flatten()))
-        if held:
-            yield packed()
+            for name, listed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                parts = [(key, _packed_words(part)) for key, part in buckets(_words(listed))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in parts], pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())],
+                    ["bucket", "chunk", "words"],
+                )
 
     def answer(table: pa.Table) -> pa.Table:
         """Each distinct word of a bucket encoded once, for every chunk that asked."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        asked = [unpack(x) for x in table.column("words").to_pylist()]
-        distinct = sorted(set().union(*asked))
-        ids = dict(zip(distinct, encoder(Tokenizer.from_str(shared.value))(distinct)))
-        packed = [pack([ids[w].tobytes() for w in words]) for words in asked]
-        return table.select(["chunk", "words"]).append_column("ids", pa.array(packed, pa.binary()))
+        asked = [_words(x) for x in table.column("words").to_pylist()]
+        coded = pa.concat_arrays(asked).dictionary_encode()
+        size, flat = encoder(Tokenizer.from_str(shared.value))(coded.dictionary.to_pylist())
+        start, numbers = np.cumsum(size) - size, coded.indices.to_numpy()
+        packed, done = [], 0
+        for words in asked:
+            own = numbers[done : done + len(words)]
+            packed.append(_packed(size[own].astype(np.uint32), flat[_stretches(start[own], size[own])]))
+            done += len(words)
+        return table.select(["bucket", "chunk"]).append_column("ids", pa.array(packed, pa.binary()))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Ids for every word of the chunk's documents, in the words' places."""
-        lists = left.column("words").combine_chunks()
-        ends = lists.offsets.to_numpy().astype(np.int64)
-        words = [w for x in right.column("words").to_pylist() for w in unpack(x)]
-        codes = [c for x in right.column("ids").to_pylist() for c in unpack(x)]
-        size = np.array([len(c) // 4 for c in codes], np.int64)
-        flat = np.frombuffer(b"".join(codes), np.uint32)
+        """Ids for every word of the chunk's texts, in the words' places."""
+        # A chunk's words are in the order of the buckets, and so are the answers.
+        _, first = np.unique(right.column("bucket").to_numpy(), return_index=True)  # equal chunks ask twice
+        right = right.take(first)
+        parts = [_unpacked(x, "<u4", "<u4") for x in right.column("ids").to_pylist()]
+        size = np.concatenate([x for x, _ in parts] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        flat = np.concatenate([x for _, x in parts] or [np.zeros(0, np.uint32)])
         start = np.cumsum(size) - size
-        place = pc.index_in(lists.values.cast(pa.binary()), value_set=pa.array(words, pa.binary())).to_numpy()
-        length = size[place] if len(place) else np.zeros(0, np.int64)
-        total = np.concatenate([[0], np.cumsum(length)])
-        at = np.arange(total[-1]) + np.repeat((start[place] if len(place) else length) - total[:-1], length)
-        ids = pa.ListArray.from_arrays(total[ends].astype(np.int32), pa.array(flat[at].astype(np.int32)))
-        return pa.table({"doc_id": left.column("doc_id"), "ids": ids})
-
+        tables = []
+        for x in left.column("texts").to_pylist():  # several only if chunks are equal
+            valid, doc_ids, counts, numbers = _unpacked(x, "?", "<i8", "<i4", "<u4")
+            ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            row = 0
+            while row < len(counts):
+                stop = max(int(np.searchsorted(ends, ends[row] + SLICE, side="right")) - 1, row + 1)
+                own = numbers[ends[row] : ends[stop]]
+                length = size[own]
+                total = np.concatenate([[0], np.cumsum(length)])
+                ids = flat[_stretches(start[own], length)].astype(np.int32)
+                lists = pa.ListArray.from_arrays(total[ends[row : stop + 1] - ends[row]].astype(np.int32), pa.array(ids))
+                tables.append(pa.table([pa.array(doc_ids[row:stop], mask=~valid[row:stop]), lists], names=["doc_id", "ids"]))
+                row = stop
+        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        return pa.concat_tables(tables) if tables else empty
+
+    chunks = worded.mapInArrow(chunk, "chunk bigint, texts binary, words binary").repartition(n, "chunk")
     answered = (
-        worded.mapInArrow(ask, "bucket int, chunk int, words binary")
+        chunks.mapInArrow(ask, "bucket int, chunk bigint, words binary")
         .groupBy("bucket")
-        .applyInArrow(answer, "chunk int, words binary, ids binary")
+        .applyInArrow(answer, "bucket int, chunk bigint, ids binary")
     )
-    return worded.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(join, "doc_id bigint, ids array<int>")
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(join, "doc_id bigint, ids array<int>")
 
 
 def piece_table(vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
