@@ -116,7 +116,7 @@ def _edge_list_file(spark, sf_dir) -> tk.sources.edge_list.EdgeList:
 def _adjacency_file(spark, sf_dir) -> DataFrame:
     adj = tk.adjacency(trade(spark, sf_dir), "both")
     path = tk.write_neighbor_list(adj, scratch_path(spark))
-    return tk.read_adjacency(spark, path)
+    return tk.read_adjacency(spark, path, merge=True)
 
 
 def _clique_file(spark, sf_dir, sep) -> DataFrame:
@@ -138,7 +138,7 @@ def _bigger(spark, sf_dir) -> DataFrame:
 
 
 def _ranked_by_id(edges: DataFrame) -> DataFrame:
-    return tk.rank_graph(edges, "id", order_bound=LIST_BOUND).out
+    return tk.rank_graph(edges, "id").out
 
 
 def _first_states(spark, sf_dir) -> DataFrame:
@@ -151,6 +151,10 @@ def _first_children(spark, sf_dir) -> DataFrame:
     return tk.expand(tk.init_frontier(lists), lists)
 
 
+def _maximal_of(edges: DataFrame, listed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return tk.is_maximal(listed(edges), edges)
+
+
 def _count(k: int, **options) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: tk.count_kcliques(trade(spark, sf_dir), k, **options)
 
@@ -180,7 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "neighbor_lookup": lambda s, d: list_rows(
             tk.neighbors(
-                tk.adjacency(trade(s, d), "both"),
+                trade_edges(s, d),
                 s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("v")),
             )
         ),
@@ -222,7 +226,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         .agg(F.count(F.lit(1)).alias("n_cliques")),
         "maximal_exact_k6": lambda s, d: tk.count_maximal_k(trade(s, d), 6),
         "is_maximal_k4": lambda s, d: clique_rows(
-            tk.is_maximal(tk.kcliques(trade(s, d), 4), trade(s, d))
+            _maximal_of(trade(s, d), lambda edges: tk.kcliques(edges, 4))
+        ),
+        "is_maximal_upto_k4": lambda s, d: clique_rows(
+            _maximal_of(trade(s, d), lambda edges: tk.cliques_upto(edges, 4))
         ),
     }
     for strategy in ("join", "broadcast", "ego"):
@@ -301,7 +308,10 @@ parsed as (
   select line, len(t) as n, try_cast(t[1] as bigint) as src, try_cast(t[2] as bigint) as dst
   from tokens where t[1] <> '' and not starts_with(t[1], '#'))"""
 
-LIST_ROWS = "select v, 0 as part, len(nbrs)::bigint as degree, array_to_string(nbrs, ' ') as nbrs from {source}"
+#: A row for every LIST_BOUND neighbors; an empty list has one.
+LIST_ROWS = f"""select v, p::int as part, len(nbrs)::bigint as degree,
+  array_to_string(nbrs[p * {LIST_BOUND} + 1:(p + 1) * {LIST_BOUND}], ' ') as nbrs
+from (select v, nbrs, unnest(range(greatest((len(nbrs) + {LIST_BOUND - 1}) // {LIST_BOUND}, 1))) as p from {{source}})"""
 
 HISTOGRAM = f"""with recursive {EDGES}, {IDS}, {OUT}, {_states(6)},
 counts as (
@@ -355,8 +365,10 @@ full_lists as (select ids.v, coalesce(i.nbrs, []) as nbrs from ids left join ins
         + LIST_ROWS.format(source="full_lists"),
         "neighbor_lookup": f"with {EDGES}, {ARCS}, {LISTS} "
         + LIST_ROWS.format(source="lists where v in (select s_suppkey from supplier)"),
-        "list_integrity": f"""with {EDGES}, {ARCS} select count(distinct v)::bigint as n_lists,
-  count(distinct v)::bigint as n_keys, count(distinct v)::bigint as n_vertices, 0::bigint as n_duplicated from arcs""",
+        "list_integrity": f"""with {EDGES}, {ARCS}, sizes as (
+  select v, (count(*) + {LIST_BOUND - 1}) // {LIST_BOUND} as parts from arcs group by v)
+select sum(parts)::bigint as n_lists, sum(parts)::bigint as n_keys, count(*)::bigint as n_vertices,
+  0::bigint as n_duplicated from sizes""",
         "degrees": f"with {EDGES}, {ARCS} select v, count(*)::bigint as degree from arcs group by v",
         "graph_info": f"""with {EDGES}, {ARCS}, n as (
   select count(distinct v) as v, count(*) // 2 as e from arcs)
@@ -366,9 +378,8 @@ select v::bigint as n_vertices, e::bigint as n_edges, e / v as edges_per_vertex,
          (select count(*) from edges) as e)
 select format('{{:,}}', v) as n_vertices, format('{{:,}}', e) as n_edges,
   format('{{:.2f}}', e / v) as edges_per_vertex, format('{{:.2f}}', 2 * e / v) as avg_degree from n""",
-        "ego_network": f"""with {EDGES}, {ARCS}
-select p.v as anchor, e.src as a, e.dst as b
-from edges e join arcs p on p.w = e.src join arcs q on q.v = p.v and q.w = e.dst""",
+        "ego_network": f"""with {EDGES}, {triangles.replace("tri as (", "tri as materialized (")}
+select x as anchor, y as a, z as b from tri union all select y, x, z from tri union all select z, x, y from tri""",
         "ego_network_above": f"with {EDGES}, {triangles} select x as anchor, y as a, z as b from tri",
         "init_frontier": bigger
         + "select v::varchar as clique, array_to_string(nbrs, ' ') as ext from full_lists",
@@ -410,6 +421,8 @@ where len(list_intersect(list_intersect(list_intersect(list_intersect(list_inter
   l6.nbrs, l5.nbrs), l4.nbrs), l3.nbrs), l2.nbrs), l1.nbrs)) = 0""",
         "is_maximal_k4": maximal + maximal_rows.replace("anchor", "list_min(clique) as anchor")
         + " where clique_size = 4",
+        "is_maximal_upto_k4": maximal + maximal_rows.replace("anchor", "list_min(clique) as anchor")
+        + " where clique_size <= 4",
     }
     for strategy in ("join", "broadcast", "ego"):
         found[f"kclique_count_k1_{strategy}"] = f"""with {EDGES} select 1 as clique_size, count(*)::bigint as n_cliques

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tightknit.plans.stable import LIST_BOUND, stable
@@ -38,48 +38,32 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
+def _pairs(edges: DataFrame, direction: str) -> DataFrame:
+    """``(v, w)``: v and each of its neighbors in the given direction."""
+    if direction == "out":
+        return edges.select(F.col("src").alias("v"), F.col("dst").alias("w"))
+    if direction == "in":
+        return edges.select(F.col("dst").alias("v"), F.col("src").alias("w"))
+    if direction == "both":
+        return symmetrize(edges).toDF("v", "w")
+    raise ValueError(f"direction must be 'out', 'in' or 'both', got {direction!r}")
+
+
 def adjacency(
     edges: DataFrame,
     direction: str = "both",
     vertices: DataFrame | None = None,
     list_bound: int = LIST_BOUND,
+    num_partitions: int | None = None,
 ) -> DataFrame:
     """Sorted neighbor lists ``(v, part, degree, nbrs)``.
 
     ``direction`` is ``out`` (neighbors above v), ``in`` (below v) or ``both``.
-    ``degree`` is the full list length. A vertex has one row, ``part`` 0, unless
-    its list is longer than ``list_bound``: then its neighbors are spread over
-    several parts by hash, each sorted, so no task ever holds a hub's whole list.
-    ``vertices`` adds an empty list for every vertex that has none.
+    ``degree`` is the full list length. A list has a row for every ``list_bound`` neighbors: ``part`` is
+    the place in the ascending list divided by it, so the parts of a vertex in order are its list, and no
+    task ever holds a hub's whole list. ``vertices`` adds an empty list for every vertex that has none.
     """
-    if direction == "out":
-        pairs = edges.select(F.col("src").alias("v"), F.col("dst").alias("w"))
-    elif direction == "in":
-        pairs = edges.select(F.col("dst").alias("v"), F.col("src").alias("w"))
-    elif direction == "both":
-        pairs = symmetrize(edges).toDF("v", "w")
-    else:
-        raise ValueError(f"direction must be 'out', 'in' or 'both', got {direction!r}")
-
-    counts = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
-    long_lists = stable(counts.filter(F.col("degree") > list_bound))
-    if long_lists.isEmpty():
-        lists = pairs.groupBy("v").agg(F.sort_array(F.collect_list("w")).alias("nbrs"))
-        lists = lists.select(
-            "v", F.lit(0).alias("part"), F.size("nbrs").cast("bigint").alias("degree"), "nbrs"
-        )
-    else:
-        n_parts = F.ceil(F.col("degree") / F.lit(list_bound))
-        part = F.pmod(F.xxhash64("w"), n_parts).cast("int")
-        lists = (
-            pairs.join(long_lists, "v", "left")
-            .withColumn("part", F.coalesce(part, F.lit(0)))
-            .groupBy("v", "part")
-            .agg(F.max("degree").alias("degree"), F.sort_array(F.collect_list("w")).alias("nbrs"))
-            .select(
-                "v", "part", F.coalesce("degree", F.size("nbrs").cast("bigint")).alias("degree"), "nbrs"
-            )
-        )
+    lists = _lists(_pairs(edges, direction), list_bound, num_partitions)
     if vertices is not None:
         bare = vertices.select("v").join(lists.select("v").distinct(), "v", "left_anti")
         lists = lists.unionByName(
@@ -91,9 +75,47 @@ def adjacency(
     return lists
 
 
-def neighbors(adj: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Rows of ``adj`` that belong to the given ``vertices(v)``."""
-    return adj.join(vertices.select("v"), "v", "left_semi")
+def _lists(pairs: DataFrame, list_bound: int, num_partitions: int | None) -> DataFrame:
+    counts = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
+    long_lists = stable(counts.filter(F.col("degree") > list_bound))
+    none_long = long_lists.isEmpty()  # then every place is in part 0, and none is needed
+    short = pairs if none_long else pairs.join(long_lists, "v", "left_anti")
+    dealt = short.repartition(num_partitions, "v") if num_partitions else short
+    lists = dealt.groupBy("v").agg(F.sort_array(F.collect_list("w")).alias("nbrs"))
+    lists = lists.select("v", F.lit(0).alias("part"), F.size("nbrs").cast("bigint").alias("degree"), "nbrs")
+    if none_long:
+        return lists
+    placed = _places(pairs.join(long_lists, "v")).withColumn("part", F.floor(F.col("place") / list_bound).cast("int"))
+    parts = placed.groupBy("v", "part").agg(
+        F.max("degree").alias("degree"), F.sort_array(F.collect_list("w")).alias("nbrs")
+    )
+    return lists.unionByName(parts.select("v", "part", "degree", "nbrs"))
+
+
+def _places(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the 0-based place of w in the ascending list of v.
+
+    Pairs are ranged by (v, w) and numbered within a partition; what a vertex has in the
+    partitions before is added. Each cut between partitions goes through one vertex at most, so
+    there are no more such rows than partitions, and they can be broadcast.
+    """
+    ranged = stable(pairs.repartitionByRange("v", "w").withColumn("p", F.spark_partition_id()))
+    within = F.row_number().over(Window.partitionBy("v", "p").orderBy("w")) - 1
+    held = ranged.groupBy("v", "p").agg(F.count(F.lit(1)).alias("n"))
+    split = held.groupBy("v").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("v")
+    before = F.sum("n").over(Window.partitionBy("v").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    carried = held.join(split, "v", "left_semi").select("v", "p", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = ranged.withColumn("place", within).join(F.broadcast(carried), ["v", "p"], "left")
+    return numbered.withColumn("place", F.col("place") + F.coalesce("before", F.lit(0))).drop("before", "p")
+
+
+def neighbors(edges: DataFrame, vertices: DataFrame, direction: str = "both", list_bound: int = LIST_BOUND) -> DataFrame:
+    """The lists of the given ``vertices(v)`` only, as ``adjacency`` gives them.
+
+    Edges are cut down to these vertices before any list is built.
+    """
+    pairs = _pairs(edges, direction).join(vertices.select("v").hint("merge"), "v", "left_semi")
+    return _lists(stable(pairs), list_bound, None)
 
 
 def prune_vertices(adj: DataFrame, k: int) -> DataFrame:
@@ -102,13 +124,20 @@ def prune_vertices(adj: DataFrame, k: int) -> DataFrame:
 
 
 def list_integrity(adj: DataFrame) -> DataFrame:
-    """Number of lists, of distinct list keys and of vertices; all agree on a sound table."""
+    """Rows, distinct (v, part), distinct v, and how many (v, part) come twice.
+
+    On a sound table the first two agree and the last is 0; where no list is longer than the bound,
+    the third agrees too.
+    """
     per_key = adj.groupBy("v", "part").agg(F.count(F.lit(1)).alias("copies"))
-    return per_key.agg(
-        F.sum("copies").alias("n_lists"),
-        F.count(F.lit(1)).alias("n_keys"),
-        F.count_if(F.col("part") == 0).alias("n_vertices"),
-        F.count_if(F.col("copies") > 1).alias("n_duplicated"),
+    per_vertex = per_key.groupBy("v").agg(
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("parts"), F.count_if(F.col("copies") > 1).alias("twice")
+    )
+    return per_vertex.agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("n_lists"),
+        F.coalesce(F.sum("parts"), F.lit(0)).alias("n_keys"),
+        F.count(F.lit(1)).alias("n_vertices"),
+        F.coalesce(F.sum("twice"), F.lit(0)).alias("n_duplicated"),
     )
 
 

@@ -55,14 +55,17 @@ def bound_prune(frontier: DataFrame, k: int) -> DataFrame:
 
 
 def expand(frontier: DataFrame, lists: DataFrame) -> DataFrame:
-    """All children ``(clique, ext)`` of all states, for the ranked lists they started from."""
+    """All children ``(clique, ext)`` of all states, for the ranked lists they started from.
+
+    What is adjacent to a candidate and still possible stands behind it in ``ext``.
+    """
     _check_whole(lists)
-    fan = frontier.select("clique", "ext", F.explode("ext").alias("w"))
+    fan = unfold(frontier, "ext").select("clique", "w", after("ext", "pos").alias("rest"))
     fetched = fan.join(lists.select(F.col("v").alias("w"), "nbrs").hint("merge"), "w", "left")
     return computed(
         fetched,
         [F.array_append("clique", F.col("w")).alias("clique")],
-        ext=F.array_intersect("ext", F.coalesce("nbrs", empty_list())),
+        ext=ordered_intersect("rest", F.coalesce("nbrs", empty_list())),
     )
 
 
@@ -104,8 +107,8 @@ def clique_histogram(
 ) -> DataFrame:
     """``(clique_size, n_cliques)`` for every size 1..k, zero counts included.
 
-    The levels share one plan; each level's shuffle is planned once and reused
-    by the branch that counts it and the branch that grows it.
+    Each level in between is a stored table, counted and grown from there, so that no list
+    is intersected twice.
     """
     _check(k, strategy)
     parts = [count_kcliques(edges, size, vertices=vertices) for size in range(1, min(k, 2) + 1)]
@@ -193,35 +196,45 @@ def cliques_per_anchor(
     return anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_cliques"))
 
 
-def wedges(graph: RankedGraph, behind: int) -> DataFrame:
+def unfold(rows: DataFrame, array: str, longest: int | None = None, w: str = "w") -> DataFrame:
+    """``rows`` once per element of ``array``, with the element ``w`` and its 0-based place ``pos``.
+
+    A row of n ids becomes n rows of up to n ids. If ``longest`` says that there may be more than
+    ``PIECE`` of them, or is not given, rows are first cut into pieces that go to several tasks.
+    """
+    whole = longest is not None and longest <= PIECE
+    if not whole:
+        n = F.size(array)
+        first = F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(PIECE))).alias("first")
+        rows = rows.select("*", first).repartition(_spread(rows))
+        piece, start = F.slice(array, F.col("first") + 1, F.lit(PIECE)), F.col("first")
+    else:
+        piece, start = F.col(array), F.lit(0)
+    kept = [c for c in rows.columns if c != "first" or whole]
+    unfolded = rows.select("*", F.posexplode(piece).alias("_i", w))
+    return unfolded.select(*kept, (start + F.col("_i")).alias("pos"), w)
+
+
+def wedges(graph: RankedGraph, behind: int, least: int = 0) -> DataFrame:
     """``(anchor, w, rest)`` for every ranked edge anchor-w.
 
     ``rest`` is the part of the anchor's list behind w, of at least ``behind``
-    vertices. A list of n ids unfolds into n rows of up to n ids, so long lists
-    are unfolded piece by piece in several tasks.
+    vertices. Anchors with lists of fewer than ``least`` vertices are left out.
     """
-    lists = graph.out.filter(F.col("n_out") > behind).select("v", "n_out", "nbrs")
-    pieces = lists.withColumn("first", F.lit(0))
-    if graph.longest > PIECE:
-        first = F.explode(F.sequence(F.lit(0), F.col("n_out") - 1, F.lit(PIECE))).alias("first")
-        cut = lists.filter(F.col("n_out") > PIECE).select("v", "n_out", "nbrs", first)
-        cut = cut.repartition(_spread(lists), "v", "first")
-        pieces = pieces.filter(F.col("n_out") <= PIECE).unionByName(cut)
-    piece = F.slice("nbrs", F.col("first") + 1, F.lit(PIECE))
-    rows = pieces.select("v", "n_out", "nbrs", "first", F.posexplode(piece).alias("i", "w"))
-    rows = rows.withColumn("pos", F.col("first") + F.col("i"))
+    lists = graph.out.filter((F.col("n_out") > behind) & (F.col("n_out") >= least))
+    rows = unfold(lists.select("v", "n_out", "nbrs"), "nbrs", graph.longest)
     rows = rows.filter(F.col("n_out") - F.col("pos") > behind)
     return rows.select(F.col("v").alias("anchor"), "w", after("nbrs", "pos").alias("rest"))
 
 
-def wedge_closures(graph: RankedGraph, lists: DataFrame, how: str = "inner") -> DataFrame:
+def wedge_closures(graph: RankedGraph, lists: DataFrame, how: str = "inner", least: int = 0) -> DataFrame:
     """``(anchor, w, ext)`` per ranked edge anchor-w: the triangles above it.
 
     ``ext`` lists the common higher-ranked neighbors in rank order. ``lists(w,
     nbrs)`` is the side to fetch from; with ``how='inner'`` edges that close no
-    triangle are left out.
+    triangle are left out. ``least`` is the shortest list of an anchor.
     """
-    fan = wedges(graph, 1 if how == "inner" else 0)
+    fan = wedges(graph, 1 if how == "inner" else 0, least)
     ext = ordered_intersect("rest", F.coalesce("nbrs", empty_list()))
     closed = computed(fan.join(lists, "w", how), ["anchor", "w"], ext=ext)
     return closed.filter(F.size("ext") > 0) if how == "inner" else closed
@@ -252,34 +265,43 @@ def _levels(
 
     pair = _carry(members, F.array("anchor", "w"))
     if strategy == "ego" and k > 3:
-        # The restricted lists are the states of size 2 as well.
-        local = stable(wedge_closures(graph, lists))
+        # The restricted lists are the states of size 2 as well. An anchor needs k - 1 others.
+        local = stable(wedge_closures(graph, lists, least=k - 1 if prune else 0))
         frontier = local.select("anchor", *pair, "ext").filter(F.size("ext") >= missing(2))
         lists, keys = local.withColumnRenamed("ext", "nbrs").hint("merge"), ["anchor", "w"]
     else:
-        fan = wedges(graph, missing(2)).select("anchor", "w", "rest", *pair)
-        frontier = _meet(fan, lists, keys, missing(2), members)
+        fan = wedges(graph, missing(2), k - 1 if prune else 0).select("anchor", "w", "rest", *pair)
+        frontier = _meet(fan, lists, keys, missing(2), members, num_partitions)
+        if not prune and k > 3:  # read again to be counted and to grow
+            frontier = stable(frontier)
     levels = {2: frontier}
     for size in range(3, k):
         if strategy == "broadcast" and size == min(4, k - 1):
             # Without a shuffle join all cliques of a vertex would grow in its task.
             frontier = frontier.repartition(num_partitions or _spread(graph.out))
-        frontier = _meet(_fan(frontier, missing(size), members), lists, keys, missing(size), members)
+        fan = _fan(frontier, missing(size), members, graph.longest)
+        frontier = _meet(fan, lists, keys, missing(size), members, num_partitions)
+        if not prune and size < k - 1:
+            frontier = stable(frontier)
         levels[size] = frontier
     return levels
 
 
-def _fan(frontier: DataFrame, behind: int, members: bool) -> DataFrame:
+def _fan(frontier: DataFrame, behind: int, members: bool, longest: int) -> DataFrame:
     """One row per candidate w that has at least ``behind`` further candidates behind it."""
-    fan = frontier.select("anchor", *_carry(members, "clique"), "ext", F.posexplode("ext").alias("pos", "w"))
+    fan = unfold(frontier.select("anchor", *_carry(members, "clique"), "ext"), "ext", longest)
     return fan.filter(F.size("ext") - F.col("pos") > behind).select(
         "anchor", "w", after("ext", "pos").alias("rest"),
         *_carry(members, F.array_append("clique", F.col("w"))),
     )
 
 
-def _meet(fan: DataFrame, lists: DataFrame, keys: list, missing: int, members: bool) -> DataFrame:
+def _meet(
+    fan: DataFrame, lists: DataFrame, keys: list, missing: int, members: bool, num_partitions: int | None = None
+) -> DataFrame:
     """The states after w has joined, if at least ``missing`` candidates remain."""
+    if num_partitions:
+        fan = fan.repartition(num_partitions, *keys)
     joined = fan.join(lists, keys)
     grown = computed(
         joined, ["anchor", *_carry(members, "clique")], ext=ordered_intersect("rest", "nbrs")

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tightknit.functions.arrays import computed, empty_list, ordered_intersect
-from tightknit.operators.graph import degrees, symmetrize
-from tightknit.operators.kclique import wedge_closures
+from tightknit.operators.graph import symmetrize
+from tightknit.operators.kclique import unfold, wedge_closures
 from tightknit.plans.ranked import RankedGraph, rank_graph
 from tightknit.plans.stable import MAX_BROADCAST_BYTES, fetch_side, list_bytes, stable, stable_measured
 
@@ -92,38 +92,41 @@ def count_maximal_k(
 def is_maximal(cliques: DataFrame, edges: DataFrame) -> DataFrame:
     """The rows of ``cliques(clique, ...)`` that no further vertex extends.
 
-    An extending vertex is adjacent to every member, so it is looked for among
-    the neighbors of the member with the fewest. Candidates are rows, and each
-    further member, by rising degree, keeps those it has an edge to.
+    An extending vertex is adjacent to every member. Candidates are the neighbors
+    of the member with the fewest. Each further member, by rising degree, keeps those it has an edge to:
+    one join per member of the largest clique, each over what the one before it has stored.
     """
+    keys = ["_hash", "_hash2"]
+    kept = stable(
+        cliques.withColumns({"_hash": F.xxhash64("clique"), "_hash2": F.xxhash64(F.lit(1), "clique")})
+    )
     arcs = stable(symmetrize(edges).toDF("m", "x"))
-    weight = stable(degrees(edges)).select(F.col("v").alias("m"), "degree")
+    weight = arcs.groupBy("m").agg(F.count(F.lit(1)).alias("degree"))
     member = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "m")
-    members = F.sort_array(F.collect_set(member))["m"]
     wanted = stable(
-        cliques.select(F.xxhash64("clique").alias("hash"), "clique", F.explode("clique").alias("m"))
+        kept.select(*keys, F.explode("clique").alias("m"))
+        .distinct()
         .join(weight, "m", "left")
-        .groupBy("hash", "clique")
-        .agg(members.alias("members"))
-        .select("clique", "members", F.size("members").alias("n"))
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(member))["m"].alias("members"))
     )
-    largest = wanted.agg(F.max("n")).first()[0] or 0
-
-    probe = wanted.withColumn("m", F.col("members")[0]).join(arcs, "m")
-    extended = []
-    for i in range(1, largest + 1):
-        extended.append(probe.filter(F.col("n") == i).select("clique"))
-        probe = probe.filter(F.col("n") > i).withColumn("m", F.get("members", F.lit(i)))
-        probe = probe.join(arcs, ["m", "x"], "left_semi")
-    if not extended:
-        return cliques
-    return cliques.join(reduce(DataFrame.unionByName, extended).distinct(), "clique", "left_anti")
-
-
-def _neighborhoods(graph: RankedGraph, max_broadcast_bytes: int) -> DataFrame:
+    largest = wanted.agg(F.max(F.size("members"))).first()[0] or 0
+    extended = [wanted.filter(F.size("members") == 1).withColumn("m", F.col("members")[0]).join(arcs, "m", "left_semi").select(*keys)]
+    probe = wanted.filter(F.size("members") > 1).withColumn("m", F.col("members")[0]).join(arcs, "m")
+    for i in range(1, largest):
+        probe = probe.withColumn("m", F.get("members", F.lit(i))).join(arcs, ["m", "x"], "left_semi")
+        probe = stable(probe.select(*keys, "members", "x"))
+        extended.append(probe.filter(F.size("members") == i + 1).select(*keys))
+        probe = probe.filter(F.size("members") > i + 1)
+    found = kept.join(reduce(DataFrame.unionByName, extended).distinct(), keys, "left_anti")
+    return found.select(*cliques.columns)
+
+
+def _neighborhoods(graph: RankedGraph, max_broadcast_bytes: int, min_size: int = 1) -> DataFrame:
     """``(anchor, m, n_low, nbrs)``: for every higher-ranked neighbor m of an anchor,
     its neighbors inside the anchor's list, the ``n_low`` ones ranked below m
-    first, the others in rank order."""
+    first, the others in rank order. Anchors with too few neighbors for ``min_size`` are left
+    out: they are lowest-ranked in no clique that is found or that shows one not to be maximal."""
     lists = graph.out.select(F.col("v").alias("w"), "nbrs")
     lists = fetch_side(lists, graph.n_bytes, max_broadcast_bytes)
     # Each triangle anchor-w-b is seen once, from w; b gets its share of it here.
@@ -134,7 +137,7 @@ def _neighborhoods(graph: RankedGraph, max_broadcast_bytes: int) -> DataFrame:
             b.alias("m"), F.lit(None).cast("array<bigint>").alias("ext"), F.col("w").alias("low")
         ),
     )
-    views = wedge_closures(graph, lists, "left").select(
+    views = wedge_closures(graph, lists, "left", min_size - 1).select(
         "anchor", F.inline(F.concat(F.array(own), share))
     )
     ext = F.coalesce(F.first("ext", ignorenulls=True), empty_list())
@@ -147,7 +150,7 @@ def _neighborhoods(graph: RankedGraph, max_broadcast_bytes: int) -> DataFrame:
 def _search(graph: RankedGraph, pivot: bool, min_size: int, max_broadcast_bytes: int) -> DataFrame:
     """``(members, rest)``: the cliques that nothing above their lowest-ranked member
     extends, with that member and without it, both ascending."""
-    local = _neighborhoods(graph, max_broadcast_bytes).withColumn("n_pool", F.size("nbrs"))
+    local = _neighborhoods(graph, max_broadcast_bytes, min_size).withColumn("n_pool", F.size("nbrs"))
     fan = _fan_bytes(F.col("n_pool"), F.col("n_low"), F.lit(1))
     local, seen = stable_measured(local, n_bytes=list_bytes("n_pool"), fan_bytes=fan)
     lists = local.select("anchor", "m", "nbrs")
@@ -166,7 +169,7 @@ def _search(graph: RankedGraph, pivot: bool, min_size: int, max_broadcast_bytes:
     while n_live:
         # A few states are brought to the lists rather than all lists to them.
         few = not broadcast_lists and seen["fan_bytes"] <= max_broadcast_bytes
-        grown = _branch(tables[-1].filter(~finished), local if few else lists, pivot, min_size, few)
+        grown = _branch(tables[-1].filter(~finished), local if few else lists, pivot, min_size, few, graph.longest)
         fan = _fan_bytes(F.col("n_pool"), F.size("done"), F.size("clique"))
         table, seen = stable_measured(grown, n_live=F.count_if(~finished), fan_bytes=fan)
         tables.append(table)
@@ -190,7 +193,9 @@ def _fan_bytes(n_pool, n_done, n_clique):
     return F.sum((n_pool - n_done).cast("bigint") * row)
 
 
-def _branch(live: DataFrame, lists: DataFrame, pivot: bool, min_size: int, few: bool) -> DataFrame:
+def _branch(
+    live: DataFrame, lists: DataFrame, pivot: bool, min_size: int, few: bool, longest: int | None = None
+) -> DataFrame:
     """Children of the live states, finished (empty pool) or with candidates left.
 
     With ``few`` the states are the broadcast side of the joins.
@@ -204,9 +209,9 @@ def _branch(live: DataFrame, lists: DataFrame, pivot: bool, min_size: int, few:
         live = near(live.select(*state, F.try_element_at("pool", F.lit(-1)).alias("m"))).join(lists, ["anchor", "m"])
         branches = F.array_except(branches, "nbrs")
     live = computed(live, state, branches=branches)
-    fan = live.select(*state, "branches", F.posexplode("branches").alias("i", "m")).select(
+    fan = unfold(live.select(*state, "branches"), "branches", longest, w="m").select(
         "anchor", "clique", "pool", "m",
-        F.concat("done", F.slice("branches", F.lit(1), F.col("i"))).alias("done"),
+        F.concat("done", F.slice("branches", F.lit(1), F.col("pos"))).alias("done"),
     )
     child = computed(
         near(fan).join(lists, ["anchor", "m"]), ["anchor"],

@@ -7,9 +7,8 @@ never changes a result, only the length of the lists:
 * ``degree``  rank by (degree, id). No vertex has more than sqrt(2E)
   higher-ranked neighbors, and a vertex of degree d at most 2E/d: the hubs,
   whose full neighbor lists are unbounded, have the shortest lists here.
-* ``id`` / ``random``  rank by id or by a seeded hash, for vertices of up to
-  ``ORDER_BOUND`` neighbors. Vertices above that bound rank after all others, by
-  degree, so their lists stay within the sqrt(2E) bound too.
+* ``id`` / ``random``  rank by id or by a seeded hash, whatever the degree. A list can be as long as the
+  largest degree, so these orders are for graphs without hubs of many millions of neighbors.
 """
 
 from __future__ import annotations
@@ -24,8 +23,6 @@ from tightknit.plans.stable import list_bytes, stable_measured
 
 ORDERS = ("degree", "id", "random")
 
-ORDER_BOUND = 1 << 12
-
 # Ids per partition of the list table, in bytes.
 PARTITION_BYTES = 256 << 20
 
@@ -49,7 +46,6 @@ def rank_graph(
     order: str = "degree",
     seed: int = 0,
     num_partitions: int | None = None,
-    order_bound: int = ORDER_BOUND,
 ) -> RankedGraph:
     """Orient canonical ``edges`` along ``order`` and collect the oriented lists."""
     if order not in ORDERS:
@@ -61,15 +57,11 @@ def rank_graph(
         cores = edges.sparkSession.sparkContext.defaultParallelism
         num_partitions = max(cores, -(-seen["ends"] * 4 // PARTITION_BYTES))
 
-    if order == "degree":
-        group, tie = F.col("degree"), F.lit(0).cast("bigint")
-    else:
-        group = F.when(F.col("degree") > order_bound, F.col("degree")).otherwise(0)
-        tie = F.lit(0).cast("bigint") if order == "id" else F.xxhash64(F.lit(seed), F.col("v"))
+    group = {"degree": F.col("degree"), "id": F.lit(0).cast("bigint"), "random": F.xxhash64(F.lit(seed), F.col("v"))}[order]
 
     def rank_of(end: str) -> DataFrame:
         return vertices.select(
-            F.col("v").alias(end), F.struct(group, tie, F.col("v")).alias(f"{end}_rank")
+            F.col("v").alias(end), F.struct(group, F.col("v")).alias(f"{end}_rank")
         )
 
     ranked = edges.join(rank_of("src"), "src").join(rank_of("dst"), "dst")

@@ -19,8 +19,15 @@ def parse_adjacency_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_adjacency(spark: SparkSession, path) -> DataFrame:
-    return parse_adjacency_lines(spark.read.text(path))
+def read_adjacency(spark: SparkSession, path, merge: bool = False) -> DataFrame:
+    """``(v, nbrs)`` per line of the file, or with ``merge`` one ascending list per vertex.
+
+    A list in parts has a line for each. Merging holds a vertex's whole list in one row.
+    """
+    found = parse_adjacency_lines(spark.read.text(path))
+    if not merge:
+        return found
+    return found.groupBy("v").agg(F.sort_array(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
 
 
 def edges_from_adjacency(adj: DataFrame) -> DataFrame:
