@@ -122,7 +122,7 @@ def _adjacency_file(spark, sf_dir) -> DataFrame:
 def _clique_file(spark, sf_dir, sep) -> DataFrame:
     found = tk.kcliques(trade(spark, sf_dir), 4)
     compression = "gzip" if sep == "," else None
-    path = tk.write_cliques(found, scratch_path(spark), sep=sep, compression=compression)
+    path = tk.write_cliques(found, scratch_path(spark), sep=sep, compression=compression, num_partitions=3)
     return clique_rows(tk.read_cliques(spark, path, sep=sep))
 
 
@@ -237,6 +237,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             found[f"kclique_count_k{k}_{strategy}"] = _count(k, strategy=strategy)
     for order in ("id", "degree", "random"):
         found[f"kclique_count_{order}_order"] = _count(5, order=order, seed=7)
+    found["kclique_count_k4_partitions"] = _count(4, strategy="join", num_partitions=5)
     if text_operators:
         found |= text_operators.queries()
     if corpus_pipeline:
@@ -434,6 +435,7 @@ from (select src from edges union select dst from edges)"""
             found[f"kclique_count_k{k}_{strategy}"] = _count_sql(k)
     for order in ("id", "degree", "random"):
         found[f"kclique_count_{order}_order"] = _count_sql(5)
+    found["kclique_count_k4_partitions"] = _count_sql(4)
     if text_operators:
         found |= text_operators.oracle_sql()
     if corpus_pipeline and corpus_pipeline.ORACLE_SQL:

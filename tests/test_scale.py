@@ -211,3 +211,29 @@ def test_rounds_of_the_maximal_search_shuffle_the_lists_once(hub, no_broadcast):
     assert "ReusedExchange" in plan and plan.count("SortMergeJoin") >= 2
     few = final_plan(maximal._branch(live, local, True, 1, True))
     assert few.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in few
+
+
+def test_jobs_share_one_ranked_graph(hub, monkeypatch):
+    """Nothing is ranked again, and every job gives what it gives for the edges."""
+    graph = rank_graph(hub)
+    monkeypatch.setattr(kclique, "rank_graph", None)
+    found, _ = brute_cliques(HUB, 4)
+    for k in (1, 2, 3, 4):
+        assert tk.count_kcliques(graph, k).first().n_cliques == len(found[k])
+        assert cliques_of(tk.kcliques(graph, k)) == found[k]
+    assert cliques_of(tk.cliques_upto(graph, 4)) == {c for cs in found.values() for c in cs}
+    assert tk.triangle_count(graph).first()[0] == len(found[3])
+    assert tk.cliques_per_anchor(graph, 3).agg({"n_cliques": "sum"}).first()[0] == len(found[3])
+    assert tk.ego_network(graph, above=True).count() == len(found[3])
+    assert cliques_of(tk.maximal_cliques(graph)) == brute_maximal(HUB)
+
+
+def test_partition_counts_reach_the_joins_and_the_files(hub, no_broadcast, spark):
+    count = tk.count_kcliques(hub, 4, "join", num_partitions=7)
+    assert final_plan(count).count(", 7), REPARTITION_BY_NUM") == 2
+    found, _ = brute_cliques(HUB, 4)
+    assert count.first().n_cliques == len(found[4])
+    assert cliques_of(tk.maximal_cliques(hub, num_partitions=3)) == brute_maximal(HUB)
+    path = tk.write_cliques(tk.kcliques(hub, 4), f"{stable_module.table_folder(spark)}/in-three", num_partitions=3)
+    assert len(spark.read.text(path).inputFiles()) == 3
+    assert cliques_of(tk.read_cliques(spark, path)) == found[4]

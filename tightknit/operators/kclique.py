@@ -31,6 +31,9 @@ from tightknit.plans.stable import MAX_BROADCAST_BYTES, fetch_side, stable
 
 STRATEGIES = ("auto", "join", "broadcast", "ego")
 
+# Jobs take canonical edges, or a graph ranked once for many of them: its order is then theirs.
+Graph = DataFrame | RankedGraph
+
 # Candidates of one list that a single task unfolds.
 PIECE = 1 << 12
 
@@ -70,7 +73,7 @@ def expand(frontier: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def count_kcliques(
-    edges: DataFrame,
+    edges: Graph,
     k: int,
     strategy: str = "auto",
     order: str = "degree",
@@ -84,19 +87,19 @@ def count_kcliques(
     if k == 1:
         return _size_row(_all_vertices(edges, vertices).agg(F.count(F.lit(1)).alias("n")), 1)
     if k == 2:
-        return _size_row(edges.agg(F.count(F.lit(1)).alias("n")), 2)
-    graph = rank_graph(edges, order, seed, num_partitions)
+        return _size_row(_all_edges(edges).agg(F.count(F.lit(1)).alias("n")), 2)
+    graph = ranked(edges, order, seed, num_partitions)
     levels = _levels(graph, k, strategy, max_broadcast_bytes, num_partitions=num_partitions)
     return _size_row(levels[k - 1].agg(F.sum(F.size("ext")).alias("n")), k)
 
 
-def triangle_count(edges: DataFrame, strategy: str = "auto", order: str = "degree") -> DataFrame:
-    """``(n_triangles)``"""
-    return count_kcliques(edges, 3, strategy, order).select(F.col("n_cliques").alias("n_triangles"))
+def triangle_count(edges: Graph, strategy: str = "auto", order: str = "degree", **options) -> DataFrame:
+    """``(n_triangles)``; ``options`` as for ``count_kcliques``."""
+    return count_kcliques(edges, 3, strategy, order, **options).select(F.col("n_cliques").alias("n_triangles"))
 
 
 def clique_histogram(
-    edges: DataFrame,
+    edges: Graph,
     k: int,
     strategy: str = "auto",
     order: str = "degree",
@@ -113,7 +116,7 @@ def clique_histogram(
     _check(k, strategy)
     parts = [count_kcliques(edges, size, vertices=vertices) for size in range(1, min(k, 2) + 1)]
     if k > 2:
-        graph = rank_graph(edges, order, seed, num_partitions)
+        graph = ranked(edges, order, seed, num_partitions)
         levels = _levels(
             graph, k, strategy, max_broadcast_bytes, prune=False, num_partitions=num_partitions
         )
@@ -125,7 +128,7 @@ def clique_histogram(
 
 
 def kcliques(
-    edges: DataFrame,
+    edges: Graph,
     k: int,
     strategy: str = "auto",
     order: str = "degree",
@@ -139,24 +142,27 @@ def kcliques(
     if k == 1:
         return _clique_rows(_all_vertices(edges, vertices).select(F.array("v").alias("clique")))
     if k == 2:
-        return _clique_rows(edges.select(F.array("src", "dst").alias("clique")))
-    graph = rank_graph(edges, order, seed, num_partitions)
+        return _clique_rows(_all_edges(edges).select(F.array("src", "dst").alias("clique")))
+    graph = ranked(edges, order, seed, num_partitions)
     levels = _levels(
         graph, k, strategy, max_broadcast_bytes, members=True, num_partitions=num_partitions
     )
     return _complete(levels[k - 1])
 
 
-def triangles(edges: DataFrame, strategy: str = "auto", order: str = "degree") -> DataFrame:
-    return kcliques(edges, 3, strategy, order)
+def triangles(edges: Graph, strategy: str = "auto", order: str = "degree", **options) -> DataFrame:
+    """``kcliques`` of size 3, with its options."""
+    return kcliques(edges, 3, strategy, order, **options)
 
 
 def cliques_upto(
-    edges: DataFrame,
+    edges: Graph,
     k: int,
     strategy: str = "auto",
     order: str = "degree",
     vertices: DataFrame | None = None,
+    seed: int = 0,
+    num_partitions: int | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """All cliques of every size 1..k: ``(clique, clique_size, anchor)``."""
@@ -164,19 +170,22 @@ def cliques_upto(
     parts = [kcliques(edges, size, vertices=vertices) for size in range(1, min(k, 2) + 1)]
     if k > 2:
         levels = _levels(
-            rank_graph(edges, order), k, strategy, max_broadcast_bytes, members=True, prune=False
+            ranked(edges, order, seed, num_partitions), k, strategy, max_broadcast_bytes,
+            members=True, prune=False, num_partitions=num_partitions,
         )
         parts += [_complete(levels[size - 1]) for size in range(3, k + 1)]
     return _union(parts)
 
 
 def cliques_per_anchor(
-    edges: DataFrame,
+    edges: Graph,
     k: int,
     anchor: str = "min",
     strategy: str = "auto",
     order: str = "degree",
     vertices: DataFrame | None = None,
+    seed: int = 0,
+    num_partitions: int | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """``(anchor, n_cliques)``: k-cliques counted at their smallest or largest member."""
@@ -188,7 +197,8 @@ def cliques_per_anchor(
         anchors = kcliques(edges, k, vertices=vertices).select(pick("clique").alias("anchor"))
     else:
         levels = _levels(
-            rank_graph(edges, order), k, strategy, max_broadcast_bytes, members=True
+            ranked(edges, order, seed, num_partitions), k, strategy, max_broadcast_bytes,
+            members=True, num_partitions=num_partitions,
         )
         # Only the end of the finished clique is needed, so its array is not built.
         last = levels[k - 1].select(pick("clique").alias("end"), F.explode("ext").alias("w"))
@@ -336,8 +346,20 @@ def _size_row(total: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _all_vertices(edges: DataFrame, vertices: DataFrame | None) -> DataFrame:
-    found = vertices_of(edges)
+def ranked(edges: Graph, order: str, seed: int, num_partitions: int | None) -> RankedGraph:
+    """The ranked graph of ``edges``, or the one that is given in their place."""
+    return edges if isinstance(edges, RankedGraph) else rank_graph(edges, order, seed, num_partitions)
+
+
+def _all_edges(edges: Graph) -> DataFrame:
+    if not isinstance(edges, RankedGraph):
+        return edges
+    ends = edges.out.select("v", F.explode("nbrs").alias("w"))
+    return ends.select(F.least("v", "w").alias("src"), F.greatest("v", "w").alias("dst"))
+
+
+def _all_vertices(edges: Graph, vertices: DataFrame | None) -> DataFrame:
+    found = edges.vertices.select("v") if isinstance(edges, RankedGraph) else vertices_of(edges)
     return found if vertices is None else found.unionByName(vertices.select("v")).distinct()
 
 

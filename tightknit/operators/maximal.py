@@ -30,18 +30,19 @@ from pyspark.sql import functions as F
 
 from tightknit.functions.arrays import computed, empty_list, ordered_intersect
 from tightknit.operators.graph import symmetrize
-from tightknit.operators.kclique import unfold, wedge_closures
-from tightknit.plans.ranked import RankedGraph, rank_graph
+from tightknit.operators.kclique import Graph, ranked, unfold, wedge_closures
+from tightknit.plans.ranked import RankedGraph
 from tightknit.plans.stable import MAX_BROADCAST_BYTES, fetch_side, list_bytes, stable, stable_measured
 
 
 def maximal_cliques(
-    edges: DataFrame,
+    edges: Graph,
     pivot: bool = True,
     order: str = "degree",
     vertices: DataFrame | None = None,
     min_size: int = 1,
     seed: int = 0,
+    num_partitions: int | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """All maximal cliques of at least ``min_size`` members.
@@ -49,8 +50,8 @@ def maximal_cliques(
     ``(clique, clique_size, anchor)``, members ascending, anchor = largest.
     ``vertices`` adds isolated vertices, each a maximal clique of size 1.
     """
-    graph = rank_graph(edges, order, seed)
-    found = _search(graph, pivot, min_size, max_broadcast_bytes)
+    graph = ranked(edges, order, seed, num_partitions)
+    found = _search(graph, pivot, min_size, max_broadcast_bytes, num_partitions)
     # The hash leads the join key because arrays sort and compare slowly.
     key = [F.xxhash64("members").alias("hash"), "members"]
     remainders = found.filter(F.size("rest") > 1).select(F.col("rest").alias("members"))
@@ -66,15 +67,15 @@ def maximal_cliques(
 
 
 def maximal_histogram(
-    edges: DataFrame, pivot: bool = True, order: str = "degree", vertices: DataFrame | None = None
+    edges: Graph, pivot: bool = True, order: str = "degree", vertices: DataFrame | None = None, **options
 ) -> DataFrame:
-    """``(clique_size, n_cliques)`` over the maximal cliques."""
-    found = maximal_cliques(edges, pivot, order, vertices)
+    """``(clique_size, n_cliques)`` over the maximal cliques; ``options`` as for ``maximal_cliques``."""
+    found = maximal_cliques(edges, pivot, order, vertices, **options)
     return found.groupBy("clique_size").agg(F.count(F.lit(1)).alias("n_cliques"))
 
 
 def count_maximal_k(
-    edges: DataFrame, k: int, pivot: bool = True, order: str = "degree", vertices: DataFrame | None = None
+    edges: Graph, k: int, pivot: bool = True, order: str = "degree", vertices: DataFrame | None = None, **options
 ) -> DataFrame:
     """``(clique_size, n_cliques)``: the maximal cliques with exactly k members.
 
@@ -83,13 +84,13 @@ def count_maximal_k(
     """
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
-    found = maximal_cliques(edges, pivot, order, vertices, min_size=k)
+    found = maximal_cliques(edges, pivot, order, vertices, min_size=k, **options)
     return found.filter(F.col("clique_size") == k).agg(
         F.lit(k).alias("clique_size"), F.count(F.lit(1)).alias("n_cliques")
     )
 
 
-def is_maximal(cliques: DataFrame, edges: DataFrame) -> DataFrame:
+def is_maximal(cliques: DataFrame, edges: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """The rows of ``cliques(clique, ...)`` that no further vertex extends.
 
     An extending vertex is adjacent to every member. Candidates are the neighbors
@@ -115,7 +116,8 @@ def is_maximal(cliques: DataFrame, edges: DataFrame) -> DataFrame:
     probe = wanted.filter(F.size("members") > 1).withColumn("m", F.col("members")[0]).join(arcs, "m")
     for i in range(1, largest):
         probe = probe.withColumn("m", F.get("members", F.lit(i))).join(arcs, ["m", "x"], "left_semi")
-        probe = stable(probe.select(*keys, "members", "x"))
+        probe = probe.select(*keys, "members", "x")
+        probe = stable(probe.repartition(num_partitions, *keys) if num_partitions else probe)
         extended.append(probe.filter(F.size("members") == i + 1).select(*keys))
         probe = probe.filter(F.size("members") > i + 1)
     found = kept.join(reduce(DataFrame.unionByName, extended).distinct(), keys, "left_anti")
@@ -147,7 +149,9 @@ def _neighborhoods(graph: RankedGraph, max_broadcast_bytes: int, min_size: int =
     )
 
 
-def _search(graph: RankedGraph, pivot: bool, min_size: int, max_broadcast_bytes: int) -> DataFrame:
+def _search(
+    graph: RankedGraph, pivot: bool, min_size: int, max_broadcast_bytes: int, num_partitions: int | None = None
+) -> DataFrame:
     """``(members, rest)``: the cliques that nothing above their lowest-ranked member
     extends, with that member and without it, both ascending."""
     local = _neighborhoods(graph, max_broadcast_bytes, min_size).withColumn("n_pool", F.size("nbrs"))
@@ -171,6 +175,8 @@ def _search(graph: RankedGraph, pivot: bool, min_size: int, max_broadcast_bytes:
         few = not broadcast_lists and seen["fan_bytes"] <= max_broadcast_bytes
         grown = _branch(tables[-1].filter(~finished), local if few else lists, pivot, min_size, few, graph.longest)
         fan = _fan_bytes(F.col("n_pool"), F.size("done"), F.size("clique"))
+        if num_partitions:
+            grown = grown.repartition(num_partitions)
         table, seen = stable_measured(grown, n_live=F.count_if(~finished), fan_bytes=fan)
         tables.append(table)
         n_live = seen["n_live"]

@@ -14,21 +14,24 @@ def maximal_line(anchor="anchor", clique="clique"):
 
 def write_cliques(
     cliques: DataFrame, path: str, sep: str = ",", compression: str | None = "gzip",
-    run_id: str | None = None,
+    run_id: str | None = None, num_partitions: int | None = None,
 ) -> str:
-    """One clique per line, members joined by ``sep``."""
+    """One clique per line, members joined by ``sep``; as many files as ``num_partitions`` says."""
     target = run_path(path, run_id)
     lines = cliques.select(F.array_join("clique", sep).alias("value"))
+    lines = lines.repartition(num_partitions) if num_partitions else lines
     lines.write.option("compression", compression or "none").text(target)
     return target
 
 
 def write_maximal(
-    cliques: DataFrame, path: str, compression: str | None = None, run_id: str | None = None
+    cliques: DataFrame, path: str, compression: str | None = None, run_id: str | None = None,
+    num_partitions: int | None = None,
 ) -> str:
-    """``anchor<TAB>v1 v2 ...`` per maximal clique."""
+    """``anchor<TAB>v1 v2 ...`` per maximal clique; as many files as ``num_partitions`` says."""
     target = run_path(path, run_id)
     lines = cliques.select(maximal_line().alias("value"))
+    lines = lines.repartition(num_partitions) if num_partitions else lines
     lines.write.option("compression", compression or "none").text(target)
     return target
 
