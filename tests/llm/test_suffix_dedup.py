@@ -68,6 +68,8 @@ def test_odd_rows(docs_of):
     text = "The same passage of rather more than fifty bytes, which repeats itself."
     rows = [(None, text), (None, text), (4, text), (4, text), (4, "x" + text), (9, text + "tail"), (2, None)]
     assert run(docs_of, rows) == brute(rows)
+    same = docs_of(rows[:1]).repartition(1)  # chunks of equal content have one name
+    assert sd.without_repeats(same.unionByName(same).unionByName(docs_of(rows).repartition(1))).count() == len(rows) + 2
     assert sd.without_repeats(docs_of([])).count() == 0
 
 

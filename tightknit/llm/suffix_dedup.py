@@ -10,29 +10,31 @@ hashes. In the sorted order the suffixes that agree far enough to the right are
 neighbors; among these, equal hashes of what stands to the left make equal
 stretches, of which the smallest document is the first. Bytes are compared before a stretch counts.
 
-Documents are dealt to chunks of bounded size. A chunk asks once for each of its anchors
-whether another chunk has it, and sends each distinct context once, whatever the number of copies.
+A task keeps consecutive documents as a chunk of bounded size, which is shuffled once, compressed, for the three
+steps that read it. A chunk asks once for each of its anchors whether another chunk has it, and sends
+each distinct context once, whatever the number of copies.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tightknit.llm.batches import bytes_of, offsets_of
+from tightknit.llm.batches import bytes_of, offsets_of, pieces
 from tightknit.llm.shingles import mix
 
 SIZE, GRAM = 50, 24
 REACH = SIZE - GRAM  # bytes to either side of an anchor that one stretch can hold
 WIDTH = GRAM + 2 * REACH
 
-#: Bytes of text in a chunk, and those looked at together.
-CHUNK, SLICE = 16 << 20, 1 << 20
+#: Bytes of text after which a chunk is full, those searched for anchors at once, and contexts handled at once.
+CHUNK, SLICE, ROWS = 16 << 20, 1 << 20, 20_000
 
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _TOP = np.uint64(2**64 - 1)
@@ -70,22 +72,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Chunk:
-    """The texts of one chunk, equal rows once, and their anchors."""
-
-    def __init__(self, table: pa.Table):
-        rows = table.select(["doc_id", "version", "text"]).combine_chunks()
-        ids, version = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
-        known = np.flatnonzero(rows.column("doc_id").is_valid().to_numpy())
-        ids = np.where(rows.column("doc_id").is_null().to_numpy(), 0, ids).astype(np.int64)
-        _, first = np.unique(np.stack([ids[known], version[known]]), axis=1, return_index=True) if len(known) else (0, known)
-        self.rows = known[first]
-        texts = rows.column("text").combine_chunks()
-        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        texts = texts.take(pa.array(self.rows))
-        self.ids, self.version = ids[self.rows], version[self.rows]
-        self.data, self.offsets = bytes_of(texts), offsets_of(texts)
+    """The texts of one chunk, and the anchors of those with an id; equal rows count once."""
+
+    def __init__(self, blob: bytes):
+        self.valid, self.all_ids, self.all_versions, lengths, self.bytes = _unpack(blob, "?", "<i8", "<i8", "<i8", "u1")
+        self.ends = np.concatenate([[0], np.cumsum(lengths)])
+        known = np.flatnonzero(self.valid)
+        pairs = np.stack([self.all_ids[known], self.all_versions[known]])
+        first = np.unique(pairs, axis=1, return_index=True)[1] if len(known) else known
+        rows = np.sort(known[first])
+        self.ids, self.version = self.all_ids[rows], self.all_versions[rows]
+        keep = np.zeros(len(lengths), bool)
+        keep[rows] = True
+        self.data = self.bytes if keep.all() else self.bytes[np.repeat(keep, lengths)]
+        self.offsets = np.concatenate([[0], np.cumsum(lengths[rows])])
+
+    def find_anchors(self) -> "Chunk":
         places, hashes, start = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
-        while start < len(self.rows):
+        while start < len(self.ids):
             stop = max(int(np.searchsorted(self.offsets, self.offsets[start] + SLICE, side="right")) - 1, start + 1)
             a, b = self.offsets[start], self.offsets[stop]
             at, h = anchors(self.data[a:b], self.offsets[start : stop + 1] - a)
@@ -93,16 +97,17 @@ class Chunk:
             hashes.append(h)
             start = stop
         self.places, self.hashes = np.concatenate(places), np.concatenate(hashes)
+        return self
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
     sizes = np.array([len(a) for a in arrays], np.int64)
-    return zlib.compress(sizes.tobytes() + b"".join(a.tobytes() for a in arrays), 1)
+    return zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    raw, at, found = zlib.decompress(data), 8 * len(kinds), []
-    for size, kind in zip(np.frombuffer(raw, np.int64, len(kinds)), kinds):
+    raw, at, found = zstandard.ZstdDecompressor().decompress(data), 8 * len(kinds), []
+    for size, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds):
         found.append(np.frombuffer(raw, kind, size, at))
         at += size * np.dtype(kind).itemsize
     return found
@@ -139,7 +144,8 @@ def contexts(chunk: Chunk, places: np.ndarray, row: np.ndarray) -> tuple[np.ndar
 def prefix_hashes(cells: np.ndarray) -> np.ndarray:
     """Polynomial hash of the first j bytes of each row, for j up to the width."""
     sums = np.zeros((len(cells), WIDTH + 1), np.uint64)
-    np.cumsum(_VALUES[cells] * _POWERS, axis=1, dtype=np.uint64, out=sums[:, 1:])
+    for i in range(0, len(cells), ROWS):
+        np.cumsum(_VALUES[cells[i : i + ROWS]] * _POWERS, axis=1, dtype=np.uint64, out=sums[i : i + ROWS, 1:])
     return sums
 
 
@@ -162,7 +168,7 @@ def sent(chunk: Chunk, known: list[tuple[int, bytes]], n: int) -> Iterator[tuple
         first, last = np.flatnonzero(new_key), np.append(np.flatnonzero(new_key)[1:], len(key)) - 1
         wanted[order[(own[first] != own[last])[group]]] = True
     at = np.flatnonzero(wanted)
-    for part in np.array_split(at, max(1, -(-len(at) // 200_000))) if len(at) else []:
+    for part in np.array_split(at, max(1, -(-len(at) // 100_000))) if len(at) else []:
         yield from _sent_part(chunk, part, row, bucket)
 
 
@@ -365,23 +371,44 @@ def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     )
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-n_bytes // CHUNK))
-    chunked = (
-        rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "version"), F.lit(n)).cast("int"))
-        .repartition(n, "chunk")
-        .sortWithinPartitions("chunk")
-    )
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def full() -> pa.RecordBatch:
+            ids = pa.concat_arrays([x.column(0) for x in held])
+            blob = _pack(
+                ids.is_valid().to_numpy(zero_copy_only=False),
+                ids.fill_null(0).to_numpy(),
+                pa.concat_arrays([x.column(1) for x in held]).to_numpy(),
+                np.concatenate([np.diff(offsets_of(x.column(2))) for x in held]),
+                np.concatenate([bytes_of(x.column(2)) for x in held]),
+            )
+            # Named by what it holds, so that a repeated task gives the same name.
+            name = int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "blob"])
+
+        size = 0
+        for piece in pieces(batches):
+            held.append(piece)
+            size += int(offsets_of(piece.column(2))[-1])
+            if size >= CHUNK:
+                yield full()
+                held, size = [], 0
+        if held:
+            yield full()
 
     def table(names: list[str], columns: list[list], kinds: list[pa.DataType]) -> pa.Table:
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    def ask(part: pa.Table) -> pa.Table:
-        found = list(asked(Chunk(part), n))
-        own = part.column("chunk")[0].as_py()
-        return table(
-            ["bucket", "chunk", "hashes"],
-            [[b for b, _ in found], [own] * len(found), [x for _, x in found]],
-            [pa.int32(), pa.int32(), pa.binary()],
-        )
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = list(asked(Chunk(blob).find_anchors(), n))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b for b, _ in found], pa.int32()), pa.array([name] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())],
+                    ["bucket", "chunk", "hashes"],
+                )
 
     def answer(part: pa.Table) -> pa.Table:
         lists = [_unpack(x, "<u4")[0] for x in part.column("hashes").to_pylist()]
@@ -392,14 +419,13 @@ def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
-        if left.num_rows:
-            known = list(zip(right.column("bucket").to_pylist(), right.column("hashes").to_pylist()))
-            own = left.column("chunk")[0].as_py()
-            found = [(b, own, done, x) for b, done, x in sent(Chunk(left), known, n)]
+        known = list(zip(right.column("bucket").to_pylist(), right.column("hashes").to_pylist()))
+        for name, blob in zip(left.column("chunk").to_pylist(), left.column("blob").to_pylist()):
+            found += [(b, name, done, x) for b, done, x in sent(Chunk(blob).find_anchors(), known, n)]
         columns = [list(c) for c in zip(*found)] or [[], [], [], []]
-        # Settled spans only pass through; they go by the chunk's number.
-        columns[0] = [own_ % n if done else b for b, own_, done, _ in found]
-        return table(["bucket", "chunk", "done", "payload"], columns, [pa.int32(), pa.int32(), pa.bool_(), pa.binary()])
+        # Settled spans only pass through; they go by the chunk's name.
+        columns[0] = [name % n if done else b for b, name, done, _ in found]
+        return table(["bucket", "chunk", "done", "payload"], columns, [pa.int32(), pa.int64(), pa.bool_(), pa.binary()])
 
     def settle(part: pa.Table) -> pa.Table:
         chunks, done, payload = (part.column(c).to_pylist() for c in ("chunk", "done", "payload"))
@@ -408,7 +434,7 @@ def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         if todo:
             numbers, spans = settled([x for _, x in todo])
             out += [(todo[k][0], x) for k, x in zip(numbers, spans)]
-        return table(["chunk", "spans"], [[c for c, _ in out], [x for _, x in out]], [pa.int32(), pa.binary()])
+        return table(["chunk", "spans"], [[c for c, _ in out], [x for _, x in out]], [pa.int64(), pa.binary()])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = [_unpack(x, *SPANS) for x in right.column("spans").to_pylist()]
@@ -418,37 +444,42 @@ def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (version[1:] != version[:-1])])[: len(ids)])
         until = np.append(first[1:], len(ids))
         own = {(int(ids[a]), int(version[a])): (a, b) for a, b in zip(first, until)}
-        sizes, spans, kept = [], [], []
-        for doc, v, t in zip(*(left.column(c).to_pylist() for c in ("doc_id", "version", "text"))):
-            data = t.encode()
-            a, b = own.get((doc, v), (0, 0))
-            runs: list[list[int]] = []
-            for s, e in zip(begin[a:b].tolist(), stop[a:b].tolist()):
-                if runs and s <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], e)
-                else:
-                    runs.append([s, e])
-            edges = [0, *(x for run in runs for x in run), len(data)]
-            sizes.append(len(data))
-            spans.append([{"start": s, "stop": e} for s, e in runs])
-            kept.append(b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2])))
+        doc_ids, sizes, spans, kept = [], [], [], []
+        for blob in left.column("blob").to_pylist():
+            chunk = Chunk(blob)
+            for i, (known, doc, v) in enumerate(zip(chunk.valid.tolist(), chunk.all_ids.tolist(), chunk.all_versions.tolist())):
+                data = chunk.bytes[chunk.ends[i] : chunk.ends[i + 1]].tobytes()
+                a, b = own.get((doc, v), (0, 0)) if known else (0, 0)
+                runs: list[list[int]] = []
+                for s, e in zip(begin[a:b].tolist(), stop[a:b].tolist()):
+                    if runs and s <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], e)
+                    else:
+                        runs.append([s, e])
+                edges = [0, *(x for run in runs for x in run), len(data)]
+                doc_ids.append(doc if known else None)
+                sizes.append(len(data))
+                spans.append([{"start": s, "stop": e} for s, e in runs])
+                kept.append(b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2])))
         pair = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
-        return pa.table(
-            [left.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pair)), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_bytes", "spans", "kept"],
+        return table(
+            ["doc_id", "n_bytes", "spans", "kept"],
+            [doc_ids, sizes, spans, kept],
+            [pa.int64(), pa.int64(), pa.list_(pair), pa.binary()],
         )
 
-    by_chunk = chunked.groupBy("chunk")
+    chunks = rows.mapInArrow(gather, "chunk bigint, blob binary").repartition(n, "chunk")
+    by_chunk = chunks.groupBy("chunk")
     answered = (
-        by_chunk.applyInArrow(ask, "bucket int, chunk int, hashes binary")
+        chunks.mapInArrow(ask, "bucket int, chunk bigint, hashes binary")
         .groupBy("bucket")
-        .applyInArrow(answer, "bucket int, chunk int, hashes binary")
+        .applyInArrow(answer, "bucket int, chunk bigint, hashes binary")
     )
     spans = (
         by_chunk.cogroup(answered.groupBy("chunk"))
-        .applyInArrow(send, "bucket int, chunk int, done boolean, payload binary")
+        .applyInArrow(send, "bucket int, chunk bigint, done boolean, payload binary")
         .groupBy("bucket")
-        .applyInArrow(settle, "chunk int, spans binary")
+        .applyInArrow(settle, "chunk bigint, spans binary")
     )
     return by_chunk.cogroup(spans.groupBy("chunk")).applyInArrow(
         cut, "doc_id bigint, n_bytes bigint, spans array<struct<start:int,stop:int>>, kept binary"
