@@ -13,8 +13,23 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 4 << 20
 
 
+#: Rows sent to Python at once, which are whole texts.
+BATCH_ROWS = 1_000
+
+
+def small_batches(docs: DataFrame) -> None:
+    """Lower the session's rows per Arrow batch to ``BATCH_ROWS``.
+
+    Ten thousand texts, Spark's default, are tens of MB that the JVM and Python hold at the same time in every task.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+
+
 def id_text(docs: DataFrame, *more: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Id and whole text (null: empty) of every row, without the other columns."""
+    """Id and whole text (null: empty) of every row, without the other columns, for use in Python."""
+    small_batches(docs)
     return docs.select(
         docs[doc_id].cast("bigint").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"), *more
     )

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from tightknit.llm.batches import bytes_of, offsets_of
+from tightknit.llm.batches import bytes_of, offsets_of, small_batches
 
 # Fixed value: the split of byte-level BPE. (?U): white space as Unicode has it.
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -103,6 +103,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str
     this Java does not know, are encoded as one word. A null or empty text has no ids.
     One row per row of ``docs``, repeated ids too.
     """
+    small_batches(docs)
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as file:
         spec = file.read()

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tightknit.llm.batches import bytes_of, id_text, offsets_of, pieces
+from tightknit.llm.batches import bytes_of, id_text, offsets_of, pieces, small_batches
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -209,6 +209,7 @@ def of_known_language(docs: DataFrame, net: ByteNet, *, least: float = 0.5, text
 
     If nothing was learned, all rows are kept.
     """
+    small_batches(docs)
     if not net.languages:
         return docs
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tightknit.llm.batches import bytes_of, crc_of_id, offsets_of, pieces
+from tightknit.llm.batches import bytes_of, crc_of_id, offsets_of, pieces, small_batches
 from tightknit.plans.stable import stable
 
 ORDER = 4
@@ -251,6 +251,7 @@ def score(
     texts every symbol is equally likely, and every token unknown.
     ``held_out`` defaults to a tenth of the ids by crc32 of the id as text.
     """
+    small_batches(docs)
     out = crc_of_id(doc_id) % 10 == 0 if held_out is None else held_out
     rows = docs.select(
         docs[doc_id].cast("bigint").alias("doc_id"), out.alias("held_out"), F.coalesce(docs[text], F.lit("")).alias("text")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tightknit.llm.batches import bytes_of, offsets_of, pieces
+from tightknit.llm.batches import bytes_of, offsets_of, pieces, small_batches
 from tightknit.llm.shingles import mix
 
 SIZE, GRAM = 50, 24
@@ -364,6 +364,7 @@ def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     bytes. One row per row of ``docs``; null texts are empty. Rows without an id lose nothing and take nothing from
     others; rows with equal ids lose nothing to each other.
     """
+    small_batches(docs)
     rows = docs.select(
         docs[doc_id].cast("bigint").alias("doc_id"),
         F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("version"),
