@@ -184,8 +184,15 @@ def test_tables_go_to_the_shared_folder(spark, tmp_path, monkeypatch):
             def getConf():
                 return conf
 
+            @staticmethod
+            def getCheckpointDir():
+                return conf.get("set by the program")
+
     assert stable_module.table_folder(Session) == f"{shared}/tightknit-app-1"
     conf.clear()
+    conf["set by the program"] = "hdfs:///own"
+    assert stable_module.table_folder(Session) == "hdfs:///own/tightknit-app-1"
+    conf.clear()
     with pytest.raises(ValueError):
         stable_module.table_folder(Session)
 
@@ -196,6 +203,13 @@ def test_tables_are_written_below_the_folder(spark):
     tk.stable(spark.range(3))
     folder = Path(stable_module.table_folder(spark).replace("file:", ""))
     assert folder.exists()
+    table = tk.stable(spark.range(3))
+    path = Path(table.inputFiles()[0].replace("file://", "")).parent
+    assert path.exists()
+    tk.drop_table(table)
+    assert not path.exists() and folder.exists()
+    with pytest.raises(ValueError):
+        tk.drop_table(spark.read.parquet("/root/testdata/sf0.001/part.parquet"))
 
 
 def test_rounds_of_the_maximal_search_shuffle_the_lists_once(hub, no_broadcast):

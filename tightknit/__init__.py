@@ -36,7 +36,7 @@ from tightknit.operators.maximal import (
     maximal_histogram,
 )
 from tightknit.plans.ranked import rank_graph
-from tightknit.plans.stable import clear_tables, stable
+from tightknit.plans.stable import clear_tables, drop_table, stable
 from tightknit.sources.adjacency_text import (
     edges_from_adjacency,
     parse_adjacency_lines,
@@ -54,7 +54,7 @@ from tightknit.functions.text import clique_text, format_report, format_state
 
 __all__ = [
     "adjacency", "bound_prune", "clear_tables", "clique_histogram", "clique_text",
-    "cliques_per_anchor", "cliques_upto", "count_kcliques", "count_maximal_k", "degrees",
+    "cliques_per_anchor", "cliques_upto", "count_kcliques", "count_maximal_k", "degrees", "drop_table",
     "edges_from_adjacency", "edges_from_pairs", "ego_network", "expand", "format_report",
     "format_state", "graph_info", "init_frontier", "is_maximal", "kcliques", "list_integrity",
     "maximal_cliques", "maximal_histogram", "neighbors", "orient", "parse_adjacency_lines",

@@ -28,7 +28,11 @@ _own_folders: dict[str, str] = {}
 def table_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables of this application."""
     sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    shared = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or sc.getConf().get("spark.checkpoint.dir")
+        or sc.getCheckpointDir()  # set by the program itself
+    )
     if not shared:
         if not sc.master.startswith("local"):
             raise ValueError(
@@ -77,6 +81,17 @@ def list_bytes(length: str) -> Column:
     return F.sum(F.col(length).cast("bigint") * 8 + 64)
 
 
+def drop_table(table: DataFrame) -> None:
+    """Delete the table that ``stable`` has written; what reads it ends here."""
+    spark = table.sparkSession
+    folder = table_folder(spark).removeprefix("file://").removeprefix("file:")
+    for path in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        if f"{folder}/" not in path:
+            raise ValueError(f"{path} is no stored table of this application")
+        file = spark._jvm.org.apache.hadoop.fs.Path(path)
+        file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+
+
 def clear_tables(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results read from them end here."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(table_folder(spark))
