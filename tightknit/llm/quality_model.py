@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tightknit.llm.batches import bytes_of, crc_of_id, id_text, offsets_of, pieces, sums_by_row
+from tightknit.llm.quality_rules import Texts, base_measures
 
 #: Bounds of the training sample, in texts.
 POSITIVES, UNLABELLED = 4_000, 8_000
@@ -33,11 +34,11 @@ CLASS[128:] = 5
 CLASS[list(SIGNS)] = np.arange(6, 6 + len(SIGNS))
 N_CLASSES = 6 + len(SIGNS)
 GROUP = np.minimum(CLASS, 6)  # all signs together, for pairs of neighbors
-N_FEATURES = N_CLASSES + 49 + 4
+N_FEATURES = N_CLASSES + 49 + 7
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """Shares of byte classes and of pairs of them, and shape figures, of every whole text."""
+    """Shares of byte classes and of pairs of them, of repeated words and lines, and shape figures, of every whole text."""
     data, offsets = bytes_of(column), offsets_of(column)
     n, lengths = len(offsets) - 1, np.diff(offsets)
     row = np.repeat(np.arange(n), lengths)
@@ -52,8 +53,10 @@ def features(column: pa.Array) -> np.ndarray:
     starts = ~blank
     starts[1:] &= blank[:-1]
     words = np.maximum(sums_by_row(starts.astype(np.int64), offsets), 1)
+    known = base_measures(Texts(column))
     shape = np.column_stack(
-        [np.log1p(lengths) / 10, np.log1p(words) / 10, lengths / words / 10, single[:, 1] / words]
+        [np.log1p(lengths) / 10, np.log1p(words) / 10, lengths / words / 10, single[:, 1] / words,
+         known["n_repeat_words"] / words, known["n_stutter_words"] / words, known["n_dup_lines"] / np.maximum(known["n_lines"], 1)]
     )
     return np.hstack([np.sqrt(single / size), np.sqrt(double / size), shape]).astype(np.float32)
 

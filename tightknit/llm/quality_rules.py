@@ -143,7 +143,10 @@ def base_measures(texts: Texts) -> dict[str, np.ndarray]:
         known["n_dup_lines"] = known["n_lines"] - np.bincount(distinct, minlength=n)
     else:
         known["n_dup_lines"] = np.zeros(n, np.int64)
-    known["n_repeat_words"] = repeated_words(_coded(data, starts, ends), rows, n)
+    codes = _coded(data, starts, ends)
+    known["n_repeat_words"] = repeated_words(codes, rows, n)
+    stutter = (codes[1:] == codes[:-1]) & (rows[1:] == rows[:-1])  # a word right after itself
+    known["n_stutter_words"] = np.bincount(rows[1:][stutter], minlength=n).astype(np.int64)
     return known
 
 
