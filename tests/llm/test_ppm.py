@@ -29,11 +29,14 @@ def plain(context, symbol, counts, least):
         if not kids:
             continue
         fair = {s: n for s, n in kids.items() if s not in excluded}
-        if fair:
-            size = sum(fair.values()) + len(fair)
+        here = tuple(context[len(context) - k :])
+        cut = sum(counts[here].values()) - sum(kids.values()) if k and any(here) else 0
+        escape = len(fair) / 2 + cut
+        if fair or cut:
+            size = sum(fair.values()) + cut
             if symbol in fair:
-                return total + math.log10(fair[symbol] / size)
-            total += math.log10(len(fair) / size)
+                return total + math.log10((fair[symbol] - 0.5) / size)
+            total += math.log10(escape / size)
         excluded |= set(kids)
     return total - math.log10(ppm.SYMBOLS - len(excluded))
 

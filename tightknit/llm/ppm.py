@@ -1,8 +1,9 @@
 """Language-model scores by prediction by partial matching over bytes.
 
 A trie of byte contexts up to ``ORDER`` counts what follows each of them in all training texts. A symbol is coded in
-the longest context known; if it never followed there, an escape is coded, estimated by the number of different symbols
-seen, and the next shorter context is asked, without the symbols already excluded. A text's score is its code
+the longest context known; if it is not among what followed there, an escape is coded, and the next shorter context is
+asked, without the symbols already excluded. An escape gets half a count of each symbol kept, and what followed but was cut from
+the trie. A text's score is its code
 length, end included, as a log10 probability.
 
 Counts come from all training texts. The trie keeps what makes up ``SHARE`` of all coded symbols or more, so it
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from tightknit.llm.batches import bytes_of, crc_of_id, offsets_of, pieces, small_batches
 from tightknit.plans.stable import stable
 
-ORDER = 4
-SHARE, WORD_SHARE = 5e-7, 1e-6
+ORDER = 6
+SHARE, WORD_SHARE = 1e-6, 1e-6
 
 #: Symbols: 0 stands before a text, 1 to 256 are bytes, 257 is a text's end.
 BITS, END, SYMBOLS = 9, 257, 257
@@ -116,9 +117,18 @@ def build(grams: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])[: len(codes)])
         contexts = context[first]
         different = np.diff(np.append(first, len(codes))).astype(np.float64)
-        total = np.add.reduceat(counts, first) if len(first) else np.zeros(0)
+        raw = np.add.reduceat(counts, first) if len(first) else np.zeros(0)
+        counts = counts - 0.5  # each symbol cedes half a count to the escape
+        total, half = raw - different / 2, different / 2
         of_node = np.repeat(np.arange(len(first)), different.astype(np.int64))
-        fresh = log(counts) - log(total + different)[of_node]
+        # What followed but was cut from the trie; a context's own count stands one order below.
+        cut = np.zeros(len(first))
+        if k and len(levels[-1]["codes"]):
+            at = np.minimum(levels[-1]["codes"].searchsorted(contexts), len(levels[-1]["codes"]) - 1)
+            own = levels[-1]["codes"][at] == contexts
+            cut[own] = np.maximum(levels[-1]["counts"][at] + 0.5 - raw, 0)[own]
+        escape = half + cut
+        fresh = log(counts) - log(total + escape)[of_node]
         if k == 0:
             remaining, unseen, chain = np.full(len(first), SYMBOLS) - different, np.zeros(len(first)), np.zeros(len(first))
             size = log(np.maximum(remaining, 1))
@@ -128,15 +138,15 @@ def build(grams: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
             short = below["codes"].searchsorted(codes & np.uint64((1 << BITS * k) - 1))
             excluded = np.add.reduceat(below["counts"][short], first) if len(first) else np.zeros(0)
             parent = below["contexts"].searchsorted(contexts & np.uint64((1 << BITS * (k - 1)) - 1))
-            unseen = below["different"][parent] - different
+            unseen = below["escape"][parent] - half
             remaining = below["total"][parent] - excluded + unseen
             size = log(np.maximum(remaining, 1e-300))
-            step = np.where(unseen > 0, log(np.maximum(unseen, 1)) - size, 0.0)
+            step = np.where(unseen > 0, log(np.maximum(unseen, 1e-300)) - size, 0.0)
             chain = below["chain"][parent]
         chain = chain + step
-        down = log(different) - log(total + different) + chain
+        down = log(escape) - log(total + escape) + chain
         levels.append(
-            {"codes": codes, "counts": counts, "contexts": contexts, "different": different, "total": total,
+            {"codes": codes, "counts": counts, "contexts": contexts, "escape": escape, "total": total,
              "chain": chain, "fresh": fresh, "log": log(counts), "down": down, "back": size + chain}
         )
     return [
@@ -213,17 +223,14 @@ def _trained(docs: DataFrame, training: Column) -> tuple[DataFrame, DataFrame]:
         yield counted_words()
         yield counted_codes()
 
-    counted = stable(
-        docs.where(training).select("text").mapInArrow(count, "code bigint, word string, n bigint")
-    )
-    grams = counted.where("code is not null").groupBy("code").agg(F.sum("n").alias("n"))
-    words = counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
-    return grams, words
+    counted = docs.where(training).select("text").mapInArrow(count, "code bigint, word string, n bigint")
+    counts = stable(counted.groupBy("code", "word").agg(F.sum("n").alias("n")))
+    grams = counts.where("code is not null").select("code", "n")
+    return grams, counts.where("word is not null").select("word", "n")
 
 
 def train(grams: DataFrame, *, share: float = SHARE) -> list[dict]:
     """The trie, from its counts; each order is cut and collected by itself, ``1 / share`` rows at most."""
-    grams = stable(grams)
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(1, math.ceil(share * total))
     found = []
@@ -258,7 +265,6 @@ def score(
     )
     grams, words = _trained(rows, ~F.col("held_out"))
     levels = train(grams, share=share)
-    words = stable(words)
     n_ends = rows.where(~F.col("held_out")).count()
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = n_words + n_ends, distinct + (n_ends > 0)
