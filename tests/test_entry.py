@@ -1,4 +1,6 @@
-"""Every registered query against its SQL oracle."""
+"""Every registered graph query against its SQL oracle."""
+
+import re
 
 import duckdb
 import pytest
@@ -6,7 +8,9 @@ import pytest
 import __spark_entry__ as entry_module
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+ORACLES = entry_module.oracle_sql()
+# The text operators, if present, have tests of their own.
+QUERIES = {k: q for k, q in entry_module.queries().items() if not re.match(r"op\d+_|pipeline$", k)}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +22,7 @@ def db():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(ORACLES) <= set(entry_module.queries())
 
 
 def test_entry(spark):
