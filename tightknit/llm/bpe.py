@@ -32,9 +32,9 @@ from tightknit.llm.batches import bytes_of, offsets_of, small_batches
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Bytes of text after which a chunk is full; a longer text is in one chunk too.
-CHUNK = 16 << 20
+CHUNK = 10 << 20
 #: Words of a chunk whose ids are put together at once.
-SLICE = 500_000
+SLICE = 200_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -127,12 +127,14 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str
 
         def full() -> pa.RecordBatch:
             coded = pa.concat_arrays(words).dictionary_encode()
+            words.clear()
             distinct = coded.dictionary
             bucket = np.array([zlib.crc32(w) % n for w in distinct.to_pylist()], np.int64)
             order = np.lexsort((pc.rank(distinct).to_numpy(), bucket))
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order))
             numbers = place[coded.indices.to_numpy()] if len(order) else np.zeros(0, np.uint32)
+            del coded, place
             doc_ids = pa.concat_arrays(ids)
             texts = _packed(
                 doc_ids.is_valid().to_numpy(zero_copy_only=False), doc_ids.fill_null(0).to_numpy(), np.concatenate(counts), numbers
@@ -140,6 +142,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str
             listed = _packed_words(distinct.take(pa.array(order)))
             # Named by what it holds, so that a repeated task gives the same name.
             name = int.from_bytes(hashlib.blake2b(texts + listed, digest_size=8).digest(), "little", signed=True)
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays(
                 [pa.array([name], pa.int64()), pa.array([texts], pa.binary()), pa.array([listed], pa.binary())],
                 ["chunk", "texts", "words"],

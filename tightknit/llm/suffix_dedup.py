@@ -387,6 +387,8 @@ def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
             )
             # Named by what it holds, so that a repeated task gives the same name.
             name = int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)
+            held.clear()
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "blob"])
 
         size = 0
@@ -395,7 +397,7 @@ def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
             size += int(offsets_of(piece.column(2))[-1])
             if size >= CHUNK:
                 yield full()
-                held, size = [], 0
+                size = 0
         if held:
             yield full()
 
