@@ -40,8 +40,10 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches again, sliced so that each slice holds about ``PIECE_BYTES`` of text."""
+def pieces(
+    batches: Iterator[pa.RecordBatch], text: str = "text", n_bytes: int = PIECE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches again, sliced so that each slice holds about ``n_bytes`` of text."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -50,7 +52,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         start = 0
         while start < batch.num_rows:
             done = ends[start - 1] if start else 0
-            stop = max(int(np.searchsorted(ends, done + PIECE_BYTES, side="right")), start + 1)
+            stop = max(int(np.searchsorted(ends, done + n_bytes, side="right")), start + 1)
             yield batch.slice(start, stop - start)
             start = stop
 

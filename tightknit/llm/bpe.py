@@ -43,12 +43,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*shown}))}
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
+def packed(*arrays: np.ndarray) -> bytes:
     sizes = np.array([len(x) for x in arrays], np.int64)
     return zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + b"".join(x.tobytes() for x in arrays))
 
 
-def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     raw, at, found = zstandard.ZstdDecompressor().decompress(data), 8 * len(kinds), []
     for size, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds):
         found.append(np.frombuffer(raw, kind, size, at))
@@ -56,12 +56,12 @@ def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     return found
 
 
-def _packed_words(words: pa.Array) -> bytes:
-    return _packed(np.diff(offsets_of(words)).astype(np.uint32), bytes_of(words))
+def packed_words(words: pa.Array) -> bytes:
+    return packed(np.diff(offsets_of(words)).astype(np.uint32), bytes_of(words))
 
 
-def _words(data: bytes) -> pa.Array:
-    lengths, values = _unpacked(data, "<u4", "u1")
+def unpacked_words(data: bytes) -> pa.Array:
+    lengths, values = unpacked(data, "<u4", "u1")
     offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
@@ -136,10 +136,10 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str
             numbers = place[coded.indices.to_numpy()] if len(order) else np.zeros(0, np.uint32)
             del coded, place
             doc_ids = pa.concat_arrays(ids)
-            texts = _packed(
+            texts = packed(
                 doc_ids.is_valid().to_numpy(zero_copy_only=False), doc_ids.fill_null(0).to_numpy(), np.concatenate(counts), numbers
             )
-            listed = _packed_words(distinct.take(pa.array(order)))
+            listed = packed_words(distinct.take(pa.array(order)))
             # Named by what it holds, so that a repeated task gives the same name.
             name = int.from_bytes(hashlib.blake2b(texts + listed, digest_size=8).digest(), "little", signed=True)
             pa.default_memory_pool().release_unused()
@@ -172,7 +172,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str
         """The distinct words of each chunk, by their bucket."""
         for batch in batches:
             for name, listed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                parts = [(key, _packed_words(part)) for key, part in buckets(_words(listed))]
+                parts = [(key, packed_words(part)) for key, part in buckets(unpacked_words(listed))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in parts], pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())],
                     ["bucket", "chunk", "words"],
@@ -181,29 +181,29 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str
     def answer(table: pa.Table) -> pa.Table:
         """Each distinct word of a bucket encoded once, for every chunk that asked."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        asked = [_words(x) for x in table.column("words").to_pylist()]
+        asked = [unpacked_words(x) for x in table.column("words").to_pylist()]
         coded = pa.concat_arrays(asked).dictionary_encode()
         size, flat = encoder(Tokenizer.from_str(shared.value))(coded.dictionary.to_pylist())
         start, numbers = np.cumsum(size) - size, coded.indices.to_numpy()
-        packed, done = [], 0
+        ids, done = [], 0
         for words in asked:
             own = numbers[done : done + len(words)]
-            packed.append(_packed(size[own].astype(np.uint32), flat[_stretches(start[own], size[own])]))
+            ids.append(packed(size[own].astype(np.uint32), flat[_stretches(start[own], size[own])]))
             done += len(words)
-        return table.select(["bucket", "chunk"]).append_column("ids", pa.array(packed, pa.binary()))
+        return table.select(["bucket", "chunk"]).append_column("ids", pa.array(ids, pa.binary()))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         """Ids for every word of the chunk's texts, in the words' places."""
         # A chunk's words are in the order of the buckets, and so are the answers.
         _, first = np.unique(right.column("bucket").to_numpy(), return_index=True)  # equal chunks ask twice
         right = right.take(first)
-        parts = [_unpacked(x, "<u4", "<u4") for x in right.column("ids").to_pylist()]
+        parts = [unpacked(x, "<u4", "<u4") for x in right.column("ids").to_pylist()]
         size = np.concatenate([x for x, _ in parts] or [np.zeros(0, np.uint32)]).astype(np.int64)
         flat = np.concatenate([x for _, x in parts] or [np.zeros(0, np.uint32)])
         start = np.cumsum(size) - size
         tables = []
         for x in left.column("texts").to_pylist():  # several only if chunks are equal
-            valid, doc_ids, counts, numbers = _unpacked(x, "?", "<i8", "<i4", "<u4")
+            valid, doc_ids, counts, numbers = unpacked(x, "?", "<i8", "<i4", "<u4")
             ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
             row = 0
             while row < len(counts):

@@ -17,6 +17,7 @@ The base score is a unigram of words. Words that make up ``WORD_SHARE`` of all,
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tightknit.llm.batches import bytes_of, crc_of_id, offsets_of, pieces, small_batches
+from tightknit.llm.bpe import packed, packed_words, unpacked, unpacked_words
+from tightknit.llm.shingles import mix
 from tightknit.plans.stable import stable
 
 ORDER = 6
@@ -34,8 +37,10 @@ SHARE, WORD_SHARE = 1e-6, 1e-6
 #: Symbols: 0 stands before a text, 1 to 256 are bytes, 257 is a text's end.
 BITS, END, SYMBOLS = 9, 257, 257
 EMPTY = np.uint64(2**64 - 1)
-#: Words counted in a task before they are handed on.
-HELD_WORDS = 300_000
+#: Words and codes that a task sums before it sends them.
+HELD_WORDS, HELD_CODES = 300_000, 3_000_000
+#: Bytes of text for each bucket that counts are merged in.
+BUCKET_BYTES = 8 << 20
 
 
 def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,46 +190,99 @@ def log_probabilities(codes: np.ndarray, levels: list[dict]) -> np.ndarray:
 
 
 def _trained(docs: DataFrame, training: Column) -> tuple[DataFrame, DataFrame]:
-    """Counts of all coded symbols with their contexts, and of all words, in the training texts."""
+    """Counts of all coded symbols with their contexts, and of all words, in the training texts.
+
+    A task sums its own and sends them packed, by bucket; codes of one beginning share a bucket, so that they pack well.
+    """
+    texts = docs.where(training).select("text")
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-n_bytes // BUCKET_BYTES))
+    head = np.uint64(BITS * (ORDER // 2))
+
+    def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        all_codes, all_counts = np.concatenate(codes), np.concatenate(counts)
+        order = np.argsort(all_codes, kind="stable")
+        all_codes = all_codes[order]
+        first = np.flatnonzero(np.concatenate([[True], all_codes[1:] != all_codes[:-1]])[: len(order)])
+        return all_codes[first], np.add.reduceat(all_counts[order], first) if len(first) else all_counts
+
+    def split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        yield from ((int(bucket[rows[0]]), rows) for rows in np.split(order, cuts) if len(rows))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        # Kept sorted and distinct over the task's pieces.
-        codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        codes, counts, size = [], [], 0
 
-        def counted_words():
-            keys = pa.array(list(words), pa.binary()).cast(pa.string())
+        def sent(kind: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(len(keys), pa.int64()), keys, pa.array(list(words.values()), pa.int64())], ["code", "word", "n"]
+                [pa.array([b for b, _ in parts], pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array([x for _, x in parts], pa.binary())],
+                ["bucket", "kind", "payload"],
             )
 
-        def counted_codes():
-            values = pa.array(codes.view(np.int64))
-            return pa.RecordBatch.from_arrays(
-                [values, pa.nulls(len(codes), pa.string()), pa.array(counts)], ["code", "word", "n"]
-            )
-
-        for piece in pieces(batches):
+        def sent_words() -> pa.RecordBatch:
+            keys, times = list(words), np.fromiter(words.values(), np.int64, len(words))
+            words.clear()
+            parts = [
+                (b, packed(times[rows], np.frombuffer(packed_words(pa.array([keys[i] for i in rows], pa.large_binary())), np.uint8)))
+                for b, rows in split(np.array([zlib.crc32(w) % n for w in keys], np.int64))
+            ]
+            return sent(1, parts)
+
+        def sent_codes() -> pa.RecordBatch:
+            values, times = summed(codes, counts)
+            bucket = (mix(values >> head) % np.uint64(n)).astype(np.int64)
+            return sent(0, [(b, packed(np.diff(values[rows], prepend=np.uint64(0)), times[rows].astype(np.uint32))) for b, rows in split(bucket)])
+
+        for piece in pieces(batches, n_bytes=1 << 20):
             data, offsets = bytes_of(piece.column(0)), offsets_of(piece.column(0))
-            more, n = np.unique(coded(data, offsets)[0], return_counts=True)
-            both = np.concatenate([codes, more])
-            order = np.argsort(both, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]])[: len(both)])
-            codes = both[order][first]
-            counts = np.add.reduceat(np.concatenate([counts, n])[order], first)
+            more, times = np.unique(coded(data, offsets)[0], return_counts=True)
+            codes.append(more)
+            counts.append(times)
+            size += len(more)
+            if size > HELD_CODES:
+                merged, times = summed(codes, counts)
+                codes, counts, size = [merged], [times], len(merged)
+                if size > HELD_CODES // 2:
+                    yield sent_codes()
+                    codes, counts, size = [], [], 0
             for a, b in zip(offsets[:-1], offsets[1:]):
                 words.update(data[a:b].tobytes().lower().split())
             if len(words) > HELD_WORDS:
-                yield counted_words()
-                words.clear()
-            if len(codes) > 4_000_000:
-                yield counted_codes()
-                codes, counts = codes[:0], counts[:0]
-        yield counted_words()
-        yield counted_codes()
-
-    counted = docs.where(training).select("text").mapInArrow(count, "code bigint, word string, n bigint")
-    counts = stable(counted.groupBy("code", "word").agg(F.sum("n").alias("n")))
+                yield sent_words()
+        if words:
+            yield sent_words()
+        if codes:
+            yield sent_codes()
+
+    def merge(table: pa.Table) -> pa.Table:
+        kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
+        codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        words, times = [pa.array([], pa.large_binary())], [np.zeros(0, np.int64)]
+        for kind, payload in zip(kinds, payloads):
+            if kind:
+                own, listed = unpacked(payload, "<i8", "u1")
+                words.append(unpacked_words(listed.tobytes()))
+                times.append(own)
+            else:
+                steps, own = unpacked(payload, "<u8", "<u4")
+                codes.append(np.cumsum(steps, dtype=np.uint64))
+                counts.append(own.astype(np.int64))
+        values, totals = summed(codes, counts)
+        listed = pa.concat_arrays(words).dictionary_encode()
+        sums = np.bincount(listed.indices.to_numpy(), np.concatenate(times), len(listed.dictionary)).astype(np.int64)
+        return pa.table(
+            [
+                pa.concat_arrays([pa.array(values.view(np.int64)), pa.nulls(len(sums), pa.int64())]),
+                pa.concat_arrays([pa.nulls(len(values), pa.string()), listed.dictionary.cast(pa.binary()).cast(pa.string())]),
+                pa.concat_arrays([pa.array(totals, pa.int64()), pa.array(sums, pa.int64())]),
+            ],
+            names=["code", "word", "n"],
+        )
+
+    merged = texts.mapInArrow(count, "bucket int, kind int, payload binary").groupBy("bucket")
+    counts = stable(merged.applyInArrow(merge, "code bigint, word string, n bigint"))
     grams = counts.where("code is not null").select("code", "n")
     return grams, counts.where("word is not null").select("word", "n")
 
@@ -278,10 +336,10 @@ def score(
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, heavy = shared.value
-        for piece in pieces(batches):
+        for piece in pieces(batches, n_bytes=1 << 20):
             data, offsets = bytes_of(piece.column(2)), offsets_of(piece.column(2))
             codes, ends = coded(data, offsets)
-            logs = np.concatenate([log_probabilities(codes[a : a + 500_000], levels) for a in range(0, len(codes), 500_000)])
+            logs = np.concatenate([log_probabilities(codes[a : a + 200_000], levels) for a in range(0, len(codes), 200_000)])
             scores = np.add.reduceat(logs, ends[:-1])
             n_tokens, n_known, base, rare, n_rare, until = [], [], [], [], [], [0]
             for a, b in zip(offsets[:-1], offsets[1:]):
