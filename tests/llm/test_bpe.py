@@ -26,8 +26,9 @@ def test_ids_and_texts_equal_the_library(docs_of, chunk):
     texts += ["".join(rng.choice(PARTS) for _ in range(rng.randint(1, 60))) for _ in range(150)]
     texts += texts[-5:]
     library = Tokenizer.from_file(PATH)
-    rows = bpe.decode(bpe.encode(docs_of(list(enumerate(texts))), PATH), PATH)
-    digests = {r.doc_id: r for r in bpe.digests(rows).collect()}
+    encoded = bpe.encode(docs_of(list(enumerate(texts))), PATH)
+    rows = bpe.decode(encoded, PATH)
+    digests = {r.doc_id: r for r in bpe.digests(encoded, PATH).collect()}
     found = rows.collect()
     assert len(found) == len(texts) == len(digests)
     for r in found:

@@ -216,6 +216,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str
                 tables.append(pa.table([pa.array(doc_ids[row:stop], mask=~valid[row:stop]), lists], names=["doc_id", "ids"]))
                 row = stop
         empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(tables) if tables else empty
 
     chunks = worded.mapInArrow(chunk, "chunk bigint, texts binary, words binary").repartition(n, "chunk")
@@ -238,6 +239,24 @@ def piece_table(vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(ordered), np.uint8), np.cumsum([0, *map(len, ordered)])
 
 
+def _joined(pieces: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches with the texts of the ids in column ``at`` as a column ``decoded``."""
+    values, offsets = pieces
+    size = np.diff(offsets)
+    for whole in batches:
+        for row in range(0, whole.num_rows, 200):
+            batch = whole.slice(row, 200)
+            column = pc.fill_null(batch.column(at), pa.scalar([], batch.schema.field(at).type))
+            ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+            codes = column.flatten().to_numpy()
+            length = size[codes]
+            total = np.concatenate([[0], np.cumsum(length)])
+            cells = values[_stretches(offsets[codes], length)].tobytes()
+            edges = total[ends]
+            texts = [cells[a:b].decode("utf-8", "replace") for a, b in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+
+
 def decode(encoded: DataFrame, vocabulary: str, *, ids: str = "ids") -> DataFrame:
     """``encoded`` with a column ``decoded``: the text of its ids, special tokens included.
 
@@ -246,30 +265,19 @@ def decode(encoded: DataFrame, vocabulary: str, *, ids: str = "ids") -> DataFram
     """
     shared = encoded.sparkSession.sparkContext.broadcast(piece_table(vocabulary))
     at = encoded.columns.index(ids)
+    shape = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
+    return encoded.mapInArrow(lambda batches: _joined(shared.value, batches, at), shape)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, offsets = shared.value
-        size = np.diff(offsets)
-        for whole in batches:
-            for row in range(0, whole.num_rows, 500):
-                batch = whole.slice(row, 500)
-                column = pc.fill_null(batch.column(at), pa.scalar([], batch.schema.field(at).type))
-                ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
-                codes = column.flatten().to_numpy()
-                length = size[codes]
-                total = np.concatenate([[0], np.cumsum(length)])
-                cells = values[np.arange(total[-1]) + np.repeat(offsets[codes] - total[:-1], length)].tobytes()
-                edges = total[ends]
-                texts = [cells[a:b].decode("utf-8", "replace") for a, b in zip(edges, edges[1:])]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(join, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of ``doc_id, ids`` and the texts these are decoded to.
 
+    Decoding and digesting share a Python worker.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast(piece_table(vocabulary))
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of ``doc_id, ids, decoded``."""
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _joined(shared.value, batches, 1):
             lists = batch.column(1)
             flat, ends = lists.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             shas = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(ends, ends[1:])]
@@ -281,4 +289,4 @@ def digests(decoded: DataFrame) -> DataFrame:
             )
 
     shape = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return decoded.select("doc_id", "ids", "decoded").mapInArrow(digest, shape)
+    return encoded.select("doc_id", "ids").mapInArrow(digest, shape)

@@ -54,8 +54,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
-    return bpe.digests(bpe.decode(encoded, vocabulary))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
