@@ -23,8 +23,8 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the paragraphs that an earlier one has; ``n_chars`` follows the text."""
-    cut = paragraph_dedup.without_repeats(docs)
+    """Documents without the paragraphs and passages that an earlier one has; ``n_chars`` follows the text."""
+    cut = paragraph_dedup.without_repeated_text(docs)
     n_chars = F.when(F.size("removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n_chars).select(docs.columns)
 

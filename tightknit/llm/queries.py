@@ -58,7 +58,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = paragraph_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = paragraph_dedup.without_repeated_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select(
         "doc_id",
         F.size("removed").cast("bigint").alias("n_removed"),
