@@ -110,3 +110,30 @@ def test_without_training_texts(docs_of):
     assert sorted(round(r.score, 6) for r in found) == sorted(round(-k * math.log10(257), 6) for k in (3, 1))
     assert all(r.held_out and r.train_tokens == 0 and r.n_known == 0 for r in found)
     assert ppm.score(docs_of([])).count() == 0
+
+
+def test_codes_turn_back():
+    codes = np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64)
+    assert (ppm.straight(ppm.rotated(codes)) == codes).all()
+
+
+def test_no_count_is_cut_above_a_million_symbols(docs_of, monkeypatch):
+    """Continuations seen once count as well where a millionth of all symbols is more than one; in many buckets and chunks."""
+    monkeypatch.setattr(ppm, "BUCKET_BYTES", 40_000)
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", 100_000)
+    rng = random.Random(5)
+    texts = ["ab" * 60_000] * 20 + ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(40)]
+    rows = [(d, t) for d, t in enumerate(texts)]
+    out = [zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows]
+    assert sum(len(t) + 1 for (_, t), o in zip(rows, out) if not o) > 1_000_001
+    counts, long = trie([t.encode() for (_, t), o in zip(rows, out) if not o and len(t) < 100]), trie([texts[0].encode()])
+    n_long = sum(not o for o in out[:20])
+    for context, kids in long.items():
+        for s, c in kids.items():
+            counts[context][s] += c * n_long
+    found = {r.doc_id: r.score for r in ppm.score(docs_of(rows)).collect()}
+    assert len(found) == len(rows)
+    for d, t in rows[20:]:
+        symbols = [0] * ppm.ORDER + [b + 1 for b in t.encode()] + [ppm.END]
+        expected = sum(plain(symbols[i - ppm.ORDER : i], symbols[i], counts, 1) for i in range(ppm.ORDER, len(symbols)))
+        assert found[d] == pytest.approx(expected, rel=1e-4)

@@ -2,13 +2,14 @@
 
 A trie of byte contexts up to ``ORDER`` counts what follows each of them in all training texts. A symbol is coded in
 the longest context known; if it is not among what followed there, an escape is coded, and the next shorter context is
-asked, without the symbols already excluded. An escape gets half a count of each symbol kept, and what followed but was cut from
-the trie. A text's score is its code
+asked, without the symbols already excluded. An escape gets half a count of each symbol. A text's score is its code
 length, end included, as a log10 probability.
 
-Counts come from all training texts. The trie keeps what makes up ``SHARE`` of all coded symbols or more, so it
-has at most ``1 / SHARE`` nodes of each order whatever the corpus; rarer continuations are escapes. As what
-follows a context also follows its shorter ones, one pass of lookups per order gives every score.
+Counts come from all training texts, and none is cut. Each chunk of texts asks for its distinct codes, a symbol with all of
+its context, at buckets of their last ``GLOBAL`` + 1 context symbols; there all counts of these contexts and of the longer ones
+meet, the bucket builds their part of the trie and answers the chunk. Only the orders up to ``GLOBAL``, which the
+alphabet bounds, go to every task. As what follows a context also follows its shorter ones, one pass of lookups per
+order gives every score.
 
 The base score is a unigram of words. Words that make up ``WORD_SHARE`` of all, at most
 ``1 / WORD_SHARE`` by proof, go to every task; the others are joined, and none of them is hot.
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +34,17 @@ from tightknit.llm.shingles import mix
 from tightknit.plans.stable import stable
 
 ORDER = 6
-SHARE, WORD_SHARE = 1e-6, 1e-6
+#: Longest contexts that go to every task.
+GLOBAL = 2
+WORD_SHARE = 1e-6
 
 #: Symbols: 0 stands before a text, 1 to 256 are bytes, 257 is a text's end.
 BITS, END, SYMBOLS = 9, 257, 257
 EMPTY = np.uint64(2**64 - 1)
-#: Words and codes that a task sums before it sends them.
+#: Words that a task sums before it sends them; codes that a bucket holds before it sums them.
 HELD_WORDS, HELD_CODES = 300_000, 3_000_000
+#: Bytes of texts that ask together; a longer text asks alone.
+CHUNK_BYTES = 4 << 20
 #: Bytes of text for each bucket that counts are merged in.
 BUCKET_BYTES = 8 << 20
 
@@ -106,16 +112,41 @@ class Table:
         return table
 
 
+_THREE, _SYMBOL = np.uint64((1 << 3 * BITS) - 1), np.uint64((1 << BITS) - 1)
+
+
+def rotated(code: np.ndarray) -> np.ndarray:
+    """The codes with their last three context symbols, of which the bucket is made, in front."""
+    return (code >> np.uint64(BITS) & _THREE) << np.uint64(4 * BITS) | code >> np.uint64(4 * BITS) << np.uint64(BITS) | code & _SYMBOL
+
+
+def straight(turned: np.ndarray) -> np.ndarray:
+    """The codes of ``rotated``."""
+    return (turned >> np.uint64(BITS) & _THREE) << np.uint64(4 * BITS) | turned >> np.uint64(4 * BITS) << np.uint64(BITS) | turned & _SYMBOL
+
+
 def build(grams: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
-    """The trie's code lengths from codes and counts of every order, as plain arrays.
+    """The trie's code lengths from codes and counts of every order, as plain arrays."""
+    return lookups(orders(grams))
+
+
+def lookups(levels: list[dict]) -> list[dict]:
+    return [
+        {"nodes": Table(v["codes"]).parts(), "places": Table(v["contexts"]).parts(),
+         **{name: v[name].astype(np.float32) for name in ("fresh", "log", "down", "back")}}
+        for v in levels
+    ]
+
+
+def orders(grams: list[tuple[np.ndarray, np.ndarray]], lower: list[dict] = ()) -> list[dict]:
+    """What ``lookups`` needs of the orders above ``lower``, of which all contexts that end alike are given.
 
     ``grams[k]`` has k + 1 symbols each. For a node: its log count, and its log probability where its
     context is the first one asked. For a context: ``down``, the cost of escaping from it, as the first, to the
     order below any; ``back``, what of that is not due, with the size of what remains, if the order below it answers.
     """
-    levels: list[dict] = []
-    log = np.log10
-    for k, (codes, counts) in enumerate(grams):
+    levels, log = list(lower), np.log10
+    for k, (codes, counts) in enumerate(grams, len(lower)):
         order = np.argsort(codes)
         codes, counts = codes[order], counts[order].astype(np.float64)
         context = codes >> np.uint64(BITS)
@@ -154,11 +185,7 @@ def build(grams: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
             {"codes": codes, "counts": counts, "contexts": contexts, "escape": escape, "total": total,
              "chain": chain, "fresh": fresh, "log": log(counts), "down": down, "back": size + chain}
         )
-    return [
-        {"nodes": Table(v["codes"]).parts(), "places": Table(v["contexts"]).parts(),
-         **{name: v[name].astype(np.float32) for name in ("fresh", "log", "down", "back")}}
-        for v in levels
-    ]
+    return levels[len(lower):]
 
 
 def log_probabilities(codes: np.ndarray, levels: list[dict]) -> np.ndarray:
@@ -189,122 +216,164 @@ def log_probabilities(codes: np.ndarray, levels: list[dict]) -> np.ndarray:
     return result
 
 
-def _trained(docs: DataFrame, training: Column) -> tuple[DataFrame, DataFrame]:
-    """Counts of all coded symbols with their contexts, and of all words, in the training texts.
+def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sum of each one's counts."""
+    all_codes, all_counts = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(all_codes, kind="stable")
+    all_codes = all_codes[order]
+    first = np.flatnonzero(np.concatenate([[True], all_codes[1:] != all_codes[:-1]])[: len(order)])
+    return all_codes[first], np.add.reduceat(all_counts[order], first) if len(first) else all_counts
+
+
+def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    yield from ((int(bucket[rows[0]]), rows) for rows in np.split(order, cuts) if len(rows))
+
+
+def _bucket(turned: np.ndarray, n: int) -> np.ndarray:
+    return (mix(turned >> np.uint64(4 * BITS)) % np.uint64(n)).astype(np.int64)
+
+
+CODES, WORDS, TEXTS = 0, 1, 2
+
 
-    A task sums its own and sends them packed, by bucket; codes of one beginning share a bucket, so that they pack well.
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    """``kind, bucket, chunk, payload``: each chunk's texts, its distinct codes by bucket with their counts in training texts, and words.
+
+    Codes that begin alike after ``rotated`` share a bucket, so that they pack well.
     """
-    texts = docs.where(training).select("text")
-    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-n_bytes // BUCKET_BYTES))
-    head = np.uint64(BITS * (ORDER // 2))
-
-    def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        all_codes, all_counts = np.concatenate(codes), np.concatenate(counts)
-        order = np.argsort(all_codes, kind="stable")
-        all_codes = all_codes[order]
-        first = np.flatnonzero(np.concatenate([[True], all_codes[1:] != all_codes[:-1]])[: len(order)])
-        return all_codes[first], np.add.reduceat(all_counts[order], first) if len(first) else all_counts
-
-    def split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        yield from ((int(bucket[rows[0]]), rows) for rows in np.split(order, cuts) if len(rows))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        codes, counts, size = [], [], 0
+        chunk = TaskContext.get().partitionId() << 32
 
-        def sent(kind: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        def batch(kind: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in parts], pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array([x for _, x in parts], pa.binary())],
-                ["bucket", "kind", "payload"],
+                [pa.array([kind] * len(parts), pa.int32()), pa.array([b for b, _ in parts], pa.int32()),
+                 pa.array([chunk] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())],
+                ["kind", "bucket", "chunk", "payload"],
             )
 
         def sent_words() -> pa.RecordBatch:
             keys, times = list(words), np.fromiter(words.values(), np.int64, len(words))
             words.clear()
-            parts = [
+            return batch(WORDS, [
                 (b, packed(times[rows], np.frombuffer(packed_words(pa.array([keys[i] for i in rows], pa.large_binary())), np.uint8)))
-                for b, rows in split(np.array([zlib.crc32(w) % n for w in keys], np.int64))
-            ]
-            return sent(1, parts)
-
-        def sent_codes() -> pa.RecordBatch:
-            values, times = summed(codes, counts)
-            bucket = (mix(values >> head) % np.uint64(n)).astype(np.int64)
-            return sent(0, [(b, packed(np.diff(values[rows], prepend=np.uint64(0)), times[rows].astype(np.uint32))) for b, rows in split(bucket)])
-
+                for b, rows in _split(np.array([zlib.crc32(w) % n for w in keys], np.int64))
+            ])
+
+        def sent_chunk(held: list[pa.RecordBatch], codes: list[np.ndarray], times: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for piece in held:
+                    out.write_batch(piece)
+            yield batch(TEXTS, [(0, sink.getvalue().to_pybytes())])
+            turned, counts = summed(codes, times)
+            steps = ((b, packed(np.diff(turned[rows], prepend=np.uint64(0)), counts[rows].astype(np.uint32))) for b, rows in _split(_bucket(turned, n)))
+            yield batch(CODES, list(steps))
+
+        held, codes, times, size = [], [], [], 0
         for piece in pieces(batches, n_bytes=1 << 20):
-            data, offsets = bytes_of(piece.column(0)), offsets_of(piece.column(0))
-            more, times = np.unique(coded(data, offsets)[0], return_counts=True)
-            codes.append(more)
-            counts.append(times)
-            size += len(more)
-            if size > HELD_CODES:
-                merged, times = summed(codes, counts)
-                codes, counts, size = [merged], [times], len(merged)
-                if size > HELD_CODES // 2:
-                    yield sent_codes()
-                    codes, counts, size = [], [], 0
-            for a, b in zip(offsets[:-1], offsets[1:]):
+            data, offsets = bytes_of(piece.column(2)), offsets_of(piece.column(2))
+            out = piece.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            own, ends = coded(data, offsets)
+            turned, at = np.unique(rotated(own), return_inverse=True)
+            held.append(piece)
+            codes.append(turned)
+            times.append(np.bincount(at, np.repeat(~out, np.diff(ends)), len(turned)).astype(np.int64))
+            size += len(data)
+            for a, b in zip(offsets[:-1][~out], offsets[1:][~out]):
                 words.update(data[a:b].tobytes().lower().split())
             if len(words) > HELD_WORDS:
                 yield sent_words()
+            if size >= CHUNK_BYTES:
+                yield from sent_chunk(held, codes, times)
+                held, codes, times, size, chunk = [], [], [], 0, chunk + 1
+        if held:
+            yield from sent_chunk(held, codes, times)
         if words:
             yield sent_words()
-        if codes:
-            yield sent_codes()
+
+    return stable(rows.mapInArrow(send, "kind int, bucket int, chunk bigint, payload binary"))
+
+
+def _unpacked_codes(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, times = unpacked(payload, "<u8", "<u4")
+    return np.cumsum(steps, dtype=np.uint64), times.astype(np.int64)
+
+
+def _words(sent: DataFrame) -> DataFrame:
+    """``word, n`` of all training texts."""
 
     def merge(table: pa.Table) -> pa.Table:
-        kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
-        codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         words, times = [pa.array([], pa.large_binary())], [np.zeros(0, np.int64)]
-        for kind, payload in zip(kinds, payloads):
-            if kind:
-                own, listed = unpacked(payload, "<i8", "u1")
-                words.append(unpacked_words(listed.tobytes()))
-                times.append(own)
-            else:
-                steps, own = unpacked(payload, "<u8", "<u4")
-                codes.append(np.cumsum(steps, dtype=np.uint64))
-                counts.append(own.astype(np.int64))
-        values, totals = summed(codes, counts)
+        for payload in table.column("payload").to_pylist():
+            own, listed = unpacked(payload, "<i8", "u1")
+            words.append(unpacked_words(listed.tobytes()))
+            times.append(own)
         listed = pa.concat_arrays(words).dictionary_encode()
         sums = np.bincount(listed.indices.to_numpy(), np.concatenate(times), len(listed.dictionary)).astype(np.int64)
-        return pa.table(
-            [
-                pa.concat_arrays([pa.array(values.view(np.int64)), pa.nulls(len(sums), pa.int64())]),
-                pa.concat_arrays([pa.nulls(len(values), pa.string()), listed.dictionary.cast(pa.binary()).cast(pa.string())]),
-                pa.concat_arrays([pa.array(totals, pa.int64()), pa.array(sums, pa.int64())]),
-            ],
-            names=["code", "word", "n"],
-        )
+        return pa.table([listed.dictionary.cast(pa.binary()).cast(pa.string()), pa.array(sums, pa.int64())], names=["word", "n"])
 
-    merged = texts.mapInArrow(count, "bucket int, kind int, payload binary").groupBy("bucket")
-    counts = stable(merged.applyInArrow(merge, "code bigint, word string, n bigint"))
-    grams = counts.where("code is not null").select("code", "n")
-    return grams, counts.where("word is not null").select("word", "n")
+    held = sent.where(F.col("kind") == WORDS).select("bucket", "payload")
+    return stable(held.groupBy("bucket").applyInArrow(merge, "word string, n bigint"))
 
 
-def train(grams: DataFrame, *, share: float = SHARE) -> list[dict]:
-    """The trie, from its counts; each order is cut and collected by itself, ``1 / share`` rows at most."""
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1, math.ceil(share * total))
-    found = []
-    for k in range(ORDER + 1):
-        mask = (1 << BITS * (k + 1)) - 1
-        shorter = grams if k == ORDER else grams.groupBy(F.col("code").bitwiseAND(F.lit(mask)).alias("code")).agg(F.sum("n").alias("n"))
-        kept = shorter.where(F.col("n") >= least).select("code", "n").toArrow()
-        found.append((kept.column(0).to_numpy().astype(np.int64).view(np.uint64), kept.column(1).to_numpy()))
-    return build(found)
+def _lower(sent: DataFrame) -> list[dict]:
+    """The orders up to ``GLOBAL``, whole: at most as many rows as there are strings of ``GLOBAL`` + 1 symbols."""
+    mask = np.uint64((1 << BITS * (GLOBAL + 1)) - 1)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for payload in batch.column(0):
+                turned, times = _unpacked_codes(payload.as_py())
+                own, times = summed([straight(turned[times > 0]) & mask], [times[times > 0]])
+                codes.append(own)
+                counts.append(times)
+                if sum(map(len, codes)) > HELD_CODES:
+                    codes, counts = map(list, zip(summed(codes, counts)))
+        codes, counts = summed(codes, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts)], ["code", "n"])
+
+    found = sent.where(F.col("kind") == CODES).select("payload").mapInArrow(ends, "code bigint, n bigint")
+    kept = found.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    codes, counts = kept.column(0).to_numpy().astype(np.int64).view(np.uint64), kept.column(1).to_numpy().astype(np.int64)
+    return orders([summed([codes & np.uint64((1 << BITS * (k + 1)) - 1)], [counts]) for k in range(GLOBAL + 1)])
+
+
+def _answers(sent: DataFrame, lower: list[dict]) -> DataFrame:
+    """``chunk, bucket, payload``: log10 probabilities of the codes that the chunk sent to the bucket, in their order."""
+    shared = sent.sparkSession.sparkContext.broadcast((lower, lookups(lower)))
+
+    def answer(table: pa.Table) -> pa.Table:
+        lower, below = shared.value
+        codes, counts, size = [], [], 0
+        for payload in table.column("payload"):
+            turned, times = _unpacked_codes(payload.as_py())
+            codes.append(turned)
+            counts.append(times)
+            size += len(turned)
+            if size > HELD_CODES:
+                merged, times = summed(codes, counts)
+                codes, counts, size = [merged], [times], 0
+        asked, counts = summed(codes, counts)
+        known = straight(asked[counts > 0])
+        masks = (np.uint64((1 << BITS * (k + 1)) - 1) for k in range(GLOBAL + 1, ORDER + 1))
+        levels = below + lookups(orders([summed([known & m], [counts[counts > 0]]) for m in masks], lower))
+        logs = np.concatenate([log_probabilities(straight(asked[a : a + 200_000]), levels) for a in range(0, len(asked), 200_000)]).astype(np.float32)
+        replies = [packed(logs[asked.searchsorted(_unpacked_codes(payload.as_py())[0])]) for payload in table.column("payload")]
+        return pa.table([table.column("chunk"), table.column("bucket"), pa.array(replies, pa.binary())], names=["chunk", "bucket", "payload"])
+
+    held = sent.where(F.col("kind") == CODES).select("chunk", "bucket", "payload")
+    return held.groupBy("bucket").applyInArrow(answer, "chunk bigint, bucket int, payload binary")
 
 
 def score(
     docs: DataFrame,
     held_out: Column | None = None,
     *,
-    share: float = SHARE,
     word_share: float = WORD_SHARE,
     text: str = "text",
     doc_id: str = "doc_id",
@@ -321,8 +390,11 @@ def score(
     rows = docs.select(
         docs[doc_id].cast("bigint").alias("doc_id"), out.alias("held_out"), F.coalesce(docs[text], F.lit("")).alias("text")
     )
-    grams, words = _trained(rows, ~F.col("held_out"))
-    levels = train(grams, share=share)
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_buckets = max(1, -(-n_bytes // BUCKET_BYTES))
+    sent = _sent(rows, n_buckets)
+    words = _words(sent)
+    answers = _answers(sent, _lower(sent))
     n_ends = rows.where(~F.col("held_out")).count()
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = n_words + n_ends, distinct + (n_ends > 0)
@@ -332,15 +404,21 @@ def score(
     heavy = {w.encode(): math.log10((c + 0.1) / size) for w, c in zip(common.column(0).to_pylist(), common.column(1).to_pylist())}
     end = math.log10((n_ends + 0.1) / size)
     unknown = math.log10(0.1 / size)
-    shared = docs.sparkSession.sparkContext.broadcast((levels, heavy))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, heavy = shared.value
-        for piece in pieces(batches, n_bytes=1 << 20):
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def measure(chunks: pa.Table, replies: pa.Table) -> pa.Table:
+        heavy, parts = shared.value, []
+        answered = dict(zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist()))
+        for payload in chunks.column("payload").to_pylist():
+            texts = pa.ipc.open_stream(payload).read_all().combine_chunks()
+            piece = texts.to_batches()[0]
             data, offsets = bytes_of(piece.column(2)), offsets_of(piece.column(2))
             codes, ends = coded(data, offsets)
-            logs = np.concatenate([log_probabilities(codes[a : a + 200_000], levels) for a in range(0, len(codes), 200_000)])
-            scores = np.add.reduceat(logs, ends[:-1])
+            turned, at = np.unique(rotated(codes), return_inverse=True)
+            logs = np.zeros(len(turned))
+            for b, rows in _split(_bucket(turned, n_buckets)):
+                logs[rows] = unpacked(answered[b], "<f4")[0]
+            scores = np.add.reduceat(logs[at], ends[:-1])
             n_tokens, n_known, base, rare, n_rare, until = [], [], [], [], [], [0]
             for a, b in zip(offsets[:-1], offsets[1:]):
                 found = data[a:b].tobytes().lower().split()
@@ -361,14 +439,16 @@ def score(
             pairs = pa.StructArray.from_arrays(
                 [pa.array(rare, pa.binary()).cast(pa.string()), pa.array(n_rare, pa.int32())], ["word", "times"]
             )
-            yield pa.RecordBatch.from_arrays(
+            parts.append(pa.RecordBatch.from_arrays(
                 [piece.column(0), piece.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
                  pa.array(base), pa.array(scores), pa.ListArray.from_arrays(pa.array(until, pa.int32()), pairs)],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
-            )
+            ))
+        return pa.Table.from_batches(parts)
 
+    chunks = sent.where(F.col("kind") == TEXTS).select("chunk", "payload")
     measured = stable(
-        rows.mapInArrow(
+        chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
             measure,
             "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, "
             "rare array<struct<word:string,times:int>>",
