@@ -171,3 +171,13 @@ def test_quality_classifier_without_labels(docs_of, spark):
     assert model is None
     assert [r.score for r in quality_model.score_quality(docs, model).collect()] == [0.5, 0.5]
     assert quality_model.score_quality(docs.limit(0), model).count() == 0
+
+
+def test_language_sample_counts_copies_once(docs_of, monkeypatch):
+    texts = [f"text number {i}" for i in range(12)]
+    rows = [(i, texts[i % 12] if i < 12 else texts[i % 3], "aa") for i in range(90)]
+    docs = docs_of(rows, "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(language_id, "fit", lambda texts, labels: (sorted(texts), labels))
+    assert language_id.train_on(docs, F.lit(True)) == (sorted(texts), ["aa"] * 12)
+    few, labels = language_id.train_on(docs, F.lit(True), texts=8)
+    assert len(set(few)) == 8 and labels == ["aa"] * 8

@@ -153,16 +153,19 @@ def fit(
 def train_on(
     docs: DataFrame, usable: Column, *, texts: int = TRAIN_TEXTS, text: str = "text", lang: str = "lang"
 ) -> ByteNet:
-    """Fit on at most ``texts`` usable texts of each language, the first by a hash of the text.
+    """Fit on at most ``texts`` different usable texts of each language, the first by a hash of the text.
 
-    Reads at most ``TRAIN_CHARS`` characters of each; both bounds limit training only.
+    Copies of a text count once. Reads at most ``TRAIN_CHARS`` characters of each; both bounds limit training only.
     """
     rows = docs.where(usable & docs[lang].isNotNull() & docs[text].isNotNull()).select(
         F.substring(docs[text], 1, TRAIN_CHARS).alias("text"), docs[lang].alias("lang"), F.xxhash64(docs[text]).alias("h")
     )
-    # The rank limit is pushed below the shuffle, so each partition sends at most ``texts`` rows of a language.
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    found = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= texts).toArrow().to_pydict()
+    # Only hashes are shuffled, and the rank limit is pushed below the shuffle of the ranks.
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= texts)
+    # At most ``texts`` hashes of a language; a task sends one text for each of them.
+    sample = rows.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    found = sample.select("text", "lang").toArrow().to_pydict()
     pairs = sorted((x, y) for x, y in zip(found["text"], found["lang"]) if LETTER.search(x))
     return fit([x for x, _ in pairs], [y for _, y in pairs])
 
