@@ -35,9 +35,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document: ``doc_id, n_tokens, ids``."""
-    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    """Token ids of every document and the text they are decoded to: ``doc_id, n_tokens, ids, decoded``."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe.encode(docs, vocabulary).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    return bpe.decode(ids, vocabulary)
 
 
 STAGES = [

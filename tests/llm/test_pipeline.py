@@ -43,3 +43,10 @@ def test_stages_catch_what_is_planted_and_keep_the_rest(spark, tmp_path):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     found = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert found == {i: library.encode(t, add_special_tokens=False).ids for i, t in seen[3].items()}
+
+
+def test_last_stage_decodes_what_it_encodes(docs_of):
+    texts = ["two words", "é 漢\nñ ü", "", "  blanks  and\ttabs "]
+    docs = docs_of(list(enumerate(texts))).select("doc_id", "text")
+    found = corpus_pipeline.encoded(docs.sparkSession, docs, "").collect()
+    assert {r.doc_id: (r.decoded, r.n_tokens) for r in found} == {i: (t, len(r.ids)) for i, t in enumerate(texts) for r in found if r.doc_id == i}
