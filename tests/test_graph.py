@@ -1,5 +1,5 @@
 import pytest
-from conftest import FIXTURES, brute_cliques, edges_df, random_pairs
+from graphs import FIXTURES, brute_cliques, edges_df, random_pairs
 
 import tightknit as tk
 from tightknit.functions.text import format_info

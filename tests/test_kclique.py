@@ -1,5 +1,5 @@
 import pytest
-from conftest import FIXTURES, brute_cliques, cliques_of, edges_df, random_pairs
+from graphs import FIXTURES, brute_cliques, cliques_of, edges_df, random_pairs
 
 import tightknit as tk
 from tightknit.operators.kclique import STRATEGIES

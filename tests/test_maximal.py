@@ -1,5 +1,5 @@
 import pytest
-from conftest import FIXTURES, MESSY, brute_maximal, cliques_of, edges_df, random_pairs
+from graphs import FIXTURES, MESSY, brute_maximal, cliques_of, edges_df, random_pairs
 
 import tightknit as tk
 from tightknit.plans.ranked import ORDERS
@@ -36,7 +36,7 @@ def test_without_broadcast_lists(graph, limit):
 
 def test_moon_moser_growth(spark):
     """Three vertices per group: 3^(n/3) maximal cliques."""
-    from conftest import multipartite
+    from graphs import multipartite
 
     edges = edges_df(spark, multipartite(*([3 * i, 3 * i + 1, 3 * i + 2] for i in range(5))))
     assert [tuple(r) for r in tk.maximal_histogram(edges).collect()] == [(5, 243)]

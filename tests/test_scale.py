@@ -1,7 +1,7 @@
 """Plans at the shape of a large cluster run: no broadcast, hub vertices, bounded lists."""
 
 import pytest
-from conftest import brute_cliques, brute_maximal, cliques_of, edges_df
+from graphs import brute_cliques, brute_maximal, cliques_of, edges_df
 from pyspark.sql import functions as F
 
 import tightknit as tk

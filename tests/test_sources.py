@@ -2,7 +2,7 @@ import gzip
 from pathlib import Path
 
 import pytest
-from conftest import MESSY, edges_df
+from graphs import MESSY, edges_df
 from pyspark.errors import PySparkException
 
 import tightknit as tk
