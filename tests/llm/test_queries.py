@@ -13,11 +13,11 @@ ORACLES = entry_module.oracle_sql()
 
 
 def test_all_operators_and_the_pipeline_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))
     assert "pipeline" in entry_module.queries()
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", [name for name in QUERIES if not name.startswith(("op11_", "op12_"))])
 def test_one_row_for_each_document(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()
     rows = QUERIES[name](spark, SF).collect()
@@ -27,12 +27,13 @@ def test_one_row_for_each_document(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) & set(ORACLES)))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     got, want = QUERIES[name](spark, SF), con.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)
-    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
+    rows, wanted = ([tuple(map(str, r)) for r in found] for found in (got.select(*columns).collect(), want.fetchall()))
+    assert sorted(rows) == sorted(wanted)
 
 
 def test_model_scores_held_out_texts_better_than_the_base(spark):

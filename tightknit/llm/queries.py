@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tightknit.llm import bpe, decontamination, jaccard_join, language_id, paragraph_dedup, ppm, quality_model, quality_rules, suffix_dedup, token_counts
+from tightknit.llm import (
+    bpe,
+    decontamination,
+    hard_negatives,
+    jaccard_join,
+    language_id,
+    paragraph_dedup,
+    ppm,
+    quality_model,
+    quality_rules,
+    simhash,
+    spelling,
+    suffix_dedup,
+    token_counts,
+)
 from tightknit.llm.batches import crc_of_id
 
 
@@ -82,6 +96,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabel=moved)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(spelling.counted_words(table(spark, sf_dir, "documents")))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -94,6 +124,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_language_id": op9_language_id,
         "op10_quality_rules": op10_quality_rules,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_simhash_dedup": op13_simhash_dedup,
     }
 
 
@@ -164,6 +197,74 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from spelled left join hit using (r) left join ids using (r)"""
 
 
+#: Every anchor against every row, and the windows as they are stated.
+OP11_SQL = """
+with vectors as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+scores as (
+  select a.vec_id as anchor_id, r.vec_id as other_id, a.label = r.label as same,
+    coalesce(list_sum(list_transform(list_zip(a.q, r.q), lambda z: z[1] * z[2])), 0)::bigint as score
+  from vectors a join vectors r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+positives as (
+  select * from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select anchor_id, p.other_id as positive_id,
+  row_number() over (partition by anchor_id, p.other_id order by n.score desc, n.other_id)::int as rank,
+  n.other_id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scores n using (anchor_id)
+where not n.same and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score
+qualify rank <= 5"""
+
+#: crc32 byte by byte, and neighbors by the parts around the edited character.
+OP12_SQL = """
+with recursive steps(b, i, c) as (
+  select b, 0, b from range(256) t(b)
+  union all select b, i + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from steps where i < 8),
+crc as (select list(c order by b) as t from steps where i = 8),
+runs as (
+  select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{7,}')) as run from documents),
+lowered as (
+  select translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, id, count(*) as n from runs group by all),
+hashed as (
+  select run, n, xor(list_reduce(
+      list_prepend(4294967295::bigint, list_transform(range(octet_length(encode(id || ':' || run))),
+        lambda i: ('0x' || hex(encode(id || ':' || run))[2 * i + 1:2 * i + 2])::bigint)),
+      lambda acc, x: xor(acc >> 8, crc.t[1 + (xor(acc, x) & 255)])), 4294967295) as h
+  from lowered, crc),
+thinned as (
+  select case when h % 31 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word, n from hashed),
+words as (
+  select word, sum(n)::bigint as n from thinned where length(word) >= 7 group by word having sum(n) >= 2),
+places as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+cuts as (select word, n, i, word[:i - 1] as x, word[i + 1:] as y from places),
+near as (
+  select a.word, b.word as other, b.n as other_n from cuts a join cuts b on a.x = b.x and a.y = b.y and a.word <> b.word
+  union select a.word, b.word, b.n from cuts a join words b on a.x || a.y = b.word
+  union select b.word, a.word, a.n from cuts a join words b on a.x || a.y = b.word),
+best as (
+  select word, count(*) as n_near, first(other order by other_n desc, encode(other)) as other, max(other_n) as other_n
+  from near group by word),
+forms as (
+  select word, n, coalesce(n_near, 0)::bigint as n_near,
+    case when other_n >= 10 * n then other end as form, case when other_n >= 10 * n then other_n end::bigint as form_n
+  from words left join best using (word)),
+paths(word, reached) as (
+  select word, word from forms
+  union all select p.word, f.form from paths p join forms f on f.word = p.reached where f.form is not null),
+roots as (
+  select p.word, p.reached as root from paths p join forms f on f.word = p.reached where f.form is null)
+select word, form, root, n, n_near, form_n from forms join roots using (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op1_decontamination": OP1_SQL, "op10_quality_rules": OP10_SQL}
+    return {
+        "op1_decontamination": OP1_SQL,
+        "op10_quality_rules": OP10_SQL,
+        "op11_hard_negatives": OP11_SQL,
+        "op12_spelling_variants": OP12_SQL,
+    }
