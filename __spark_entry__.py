@@ -143,8 +143,21 @@ def _first_states(spark, sf_dir) -> DataFrame:
 
 
 def _first_children(spark, sf_dir) -> DataFrame:
-    lists = _ranked_by_id(trade(spark, sf_dir))
-    return tk.expand(tk.init_frontier(lists), lists)
+    graph = tk.rank_graph(trade(spark, sf_dir), "id")
+    return tk.expand(tk.init_frontier(graph.out), graph.out, graph.longest)
+
+
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and the customers who ordered them, linked by id; few vertices are much above the others."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    bought = lineitem(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return tk.edges_from_pairs(bought, "l_partkey", "o_custkey")
+
+
+def _compact_file(spark, sf_dir) -> DataFrame:
+    listing = tk.kcliques(trade(spark, sf_dir), 4, compact=True)
+    path = tk.write_cliques(listing, scratch_path(spark), compression="gzip", num_partitions=3)
+    return clique_rows(tk.read_cliques(spark, path))
 
 
 def _maximal_of(edges: DataFrame, listed: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -169,6 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "adjacency_edges": lambda s, d: tk.edges_from_adjacency(_adjacency_file(s, d)),
         "clique_text_roundtrip": lambda s, d: _clique_file(s, d, ","),
         "clique_tab_roundtrip": lambda s, d: _clique_file(s, d, "\t"),
+        "clique_compact_roundtrip": _compact_file,
         "maximal_text_roundtrip": _maximal_file,
         # graph
         "vertices": lambda s, d: tk.vertices_of(trade_edges(s, d), ordered=True),
@@ -196,16 +210,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "degree_prune_k5": lambda s, d: list_rows(tk.prune_vertices(_bigger(s, d), 5)),
         "bound_prune_k5": lambda s, d: state_rows(tk.bound_prune(_first_children(s, d), 5)),
         "format_state": lambda s, d: _first_states(s, d).select(tk.format_state().alias("state")),
+        "prune_core_k36": lambda s, d: tk.prune_core(purchases(s, d), 36),
         # k-cliques
         "triangle_count": lambda s, d: tk.triangle_count(trade(s, d)),
         "triangles": lambda s, d: clique_rows(tk.triangles(trade(s, d))),
         "kcliques_k4": lambda s, d: clique_rows(tk.kcliques(trade(s, d), 4)),
         "kcliques_k5_ego": lambda s, d: clique_rows(tk.kcliques(trade(s, d), 5, strategy="ego")),
+        "kcliques_k5_bitmap": lambda s, d: clique_rows(tk.kcliques(trade(s, d), 5, strategy="bitmap")),
+        "kcliques_k4_peeled": lambda s, d: clique_rows(tk.kcliques(trade(s, d), 4, peel=True)),
+        "clique_count_compact_k4": lambda s, d: tk.count_compact(tk.kcliques(trade(s, d), 4, compact=True)),
         "cliques_upto_k4": lambda s, d: clique_rows(tk.cliques_upto(trade(s, d), 4)),
         "clique_histogram_k6": lambda s, d: tk.clique_histogram(trade(s, d), 6, vertices=all_ids(s, d)),
         "clique_histogram_k6_ego": lambda s, d: tk.clique_histogram(
             trade(s, d), 6, strategy="ego", vertices=all_ids(s, d)
         ),
+        "clique_histogram_k6_bitmap": lambda s, d: tk.clique_histogram(
+            trade(s, d), 6, strategy="bitmap", vertices=all_ids(s, d)
+        ),
         "clique_report_k6": lambda s, d: tk.format_report(
             tk.clique_histogram(trade(s, d), 6, vertices=all_ids(s, d))
         ),
@@ -216,11 +237,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "maximal_cliques_pivot": lambda s, d: clique_rows(
             tk.maximal_cliques(trade(s, d), vertices=all_ids(s, d))
         ),
+        "maximal_cliques_max_pivot": lambda s, d: clique_rows(
+            tk.maximal_cliques(trade(s, d), pivot="max", order="id")
+        ),
         "maximal_histogram": lambda s, d: tk.maximal_histogram(trade(s, d)),
         "maximal_per_anchor": lambda s, d: tk.maximal_cliques(trade(s, d), order="id")
         .groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("n_cliques")),
         "maximal_exact_k6": lambda s, d: tk.count_maximal_k(trade(s, d), 6),
+        "maximal_exact_k6_peeled": lambda s, d: tk.count_maximal_k(trade(s, d), 6, peel=True),
         "is_maximal_k4": lambda s, d: clique_rows(
             _maximal_of(trade(s, d), lambda edges: tk.kcliques(edges, 4))
         ),
@@ -228,10 +253,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _maximal_of(trade(s, d), lambda edges: tk.cliques_upto(edges, 4))
         ),
     }
-    for strategy in ("join", "broadcast", "ego"):
+    for strategy in ("join", "broadcast", "ego", "bitmap"):
         for k in (1, 2, 3, 4, 5):
             found[f"kclique_count_k{k}_{strategy}"] = _count(k, strategy=strategy)
-    for order in ("id", "degree", "random"):
+    for order in ("id", "degree", "random", "core"):
         found[f"kclique_count_{order}_order"] = _count(5, order=order, seed=7)
     found["kclique_count_k4_partitions"] = _count(4, strategy="join", num_partitions=5)
     if text_operators:
@@ -335,6 +360,14 @@ select array_to_string(clique, ',') as clique, array_to_string(ext, ' ') as ext
     k4 = f"with recursive {EDGES}, {OUT}, {_cliques(4)} " + CLIQUE_ROWS.format(pick="list_min")
     maximal_rows = """select array_to_string(clique, ',') as clique, clique_size, anchor from maximal"""
     maximal = f"with recursive {EDGES}, {ARCS}, {LISTS}, {MAXIMAL} "
+    # Straight from the definition: 6-cliques whose members share no neighbor.
+    exact = f"""with recursive {EDGES}, {ARCS}, {LISTS}, {OUT}, {_cliques(6)}
+select 6 as clique_size, count(*)::bigint as n_cliques
+from (select clique[1] as a, clique[2] as b, clique[3] as c, clique[4] as d, clique[5] as e, clique[6] as f from cliques)
+join lists l1 on l1.v = a join lists l2 on l2.v = b join lists l3 on l3.v = c
+join lists l4 on l4.v = d join lists l5 on l5.v = e join lists l6 on l6.v = f
+where len(list_intersect(list_intersect(list_intersect(list_intersect(list_intersect(
+  l6.nbrs, l5.nbrs), l4.nbrs), l3.nbrs), l2.nbrs), l1.nbrs)) = 0"""
     found = {
         "edges_trade": f"with {EDGES} select src, dst from edges",
         "edge_list_parse": f"""with {LINES} select distinct least(src, dst) as src, greatest(src, dst) as dst
@@ -350,6 +383,7 @@ select v, array_to_string(nbrs, ' ') as nbrs from lists""",
         "adjacency_edges": f"with {EDGES} select src, dst from edges",
         "clique_text_roundtrip": k4,
         "clique_tab_roundtrip": k4,
+        "clique_compact_roundtrip": k4,
         "maximal_text_roundtrip": maximal + maximal_rows,
         "vertices": f"with {EDGES} select src as v from edges union select dst from edges",
         "symmetrize": f"with {EDGES}, {ARCS} select v as src, w as dst from arcs",
@@ -385,16 +419,21 @@ select x as anchor, y as a, z as b from tri union all select y, x, z from tri un
         "bound_prune_k5": children + " where len(clique) + len(ext) >= 5",
         "format_state": bigger
         + "select '[' || v || ']->[' || array_to_string(nbrs, ', ') || ']' as state from full_lists",
+        "prune_core_k36": _core_sql(36, 40),
         "triangle_count": f"with {EDGES}, {triangles} select count(*)::bigint as n_triangles from tri",
         "triangles": f"""with {EDGES}, {triangles}
 select x || ',' || y || ',' || z as clique, 3 as clique_size, x as anchor from tri""",
         "kcliques_k4": k4,
         "kcliques_k5_ego": f"with recursive {EDGES}, {OUT}, {_cliques(5)} " + CLIQUE_ROWS.format(pick="list_min"),
+        "kcliques_k5_bitmap": f"with recursive {EDGES}, {OUT}, {_cliques(5)} " + CLIQUE_ROWS.format(pick="list_min"),
+        "kcliques_k4_peeled": k4,
+        "clique_count_compact_k4": _count_sql(4),
         "cliques_upto_k4": f"""with recursive {EDGES}, {OUT}, {_states(4)}, cliques as (
   select [src] as clique from (select src from edges union select dst from edges)
   union all select list_append(clique, unnest(ext)) from states) """ + CLIQUE_ROWS.format(pick="list_min"),
         "clique_histogram_k6": HISTOGRAM + " select clique_size, n_cliques from hist",
         "clique_histogram_k6_ego": HISTOGRAM + " select clique_size, n_cliques from hist",
+        "clique_histogram_k6_bitmap": HISTOGRAM + " select clique_size, n_cliques from hist",
         "clique_report_k6": HISTOGRAM
         + " select clique_size, 'Cliques of size ' || clique_size || ' => ' || format('{:,}', n_cliques) as line from hist",
         "cliques_per_anchor_k4": f"""with recursive {EDGES}, {OUT}, {_cliques(4)}
@@ -402,26 +441,21 @@ select list_min(clique) as anchor, count(*)::bigint as n_cliques from cliques gr
         "cliques_per_last_k4": f"""with recursive {EDGES}, {OUT}, {_cliques(4)}
 select list_max(clique) as anchor, count(*)::bigint as n_cliques from cliques group by 1""",
         "maximal_cliques": maximal + maximal_rows,
+        "maximal_cliques_max_pivot": maximal + maximal_rows,
         "maximal_cliques_pivot": f"with recursive {EDGES}, {ARCS}, {LISTS}, {IDS}, {MAXIMAL} "
         + maximal_rows
         + " union all select v::varchar, 1, v from ids where v not in (select v from arcs)",
         "maximal_histogram": maximal
         + "select clique_size, count(*)::bigint as n_cliques from maximal group by clique_size",
         "maximal_per_anchor": maximal + "select anchor, count(*)::bigint as n_cliques from maximal group by anchor",
-        # Straight from the definition: 6-cliques whose members share no neighbor.
-        "maximal_exact_k6": f"""with recursive {EDGES}, {ARCS}, {LISTS}, {OUT}, {_cliques(6)}
-select 6 as clique_size, count(*)::bigint as n_cliques
-from (select clique[1] as a, clique[2] as b, clique[3] as c, clique[4] as d, clique[5] as e, clique[6] as f from cliques)
-join lists l1 on l1.v = a join lists l2 on l2.v = b join lists l3 on l3.v = c
-join lists l4 on l4.v = d join lists l5 on l5.v = e join lists l6 on l6.v = f
-where len(list_intersect(list_intersect(list_intersect(list_intersect(list_intersect(
-  l6.nbrs, l5.nbrs), l4.nbrs), l3.nbrs), l2.nbrs), l1.nbrs)) = 0""",
+        "maximal_exact_k6": exact,
+        "maximal_exact_k6_peeled": exact,
         "is_maximal_k4": maximal + maximal_rows.replace("anchor", "list_min(clique) as anchor")
         + " where clique_size = 4",
         "is_maximal_upto_k4": maximal + maximal_rows.replace("anchor", "list_min(clique) as anchor")
         + " where clique_size <= 4",
     }
-    for strategy in ("join", "broadcast", "ego"):
+    for strategy in ("join", "broadcast", "ego", "bitmap"):
         found[f"kclique_count_k1_{strategy}"] = f"""with {EDGES} select 1 as clique_size, count(*)::bigint as n_cliques
 from (select src from edges union select dst from edges)"""
         found[f"kclique_count_k2_{strategy}"] = (
@@ -429,7 +463,7 @@ from (select src from edges union select dst from edges)"""
         )
         for k in (3, 4, 5):
             found[f"kclique_count_k{k}_{strategy}"] = _count_sql(k)
-    for order in ("id", "degree", "random"):
+    for order in ("id", "degree", "random", "core"):
         found[f"kclique_count_{order}_order"] = _count_sql(5)
     found["kclique_count_k4_partitions"] = _count_sql(4)
     if text_operators:
@@ -442,3 +476,16 @@ from (select src from edges union select dst from edges)"""
 def _count_sql(k: int) -> str:
     return f"""with recursive {EDGES}, {OUT}, {_states(k)}
 select {k} as clique_size, coalesce(sum(len(ext)), 0)::bigint as n_cliques from states where len(clique) = {k - 1}"""
+
+
+def _core_sql(k: int, rounds: int) -> str:
+    """The (k-1)-core of the purchases, peeled more rounds than it takes."""
+    steps = ["""e0 as materialized (
+  select distinct least(l_partkey, o_custkey) as src, greatest(l_partkey, o_custkey) as dst
+  from lineitem join orders on l_orderkey = o_orderkey where l_partkey <> o_custkey)"""]
+    for i in range(rounds):
+        steps.append(f"""d{i} as materialized (
+  select v from (select src as v from e{i} union all select dst from e{i}) group by v having count(*) >= {k - 1}),
+e{i + 1} as materialized (
+  select src, dst from e{i} where src in (select v from d{i}) and dst in (select v from d{i}))""")
+    return "with " + ", ".join(steps) + f" select src, dst from e{rounds}"

@@ -119,3 +119,13 @@ def test_adding_an_edge_never_lowers_a_count(spark):
     after = tk.clique_histogram(edges_df(spark, pairs + [(0, 1)]), 4).collect()
     assert all(b.n_cliques <= a.n_cliques for b, a in zip(before, after))
     assert after[3].n_cliques == 9
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_compact_listing_stands_for_all_cliques(graph, spark, tmp_path, k):
+    listing = tk.kcliques(graph, k, compact=True)
+    assert listing.columns == ["prefix", "ext"]
+    assert cliques_of(tk.expand_compact(listing)) == FOUND[k]
+    assert [tuple(r) for r in tk.count_compact(listing).collect()] == [(k, len(FOUND[k]))]
+    path = tk.write_cliques(listing, str(tmp_path / "compact"))
+    assert cliques_of(tk.read_cliques(spark, path)) == FOUND[k]

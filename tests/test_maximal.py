@@ -1,7 +1,8 @@
 import pytest
-from graphs import FIXTURES, MESSY, brute_maximal, cliques_of, edges_df, random_pairs
+from graphs import FIXTURES, MESSY, brute_cliques, brute_maximal, cliques_of, edges_df, random_pairs
 
 import tightknit as tk
+from tightknit.operators.maximal import pivot_rule, search_rounds
 from tightknit.plans.ranked import ORDERS
 
 PAIRS = random_pairs(seed=5)
@@ -80,3 +81,30 @@ def test_is_maximal(graph, spark):
 def test_every_kclique_lies_in_a_maximal_clique(graph):
     for c in cliques_of(tk.kcliques(graph, 4)):
         assert any(set(c) <= set(m) for m in MAXIMAL)
+
+
+def test_pivot_of_most_neighbors_leaves_fewer_states(spark):
+    pairs = random_pairs(seed=8, graphs=3, n=12)
+    graph = tk.rank_graph(tk.stable(edges_df(spark, pairs)), "id")
+    n_states = {p: sum(t.count() for t in search_rounds(graph, p)) for p in ("last", "max")}
+    assert n_states["max"] < n_states["last"]
+    assert cliques_of(tk.maximal_cliques(graph, "max")) == brute_maximal(pairs)
+
+
+def test_pivot_rules():
+    assert [pivot_rule(True, o) for o in ("degree", "core", "id", "random")] == ["last", "last", "max", "max"]
+    assert pivot_rule(False, "id") == "none"
+    with pytest.raises(ValueError):
+        pivot_rule("first", "id")
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_is_maximal_with_hubs(spark, limit):
+    """Hubs among the members, hubs as the only extending vertices, cliques of hubs alone."""
+    pairs = sorted(set(PAIRS) | {(hub, v) for hub in range(-4, 0) for v in range(1000, 1040) if (hub + v) % 3} | {(-4, -3), (-4, -2), (-3, -2), (-2, -1)})
+    edges = tk.stable(edges_df(spark, pairs))
+    want = brute_maximal(pairs)
+    found, _ = brute_cliques(pairs, 3)
+    listed = tk.stable(tk.cliques_upto(edges, 3))
+    kept = tk.is_maximal(listed, edges, hub_degree=9, max_broadcast_bytes=limit)
+    assert cliques_of(kept) == {c for cs in found.values() for c in cs} & want

@@ -5,6 +5,7 @@ A graph is a DataFrame of canonical edges: ``src: bigint, dst: bigint`` with
 DataFrames.
 """
 
+from tightknit.operators.core import prune_core, removal_rounds
 from tightknit.operators.ego import ego_network
 from tightknit.operators.graph import (
     adjacency,
@@ -22,8 +23,10 @@ from tightknit.operators.kclique import (
     clique_histogram,
     cliques_per_anchor,
     cliques_upto,
+    count_compact,
     count_kcliques,
     expand,
+    expand_compact,
     init_frontier,
     kcliques,
     triangle_count,
@@ -54,11 +57,11 @@ from tightknit.functions.text import clique_text, format_report, format_state
 
 __all__ = [
     "adjacency", "bound_prune", "clear_tables", "clique_histogram", "clique_text",
-    "cliques_per_anchor", "cliques_upto", "count_kcliques", "count_maximal_k", "degrees", "drop_table",
-    "edges_from_adjacency", "edges_from_pairs", "ego_network", "expand", "format_report",
+    "cliques_per_anchor", "cliques_upto", "count_compact", "count_kcliques", "count_maximal_k", "degrees", "drop_table",
+    "edges_from_adjacency", "edges_from_pairs", "ego_network", "expand", "expand_compact", "format_report",
     "format_state", "graph_info", "init_frontier", "is_maximal", "kcliques", "list_integrity",
     "maximal_cliques", "maximal_histogram", "neighbors", "orient", "parse_adjacency_lines",
-    "parse_edge_lines", "prune_vertices", "rank_graph", "read_adjacency", "read_cliques",
-    "read_edge_list", "read_maximal", "stable", "symmetrize", "triangle_count", "triangles",
+    "parse_edge_lines", "prune_core", "prune_vertices", "rank_graph", "read_adjacency", "read_cliques",
+    "read_edge_list", "read_maximal", "removal_rounds", "stable", "symmetrize", "triangle_count", "triangles",
     "vertices_of", "write_cliques", "write_maximal", "write_neighbor_list",
 ]

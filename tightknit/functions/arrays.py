@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +41,8 @@ def computed(df: DataFrame, keep: list, **columns: Column) -> DataFrame:
     """
     row = F.struct(*(column.alias(name) for name, column in columns.items()))
     return df.select(*keep, F.inline(F.array(row)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used inside."""
+    return F.transform(F.array(value), use)[0]

@@ -12,6 +12,9 @@ Strategies differ only in how the level step fetches a list:
 * ``ego``        a shuffle join with the lists restricted to the neighborhood of
   the clique's first member, keyed by (first member, vertex). A hub's rows
   spread over all the neighborhoods it occurs in.
+* ``bitmap``     as ``ego``, but inside a neighborhood vertices are places and
+  sets of them bitmaps (``operators/bitmaps.py``): for dense neighborhoods the
+  lists are many times smaller, and a level is an AND of words.
 * ``broadcast``  the ranked lists are broadcast if their measured size is within
   ``max_broadcast_bytes``; otherwise as ``join``.
 * ``auto``       ``broadcast`` within that bound, ``ego`` beyond it.
@@ -25,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tightknit.functions.arrays import after, computed, empty_list, ordered_intersect
+from tightknit.operators.core import prune_core
 from tightknit.operators.graph import vertices_of
+from tightknit.plans.dealing import deal
 from tightknit.plans.ranked import RankedGraph, rank_graph
 from tightknit.plans.stable import MAX_BROADCAST_BYTES, fetch_side, stable
 
-STRATEGIES = ("auto", "join", "broadcast", "ego")
+STRATEGIES = ("auto", "join", "broadcast", "ego", "bitmap")
 
 # Jobs take canonical edges, or a graph ranked once for many of them: its order is then theirs.
 Graph = DataFrame | RankedGraph
@@ -37,6 +42,12 @@ Graph = DataFrame | RankedGraph
 # Candidates of one list that a single task unfolds.
 PIECE = 1 << 12
 
+# Bytes of unfolded lists that one task makes.
+TASK_BYTES = 128 << 20
+
+# Peeling stops with a round that takes no more than this share of the edges.
+PEEL_SHARE = 0.01
+
 
 def init_frontier(lists: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """First states ``(clique, ext)``: every vertex with the neighbors that can join it.
@@ -57,13 +68,14 @@ def bound_prune(frontier: DataFrame, k: int) -> DataFrame:
     return frontier.filter(F.size("clique") + F.size("ext") >= k)
 
 
-def expand(frontier: DataFrame, lists: DataFrame) -> DataFrame:
+def expand(frontier: DataFrame, lists: DataFrame, longest: int | None = None) -> DataFrame:
     """All children ``(clique, ext)`` of all states, for the ranked lists they started from.
 
-    What is adjacent to a candidate and still possible stands behind it in ``ext``.
+    What is adjacent to a candidate and still possible stands behind it in ``ext``. ``longest`` is the length of the
+    longest list, ``rank_graph(...).longest``; without it states are shuffled once more, as some could be long.
     """
     _check_whole(lists)
-    fan = unfold(frontier, "ext").select("clique", "w", after("ext", "pos").alias("rest"))
+    fan = unfold(frontier, "ext", longest).select("clique", "w", after("ext", "pos").alias("rest"))
     fetched = fan.join(lists.select(F.col("v").alias("w"), "nbrs").hint("merge"), "w", "left")
     return computed(
         fetched,
@@ -81,16 +93,17 @@ def count_kcliques(
     seed: int = 0,
     num_partitions: int | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    peel: bool = False,
 ) -> DataFrame:
-    """``(clique_size, n_cliques)`` for size k, in one row."""
+    """``(clique_size, n_cliques)`` for size k, in one row. With ``peel`` only the (k-1)-core is ranked."""
     _check(k, strategy)
     if k == 1:
         return _size_row(_all_vertices(edges, vertices).agg(F.count(F.lit(1)).alias("n")), 1)
     if k == 2:
         return _size_row(_all_edges(edges).agg(F.count(F.lit(1)).alias("n")), 2)
-    graph = ranked(edges, order, seed, num_partitions)
+    graph = ranked(peeled(edges, k, peel), order, seed, num_partitions)
     levels = _levels(graph, k, strategy, max_broadcast_bytes, num_partitions=num_partitions)
-    return _size_row(levels[k - 1].agg(F.sum(F.size("ext")).alias("n")), k)
+    return _size_row(levels[k - 1].agg(_n_ext(levels[k - 1]).alias("n")), k)
 
 
 def triangle_count(edges: Graph, strategy: str = "auto", order: str = "degree", **options) -> DataFrame:
@@ -121,7 +134,7 @@ def clique_histogram(
             graph, k, strategy, max_broadcast_bytes, prune=False, num_partitions=num_partitions
         )
         parts += [
-            _size_row(levels[size - 1].agg(F.sum(F.size("ext")).alias("n")), size)
+            _size_row(levels[size - 1].agg(_n_ext(levels[size - 1]).alias("n")), size)
             for size in range(3, k + 1)
         ]
     return _union(parts)
@@ -136,20 +149,44 @@ def kcliques(
     seed: int = 0,
     num_partitions: int | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    peel: bool = False,
+    compact: bool = False,
 ) -> DataFrame:
-    """All k-cliques: ``(clique, clique_size, anchor)``, members ascending, anchor = smallest."""
+    """All k-cliques: ``(clique, clique_size, anchor)``, members ascending, anchor = smallest.
+
+    With ``peel`` only the (k-1)-core is ranked. With ``compact`` the listing has a row ``(prefix, ext)`` for all cliques
+    of k - 1 members ``prefix`` and one of ``ext``: ``expand_compact`` and the sinks write them out.
+    """
     _check(k, strategy)
     if k == 1:
-        return _clique_rows(_all_vertices(edges, vertices).select(F.array("v").alias("clique")))
-    if k == 2:
+        found = _all_vertices(edges, vertices)
+        if compact:
+            return found.select(empty_list().alias("prefix"), F.array("v").alias("ext"))
+        return _clique_rows(found.select(F.array("v").alias("clique")))
+    if k == 2 and not compact:
         return _clique_rows(_all_edges(edges).select(F.array("src", "dst").alias("clique")))
-    graph = ranked(edges, order, seed, num_partitions)
+    graph = ranked(peeled(edges, k, peel), order, seed, num_partitions)
+    if k == 2:
+        return graph.out.select(F.array("v").alias("prefix"), F.col("nbrs").alias("ext"))
     levels = _levels(
         graph, k, strategy, max_broadcast_bytes, members=True, num_partitions=num_partitions
     )
+    if compact:
+        return levels[k - 1].select(F.col("clique").alias("prefix"), "ext")
     return _complete(levels[k - 1])
 
 
+def expand_compact(listing: DataFrame) -> DataFrame:
+    """``(clique, clique_size, anchor)`` of a compact listing ``(prefix, ext)``, one row for each element of ``ext``."""
+    return _complete(listing.withColumnRenamed("prefix", "clique"))
+
+
+def count_compact(listing: DataFrame) -> DataFrame:
+    """``(clique_size, n_cliques)`` of a compact listing, which is not expanded for it."""
+    sized = listing.groupBy((F.size("prefix") + 1).alias("clique_size"))
+    return sized.agg(F.sum(F.size("ext")).alias("n_cliques")).filter("n_cliques > 0")
+
+
 def triangles(edges: Graph, strategy: str = "auto", order: str = "degree", **options) -> DataFrame:
     """``kcliques`` of size 3, with its options."""
     return kcliques(edges, 3, strategy, order, **options)
@@ -187,6 +224,7 @@ def cliques_per_anchor(
     seed: int = 0,
     num_partitions: int | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    peel: bool = False,
 ) -> DataFrame:
     """``(anchor, n_cliques)``: k-cliques counted at their smallest or largest member."""
     if anchor not in ("min", "max"):
@@ -197,7 +235,7 @@ def cliques_per_anchor(
         anchors = kcliques(edges, k, vertices=vertices).select(pick("clique").alias("anchor"))
     else:
         levels = _levels(
-            ranked(edges, order, seed, num_partitions), k, strategy, max_broadcast_bytes,
+            ranked(peeled(edges, k, peel), order, seed, num_partitions), k, strategy, max_broadcast_bytes,
             members=True, num_partitions=num_partitions,
         )
         # Only the end of the finished clique is needed, so its array is not built.
@@ -206,17 +244,25 @@ def cliques_per_anchor(
     return anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_cliques"))
 
 
-def unfold(rows: DataFrame, array: str, longest: int | None = None, w: str = "w") -> DataFrame:
+def unfold(
+    rows: DataFrame, array: str, longest: int | None = None, w: str = "w", key: str | None = None, parts: int | None = None
+) -> DataFrame:
     """``rows`` once per element of ``array``, with the element ``w`` and its 0-based place ``pos``.
 
     A row of n ids becomes n rows of up to n ids. If ``longest`` says that there may be more than
-    ``PIECE`` of them, or is not given, rows are first cut into pieces that go to several tasks.
+    ``PIECE`` of them, or is not given, rows are first cut into pieces that go to ``parts`` tasks:
+    by the ids that come from them if a ``key`` tells the rows apart, which are then read twice, else in turn.
     """
     whole = longest is not None and longest <= PIECE
     if not whole:
         n = F.size(array)
         first = F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(PIECE))).alias("first")
-        rows = rows.select("*", first).repartition(_spread(rows))
+        rows, parts = rows.select("*", first), parts or _spread(rows)
+        if key:
+            made = F.least(n - F.col("first"), F.lit(PIECE)).cast("bigint") * n
+            rows = deal(rows, [key, "first"], made, parts)
+        else:
+            rows = rows.repartition(parts)
         piece, start = F.slice(array, F.col("first") + 1, F.lit(PIECE)), F.col("first")
     else:
         piece, start = F.col(array), F.lit(0)
@@ -225,26 +271,38 @@ def unfold(rows: DataFrame, array: str, longest: int | None = None, w: str = "w"
     return unfolded.select(*kept, (start + F.col("_i")).alias("pos"), w)
 
 
-def wedges(graph: RankedGraph, behind: int, least: int = 0) -> DataFrame:
+def task_count(graph: RankedGraph, num_partitions: int | None = None) -> int:
+    """Tasks for all lists unfolded once: ``num_partitions``, or by the measured ids that come from it."""
+    return num_partitions or max(_spread(graph.out), -(-8 * graph.work // TASK_BYTES))
+
+
+def wedges(graph: RankedGraph, behind: int, least: int = 0, num_partitions: int | None = None) -> DataFrame:
     """``(anchor, w, rest)`` for every ranked edge anchor-w.
 
     ``rest`` is the part of the anchor's list behind w, of at least ``behind``
     vertices. Anchors with lists of fewer than ``least`` vertices are left out.
     """
-    lists = graph.out.filter((F.col("n_out") > behind) & (F.col("n_out") >= least))
-    rows = unfold(lists.select("v", "n_out", "nbrs"), "nbrs", graph.longest)
+    lists = graph.out.filter((F.col("n_out") > behind) & (F.col("n_out") >= least)).select("v", "n_out", "nbrs")
+    parts = task_count(graph, num_partitions)
+    share = graph.work // parts
+    if graph.longest <= PIECE and PIECE < share < 4 * graph.longest**2:
+        # Whole lists, of which one can be a quarter of a task's share or more; small shares need no dealing.
+        lists = deal(lists, ["v"], F.col("n_out").cast("bigint") * F.col("n_out"), parts)
+    rows = unfold(lists, "nbrs", graph.longest, key="v", parts=parts)
     rows = rows.filter(F.col("n_out") - F.col("pos") > behind)
     return rows.select(F.col("v").alias("anchor"), "w", after("nbrs", "pos").alias("rest"))
 
 
-def wedge_closures(graph: RankedGraph, lists: DataFrame, how: str = "inner", least: int = 0) -> DataFrame:
+def wedge_closures(
+    graph: RankedGraph, lists: DataFrame, how: str = "inner", least: int = 0, num_partitions: int | None = None
+) -> DataFrame:
     """``(anchor, w, ext)`` per ranked edge anchor-w: the triangles above it.
 
     ``ext`` lists the common higher-ranked neighbors in rank order. ``lists(w,
     nbrs)`` is the side to fetch from; with ``how='inner'`` edges that close no
     triangle are left out. ``least`` is the shortest list of an anchor.
     """
-    fan = wedges(graph, 1 if how == "inner" else 0, least)
+    fan = wedges(graph, 1 if how == "inner" else 0, least, num_partitions)
     ext = ordered_intersect("rest", F.coalesce("nbrs", empty_list()))
     closed = computed(fan.join(lists, "w", how), ["anchor", "w"], ext=ext)
     return closed.filter(F.size("ext") > 0) if how == "inner" else closed
@@ -267,6 +325,11 @@ def _levels(
         strategy = "broadcast" if graph.n_bytes <= max_broadcast_bytes else "ego"
     limit = max_broadcast_bytes if strategy == "broadcast" else 0
     lists = fetch_side(graph.out.select(F.col("v").alias("w"), "nbrs"), graph.n_bytes, limit)
+    if strategy == "bitmap":
+        from tightknit.operators import bitmaps  # which unfolds its rows as this module does
+
+        levels = bitmaps.bitmap_levels(graph, lists, k, members, prune, num_partitions)
+        return {n: bitmaps.with_ids(f, graph, max_broadcast_bytes) for n, f in levels.items()} if members else levels
     keys = ["w"]
 
     def missing(size: int) -> int:
@@ -276,11 +339,11 @@ def _levels(
     pair = _carry(members, F.array("anchor", "w"))
     if strategy == "ego" and k > 3:
         # The restricted lists are the states of size 2 as well. An anchor needs k - 1 others.
-        local = stable(wedge_closures(graph, lists, least=k - 1 if prune else 0))
+        local = stable(wedge_closures(graph, lists, least=k - 1 if prune else 0, num_partitions=num_partitions))
         frontier = local.select("anchor", *pair, "ext").filter(F.size("ext") >= missing(2))
         lists, keys = local.withColumnRenamed("ext", "nbrs").hint("merge"), ["anchor", "w"]
     else:
-        fan = wedges(graph, missing(2), k - 1 if prune else 0).select("anchor", "w", "rest", *pair)
+        fan = wedges(graph, missing(2), k - 1 if prune else 0, num_partitions).select("anchor", "w", "rest", *pair)
         frontier = _meet(fan, lists, keys, missing(2), members, num_partitions)
         if not prune and k > 3:  # read again to be counted and to grow
             frontier = stable(frontier)
@@ -288,8 +351,8 @@ def _levels(
     for size in range(3, k):
         if strategy == "broadcast" and size == min(4, k - 1):
             # Without a shuffle join all cliques of a vertex would grow in its task.
-            frontier = frontier.repartition(num_partitions or _spread(graph.out))
-        fan = _fan(frontier, missing(size), members, graph.longest)
+            frontier = frontier.repartition(task_count(graph, num_partitions))
+        fan = _fan(frontier, missing(size), members, graph.longest, task_count(graph, num_partitions))
         frontier = _meet(fan, lists, keys, missing(size), members, num_partitions)
         if not prune and size < k - 1:
             frontier = stable(frontier)
@@ -297,9 +360,9 @@ def _levels(
     return levels
 
 
-def _fan(frontier: DataFrame, behind: int, members: bool, longest: int) -> DataFrame:
+def _fan(frontier: DataFrame, behind: int, members: bool, longest: int, parts: int) -> DataFrame:
     """One row per candidate w that has at least ``behind`` further candidates behind it."""
-    fan = unfold(frontier.select("anchor", *_carry(members, "clique"), "ext"), "ext", longest)
+    fan = unfold(frontier.select("anchor", *_carry(members, "clique"), "ext"), "ext", longest, parts=parts)
     return fan.filter(F.size("ext") - F.col("pos") > behind).select(
         "anchor", "w", after("ext", "pos").alias("rest"),
         *_carry(members, F.array_append("clique", F.col("w"))),
@@ -319,6 +382,11 @@ def _meet(
     return grown.filter(F.size("ext") >= missing)
 
 
+def _n_ext(level: DataFrame):
+    """Cliques of the next size."""
+    return F.sum("n_ext") if "n_ext" in level.columns else F.sum(F.size("ext"))
+
+
 def _spread(table: DataFrame) -> int:
     return 4 * table.sparkSession.sparkContext.defaultParallelism
 
@@ -351,6 +419,13 @@ def ranked(edges: Graph, order: str, seed: int, num_partitions: int | None) -> R
     return edges if isinstance(edges, RankedGraph) else rank_graph(edges, order, seed, num_partitions)
 
 
+def peeled(edges: Graph, k: int, peel: bool) -> Graph:
+    """The edges that cliques of k members can have, if they are to be peeled and are not ranked yet."""
+    if not peel or isinstance(edges, RankedGraph):
+        return edges
+    return prune_core(edges, k, least_share=PEEL_SHARE)
+
+
 def _all_edges(edges: Graph) -> DataFrame:
     if not isinstance(edges, RankedGraph):
         return edges

@@ -10,7 +10,9 @@ neighbor list of a hub.
    candidates not adjacent to it, and intersects pool and done with the branch
    vertex's list; an empty pool means that nothing above the anchor extends the
    clique. The lists are those of the neighborhood, keyed by (anchor, vertex)
-   and bounded by sqrt(2E).
+   and bounded by sqrt(2E). The pivot is any vertex of the pool; ``max`` takes the
+   one adjacent to most candidates, which leaves the fewest branches, and ``last`` the
+   one of highest rank, which needs no search.
 2. *Proof.* A clique C found in step 1 can only be extended by vertices ranked
    below its anchor. If there are any, let u be the highest. Nothing above u
    extends C with u, so that clique has been found too, and C is what remains
@@ -23,21 +25,30 @@ Every found clique ends a maximal one in rank order, so the tables stay within
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tightknit.functions.arrays import computed, empty_list, ordered_intersect
-from tightknit.operators.graph import symmetrize
-from tightknit.operators.kclique import Graph, ranked, unfold, wedge_closures
+from tightknit.operators.graph import degrees, symmetrize
+from tightknit.operators.kclique import Graph, peeled, ranked, unfold, wedge_closures
 from tightknit.plans.ranked import RankedGraph
 from tightknit.plans.stable import MAX_BROADCAST_BYTES, fetch_side, list_bytes, stable, stable_measured
 
+PIVOTS = ("none", "last", "max")
+
+# A vertex of more neighbors has no list of them in ``is_maximal``.
+HUB_DEGREE = 1 << 12
+
+# A number of common neighbors above, and the place that breaks ties below.
+COUNT = 1 << 32
+
 
 def maximal_cliques(
     edges: Graph,
-    pivot: bool = True,
+    pivot: bool | str = True,
     order: str = "degree",
     vertices: DataFrame | None = None,
     min_size: int = 1,
@@ -48,10 +59,11 @@ def maximal_cliques(
     """All maximal cliques of at least ``min_size`` members.
 
     ``(clique, clique_size, anchor)``, members ascending, anchor = largest.
-    ``vertices`` adds isolated vertices, each a maximal clique of size 1.
+    ``vertices`` adds isolated vertices, each a maximal clique of size 1. ``pivot`` is ``max``, ``last``
+    or ``none`` (``False``); ``True`` is ``last`` where a vertex's rank tells of its neighbors, else ``max``.
     """
     graph = ranked(edges, order, seed, num_partitions)
-    found = _search(graph, pivot, min_size, max_broadcast_bytes, num_partitions)
+    found = _search(graph, pivot_rule(pivot, order), min_size, max_broadcast_bytes, num_partitions)
     # The hash leads the join key because arrays sort and compare slowly.
     key = [F.xxhash64("members").alias("hash"), "members"]
     remainders = found.filter(F.size("rest") > 1).select(F.col("rest").alias("members"))
@@ -66,8 +78,17 @@ def maximal_cliques(
     )
 
 
+def pivot_rule(pivot: bool | str, order: str) -> str:
+    """The name of the rule that ``pivot`` means for ranks by ``order``."""
+    if isinstance(pivot, bool):
+        pivot = "none" if not pivot else "max" if order in ("id", "random") else "last"
+    if pivot not in PIVOTS:
+        raise ValueError(f"pivot must be one of {PIVOTS} or a boolean, got {pivot!r}")
+    return pivot
+
+
 def maximal_histogram(
-    edges: Graph, pivot: bool = True, order: str = "degree", vertices: DataFrame | None = None, **options
+    edges: Graph, pivot: bool | str = True, order: str = "degree", vertices: DataFrame | None = None, **options
 ) -> DataFrame:
     """``(clique_size, n_cliques)`` over the maximal cliques; ``options`` as for ``maximal_cliques``."""
     found = maximal_cliques(edges, pivot, order, vertices, **options)
@@ -75,53 +96,117 @@ def maximal_histogram(
 
 
 def count_maximal_k(
-    edges: Graph, k: int, pivot: bool = True, order: str = "degree", vertices: DataFrame | None = None, **options
+    edges: Graph, k: int, pivot: bool | str = True, order: str = "degree", vertices: DataFrame | None = None,
+    peel: bool = False, **options
 ) -> DataFrame:
     """``(clique_size, n_cliques)``: the maximal cliques with exactly k members.
 
     The search drops branches that cannot reach k; larger cliques stay, since
-    they are what shows a k-clique not to be maximal.
+    they are what shows a k-clique not to be maximal. With ``peel`` only the (k-1)-core is ranked,
+    which holds all of these.
     """
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
-    found = maximal_cliques(edges, pivot, order, vertices, min_size=k, **options)
+    found = maximal_cliques(peeled(edges, k, peel and k > 2), pivot, order, vertices, min_size=k, **options)
     return found.filter(F.col("clique_size") == k).agg(
         F.lit(k).alias("clique_size"), F.count(F.lit(1)).alias("n_cliques")
     )
 
 
-def is_maximal(cliques: DataFrame, edges: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def is_maximal(
+    cliques: DataFrame,
+    edges: DataFrame,
+    num_partitions: int | None = None,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    hub_degree: int = HUB_DEGREE,
+) -> DataFrame:
     """The rows of ``cliques(clique, ...)`` that no further vertex extends.
 
-    An extending vertex is adjacent to every member. Candidates are the neighbors
-    of the member with the fewest. Each further member, by rising degree, keeps those it has an edge to:
-    one join per member of the largest clique, each over what the one before it has stored.
+    An extending vertex is adjacent to every member, so the members' neighbor lists are intersected one after the other,
+    and a clique is left alone as soon as nothing is common. Hubs, vertices of more than ``hub_degree`` neighbors, have no
+    list: whether they are adjacent to a vertex is asked of the list of that vertex. What only hubs could tell goes to a
+    join over single arcs: cliques of hubs alone, and those whose last common neighbors are hubs.
     """
     keys = ["_hash", "_hash2"]
     kept = stable(
         cliques.withColumns({"_hash": F.xxhash64("clique"), "_hash2": F.xxhash64(F.lit(1), "clique")})
     )
-    arcs = stable(symmetrize(edges).toDF("m", "x"))
-    weight = arcs.groupBy("m").agg(F.count(F.lit(1)).alias("degree"))
-    member = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "m")
+    arcs = symmetrize(edges).toDF("v", "x")
+    arcs = stable(arcs.repartition(num_partitions, "v") if num_partitions else arcs)
+    counts = degrees(edges)
+    hubs = stable(counts.filter(F.col("degree") > hub_degree).select("v"))
+    no_hubs = hubs.isEmpty()
+    of_others = arcs if no_hubs else arcs.join(hubs.hint("merge"), "v", "left_anti")
+    lists = of_others.groupBy("v").agg(F.collect_list("x").alias("nbrs"))
+    lists = lists.unionByName(hubs.select("v", F.lit(None).cast("array<bigint>").alias("nbrs")))
+    lists, seen = stable_measured(lists, n_bytes=F.sum(F.coalesce(F.size("nbrs"), F.lit(0)).cast("bigint") * 8 + 64))
+    lists = fetch_side(lists, seen["n_bytes"], max_broadcast_bytes)
+
+    rows = stable_measured(kept.select(*keys, F.col("clique").alias("members")).distinct(), largest=F.max(F.size("members")))
+    rows, largest = rows[0], rows[1]["largest"]
+    common = rows.withColumns({"common": F.lit(None).cast("array<bigint>"), "hubs": empty_list()})
+    met = []
+    for i in range(largest):
+        fetched = common.withColumn("v", F.get("members", F.lit(i))).join(lists.withColumn("known", F.lit(True)), "v", "left")
+        is_hub = F.col("known") & F.col("nbrs").isNull()
+        nbrs = F.coalesce("nbrs", empty_list())  # a vertex without edges
+        common = computed(
+            fetched,
+            [*keys, "members"],
+            common=F.when(is_hub, F.col("common")).when(F.col("common").isNull(), nbrs).otherwise(F.array_intersect("common", nbrs)),
+            hubs=F.when(is_hub, F.array_append("hubs", F.col("v"))).otherwise(F.col("hubs")),
+        )
+        common = common.filter(F.col("common").isNull() | (F.size("common") > 0))
+        if seen["n_bytes"] > max_broadcast_bytes:  # every join is a shuffle
+            common = stable(common)
+        met.append(common.filter(F.size("members") == i + 1))
+        common = common.filter(F.size("members") > i + 1)
+    if not met:
+        return cliques
+    met = reduce(DataFrame.unionByName, met)
+    extended = met.filter(F.size("hubs") == 0).select(*keys)
+    if not no_hubs:
+        met = stable(met.filter(F.size("hubs") > 0))
+        asked = met.filter(F.col("common").isNotNull()).select(*keys, "hubs", F.explode("common").alias("v"))
+        answered = asked.join(lists, "v", "left").select(
+            *keys, F.when(F.col("nbrs").isNotNull(), F.size(F.array_except("hubs", "nbrs")) == 0).alias("adjacent")
+        )
+        verdicts = answered.groupBy(*keys).agg(
+            F.bool_or(F.coalesce("adjacent", F.lit(False))).alias("extended"), F.bool_or(F.col("adjacent").isNull()).alias("open")
+        )
+        verdicts = stable(verdicts)
+        unsure = verdicts.filter("open and not extended").select(*keys)
+        left = met.filter(F.col("common").isNull()).select(*keys).unionByName(unsure)
+        left = met.select(*keys, "members").join(left, keys, "left_semi")
+        extended = extended.unionByName(verdicts.filter("extended").select(*keys))
+        extended = extended.unionByName(_extended_by_arcs(left, arcs, counts, keys))
+    return kept.join(extended.distinct(), keys, "left_anti").select(*cliques.columns)
+
+
+def _extended_by_arcs(rows: DataFrame, arcs: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of the ``rows(..., members)`` that a vertex extends, by one join over arcs for each member.
+
+    Candidates are the neighbors of the member with the fewest; each further member, by rising degree, keeps those it has
+    an arc to.
+    """
+    member = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "v")
     wanted = stable(
-        kept.select(*keys, F.explode("clique").alias("m"))
-        .distinct()
-        .join(weight, "m", "left")
+        rows.select(*keys, F.explode("members").alias("v"))
+        .join(counts, "v", "left")
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(member))["m"].alias("members"))
+        .agg(F.sort_array(F.collect_list(member))["v"].alias("members"))
     )
     largest = wanted.agg(F.max(F.size("members"))).first()[0] or 0
-    extended = [wanted.filter(F.size("members") == 1).withColumn("m", F.col("members")[0]).join(arcs, "m", "left_semi").select(*keys)]
-    probe = wanted.filter(F.size("members") > 1).withColumn("m", F.col("members")[0]).join(arcs, "m")
-    for i in range(1, largest):
-        probe = probe.withColumn("m", F.get("members", F.lit(i))).join(arcs, ["m", "x"], "left_semi")
-        probe = probe.select(*keys, "members", "x")
-        probe = stable(probe.repartition(num_partitions, *keys) if num_partitions else probe)
+    probe, extended = wanted, [wanted.select(*keys).limit(0)]
+    for i in range(largest):
+        probe = probe.withColumn("v", F.get("members", F.lit(i)))
+        on = ["v", "x"] if i else ["v"]
+        probe = probe.join(arcs, on, "left_semi" if i else "inner").select(*keys, "members", "x")
+        if i:
+            probe = stable(probe)
         extended.append(probe.filter(F.size("members") == i + 1).select(*keys))
         probe = probe.filter(F.size("members") > i + 1)
-    found = kept.join(reduce(DataFrame.unionByName, extended).distinct(), keys, "left_anti")
-    return found.select(*cliques.columns)
+    return reduce(DataFrame.unionByName, extended).distinct()
 
 
 def _neighborhoods(graph: RankedGraph, max_broadcast_bytes: int, min_size: int = 1) -> DataFrame:
@@ -150,10 +235,27 @@ def _neighborhoods(graph: RankedGraph, max_broadcast_bytes: int, min_size: int =
 
 
 def _search(
-    graph: RankedGraph, pivot: bool, min_size: int, max_broadcast_bytes: int, num_partitions: int | None = None
+    graph: RankedGraph, pivot: str, min_size: int, max_broadcast_bytes: int, num_partitions: int | None = None
 ) -> DataFrame:
     """``(members, rest)``: the cliques that nothing above their lowest-ranked member
     extends, with that member and without it, both ascending."""
+    tables = search_rounds(graph, pivot, min_size, max_broadcast_bytes, num_partitions)
+    finished = F.col("n_pool") == 0
+    found = reduce(DataFrame.unionByName, (t.filter(finished).select("anchor", "clique") for t in tables))
+    return found.select(
+        F.sort_array(F.array_append("clique", F.col("anchor"))).alias("members"),
+        F.sort_array("clique").alias("rest"),
+    )
+
+
+def search_rounds(
+    graph: RankedGraph,
+    pivot: str = "last",
+    min_size: int = 1,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    num_partitions: int | None = None,
+) -> list[DataFrame]:
+    """The states ``(anchor, clique, pool, done, n_pool)`` of every round, stored; those with an empty pool are finished."""
     local = _neighborhoods(graph, max_broadcast_bytes, min_size).withColumn("n_pool", F.size("nbrs"))
     fan = _fan_bytes(F.col("n_pool"), F.col("n_low"), F.lit(1))
     local, seen = stable_measured(local, n_bytes=list_bytes("n_pool"), fan_bytes=fan)
@@ -180,11 +282,7 @@ def _search(
         table, seen = stable_measured(grown, n_live=F.count_if(~finished), fan_bytes=fan)
         tables.append(table)
         n_live = seen["n_live"]
-    found = reduce(DataFrame.unionByName, (t.filter(finished).select("anchor", "clique") for t in tables))
-    return found.select(
-        F.sort_array(F.array_append("clique", F.col("anchor"))).alias("members"),
-        F.sort_array("clique").alias("rest"),
-    )
+    return tables
 
 
 def _alive(n_pool, n_done, min_size: int):
@@ -199,8 +297,27 @@ def _fan_bytes(n_pool, n_done, n_clique):
     return F.sum((n_pool - n_done).cast("bigint") * row)
 
 
+def _most_adjacent(
+    live: DataFrame, lists: DataFrame, near: Callable[[DataFrame], DataFrame], longest: int | None
+) -> DataFrame:
+    """The live states with their pool's vertex ``m`` that is adjacent to most candidates (ties: the last one).
+
+    Every vertex of a pool is looked up and counted; what the one aggregation shuffles is a number a
+    state and task, as the states of a task are counted in it first.
+    """
+    state = ["anchor", "clique", "pool", "done"]
+    live = stable(live.select(*state, F.monotonically_increasing_id().alias("state")))
+    cand = computed(live, ["state", "anchor", "pool"], cand=F.array_except("pool", "done"))
+    asked = near(unfold(cand, "pool", longest, w="m").select("state", "anchor", "cand", "pos", "m"))
+    adjacent = F.size(F.array_intersect("cand", "nbrs")).cast("bigint")
+    counted = asked.join(lists, ["anchor", "m"]).select("state", (adjacent * COUNT + F.col("pos")).alias("adjacent"))
+    most = counted.groupBy("state").agg(F.max("adjacent").alias("most"))
+    chosen = live.join(most, "state")
+    return chosen.select(*state, F.get("pool", F.pmod("most", F.lit(COUNT)).cast("int")).alias("m"))
+
+
 def _branch(
-    live: DataFrame, lists: DataFrame, pivot: bool, min_size: int, few: bool, longest: int | None = None
+    live: DataFrame, lists: DataFrame, pivot: bool | str, min_size: int, few: bool, longest: int | None = None
 ) -> DataFrame:
     """Children of the live states, finished (empty pool) or with candidates left.
 
@@ -210,9 +327,12 @@ def _branch(
     lists = lists.select("anchor", "m", "nbrs")
     state = ["anchor", "clique", "pool", "done"]
     branches = F.array_except("pool", "done")
-    if pivot:
-        # The last of the pool is its vertex of highest rank.
-        live = near(live.select(*state, F.try_element_at("pool", F.lit(-1)).alias("m"))).join(lists, ["anchor", "m"])
+    if pivot in (True, "last", "max"):
+        if pivot == "max":
+            live = _most_adjacent(live, lists, near, longest)
+        else:  # the last of the pool is its vertex of highest rank
+            live = live.select(*state, F.try_element_at("pool", F.lit(-1)).alias("m"))
+        live = near(live).join(lists, ["anchor", "m"])
         branches = F.array_except(branches, "nbrs")
     live = computed(live, state, branches=branches)
     fan = unfold(live.select(*state, "branches"), "branches", longest, w="m").select(

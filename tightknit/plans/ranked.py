@@ -7,6 +7,8 @@ never changes a result, only the length of the lists:
 * ``degree``  rank by (degree, id). No vertex has more than sqrt(2E)
   higher-ranked neighbors, and a vertex of degree d at most 2E/d: the hubs,
   whose full neighbor lists are unbounded, have the shortest lists here.
+* ``core``  rank by the round in which peeling removes the vertex, then by (degree, id). Lists are bounded by about
+  twice the degeneracy of the graph, which is sqrt(2E) at most and often far below it; peeling takes rounds of jobs.
 * ``id`` / ``random``  rank by id or by a seeded hash, whatever the degree. A list can be as long as the
   largest degree, so these orders are for graphs without hubs of many millions of neighbors.
 """
@@ -18,10 +20,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tightknit.operators.core import removal_rounds
 from tightknit.operators.graph import degrees
-from tightknit.plans.stable import list_bytes, stable_measured
+from tightknit.plans.stable import list_bytes, stable, stable_measured
 
-ORDERS = ("degree", "id", "random")
+ORDERS = ("degree", "core", "id", "random")
 
 # Ids per partition of the list table, in bytes.
 PARTITION_BYTES = 256 << 20
@@ -32,13 +35,15 @@ class RankedGraph(NamedTuple):
 
     ``nbrs`` holds the higher-ranked neighbors in rank order; vertices without
     any have no row. ``n_bytes`` bounds the in-memory size of ``out``,
-    ``longest`` the length of a list.
+    ``longest`` the length of a list, ``work`` the sum of squared lengths: as many ids
+    come from unfolding every list, each candidate with those behind it.
     """
 
     vertices: DataFrame
     out: DataFrame
     n_bytes: int
     longest: int
+    work: int
 
 
 def rank_graph(
@@ -57,10 +62,17 @@ def rank_graph(
         cores = edges.sparkSession.sparkContext.defaultParallelism
         num_partitions = max(cores, -(-seen["ends"] * 4 // PARTITION_BYTES))
 
-    group = {"degree": F.col("degree"), "id": F.lit(0).cast("bigint"), "random": F.xxhash64(F.lit(seed), F.col("v"))}[order]
+    ranks = vertices
+    if order == "core":  # read twice
+        ranks = stable(vertices.join(removal_rounds(edges), "v"))
+        group = F.struct("round", "degree")
+    elif order == "degree":
+        group = F.col("degree")
+    else:
+        group = F.lit(0).cast("bigint") if order == "id" else F.xxhash64(F.lit(seed), F.col("v"))
 
     def rank_of(end: str) -> DataFrame:
-        return vertices.select(
+        return ranks.select(
             F.col("v").alias(end), F.struct(group, F.col("v")).alias(f"{end}_rank")
         )
 
@@ -73,5 +85,6 @@ def rank_graph(
     lists = oriented.repartition(num_partitions, "v").groupBy("v")
     out = lists.agg(F.sort_array(F.collect_list("w")).alias("w"))
     out = out.select("v", F.size("w").alias("n_out"), F.col("w.v").alias("nbrs"))
-    out, seen = stable_measured(out, n_bytes=list_bytes("n_out"), longest=F.max("n_out"))
-    return RankedGraph(vertices, out, seen["n_bytes"], seen["longest"])
+    square = F.col("n_out").cast("bigint") * F.col("n_out")
+    out, seen = stable_measured(out, n_bytes=list_bytes("n_out"), longest=F.max("n_out"), work=F.sum(square))
+    return RankedGraph(vertices, out, seen["n_bytes"], seen["longest"], seen["work"])

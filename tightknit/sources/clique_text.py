@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tightknit.operators.kclique import expand_compact
 from tightknit.sources.output import run_path
 
 
@@ -16,8 +17,13 @@ def write_cliques(
     cliques: DataFrame, path: str, sep: str = ",", compression: str | None = "gzip",
     run_id: str | None = None, num_partitions: int | None = None,
 ) -> str:
-    """One clique per line, members joined by ``sep``; as many files as ``num_partitions`` says."""
+    """One clique per line, members joined by ``sep``; as many files as ``num_partitions`` says.
+
+    A compact listing ``(prefix, ext)`` is written out clique by clique.
+    """
     target = run_path(path, run_id)
+    if "prefix" in cliques.columns:
+        cliques = expand_compact(cliques)
     lines = cliques.select(F.array_join("clique", sep).alias("value"))
     lines = lines.repartition(num_partitions) if num_partitions else lines
     lines.write.option("compression", compression or "none").text(target)
