@@ -79,6 +79,20 @@ def edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineitem(spark, sf_dir).select(line.alias("value"))
 
 
+def adjacency_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both directions of the trade graph as lines of one arc, with comments, arcs left out and bad tokens."""
+    v, w = F.col("v").cast("string"), F.col("w").cast("string")
+    arc = F.concat(v, F.lit(" "), w)
+    arcs = tk.symmetrize(trade_edges(spark, sf_dir)).toDF("v", "w")
+    line = (
+        F.when(F.pmod(F.col("v") + 2 * F.col("w"), F.lit(11)) == 0, F.concat(F.lit("# "), arc))
+        .when(F.pmod(F.col("v") + 2 * F.col("w"), F.lit(11)) == 1, F.concat(arc, F.lit(" 7x")))
+        .when(F.pmod(F.col("v") + 2 * F.col("w"), F.lit(11)) == 2, F.concat(F.lit(" "), v, F.lit("\t"), w, F.lit(" "), v))
+        .otherwise(arc)
+    )
+    return arcs.select(line.alias("value"))
+
+
 def scratch_path(spark: SparkSession) -> str:
     return f"{table_folder(spark)}/text-{uuid.uuid4().hex}"
 
@@ -109,6 +123,12 @@ def _edge_list_file(spark, sf_dir) -> tk.sources.edge_list.EdgeList:
     return tk.read_edge_list(spark, path)
 
 
+def _edge_list_stored(spark, sf_dir) -> tk.sources.edge_list.EdgeList:
+    path = scratch_path(spark)
+    edge_lines(spark, sf_dir).write.text(path)
+    return tk.read_edge_list(spark, path, stored=True)
+
+
 def _adjacency_file(spark, sf_dir) -> DataFrame:
     adj = tk.adjacency(trade(spark, sf_dir), "both")
     path = tk.write_neighbor_list(adj, scratch_path(spark))
@@ -176,6 +196,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edge_list_parse": lambda s, d: _edge_list_file(s, d).edges,
         "edge_list_vertices": lambda s, d: _edge_list_file(s, d).vertices,
         "edge_list_rejects": lambda s, d: tk.parse_edge_lines(edge_lines(s, d)).rejects,
+        "edge_list_stored_edges": lambda s, d: _edge_list_stored(s, d).edges,
+        "edge_list_stored_vertices": lambda s, d: _edge_list_stored(s, d).vertices,
+        "edge_list_stored_rejects": lambda s, d: _edge_list_stored(s, d).rejects,
+        "adjacency_rejects": lambda s, d: tk.check_adjacency_lines(adjacency_lines(s, d)).rejects,
+        "adjacency_one_sided": lambda s, d: tk.one_sided(tk.check_adjacency_lines(adjacency_lines(s, d)).lists),
         "adjacency_parse": lambda s, d: _adjacency_file(s, d).select(
             "v", F.array_join("nbrs", " ").alias("nbrs")
         ),
@@ -199,6 +224,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             )
         ),
         "list_integrity": lambda s, d: tk.list_integrity(tk.adjacency(trade(s, d), "both")),
+        "checked_lists": lambda s, d: list_rows(tk.checked_lists(tk.adjacency(trade(s, d), "both"))),
         "degrees": lambda s, d: tk.degrees(trade_edges(s, d)),
         "graph_info": lambda s, d: tk.graph_info(trade_edges(s, d)),
         "graph_info_text": lambda s, d: format_info(tk.graph_info(trade_edges(s, d), all_ids(s, d))),
@@ -378,6 +404,10 @@ select src as v from ok union select dst from ok""",
         "edge_list_rejects": f"""with {LINES}
 select line, case when n < 2 then 'too few tokens' else 'not numeric' end as reason
 from parsed where n < 2 or src is null or dst is null""",
+        "adjacency_rejects": f"""with {EDGES}, {ARCS}
+select v || ' ' || w || ' 7x' as line, 'not numeric' as reason from arcs where (v + 2 * w) % 11 = 1""",
+        "adjacency_one_sided": f"""with {EDGES}, {ARCS}, kept as (select v, w from arcs where (v + 2 * w) % 11 > 1)
+select v, w from kept where (w, v) not in (select v, w from kept)""",
         "adjacency_parse": f"""with {EDGES}, {ARCS}, {LISTS}
 select v, array_to_string(nbrs, ' ') as nbrs from lists""",
         "adjacency_edges": f"with {EDGES} select src, dst from edges",
@@ -400,6 +430,7 @@ full_lists as (select ids.v, coalesce(i.nbrs, []) as nbrs from ids left join ins
   select v, (count(*) + {LIST_BOUND - 1}) // {LIST_BOUND} as parts from arcs group by v)
 select sum(parts)::bigint as n_lists, sum(parts)::bigint as n_keys, count(*)::bigint as n_vertices,
   0::bigint as n_duplicated from sizes""",
+        "checked_lists": f"with {EDGES}, {ARCS}, {LISTS} " + LIST_ROWS.format(source="lists"),
         "degrees": f"with {EDGES}, {ARCS} select v, count(*)::bigint as degree from arcs group by v",
         "graph_info": f"""with {EDGES}, {ARCS}, n as (
   select count(distinct v) as v, count(*) // 2 as e from arcs)
@@ -463,6 +494,8 @@ from (select src from edges union select dst from edges)"""
         )
         for k in (3, 4, 5):
             found[f"kclique_count_k{k}_{strategy}"] = _count_sql(k)
+    for part in ("edges", "vertices", "rejects"):
+        found[f"edge_list_stored_{part}"] = found["edge_list_parse" if part == "edges" else f"edge_list_{part}"]
     for order in ("id", "degree", "random", "core"):
         found[f"kclique_count_{order}_order"] = _count_sql(5)
     found["kclique_count_k4_partitions"] = _count_sql(4)

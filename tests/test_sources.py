@@ -4,8 +4,10 @@ from pathlib import Path
 import pytest
 from graphs import MESSY, edges_df
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 import tightknit as tk
+from tightknit.sources.edge_list import edge_list_rows
 
 
 def pairs_of(df):
@@ -112,3 +114,56 @@ def test_maximal_text_round_trip_with_run_id(spark, tmp_path):
     stamped = tk.write_maximal(found, str(tmp_path / "out"), compression="gzip", run_id="now")
     assert len(stamped.rsplit("_", 1)[1]) == 10
     assert any(p.name.endswith(".gz") for p in Path(stamped).iterdir())
+
+
+def test_stored_edge_list_scans_its_file_once(spark, tmp_path):
+    path = tmp_path / "messy.txt"
+    path.write_text(MESSY + "abc 5\n7\n9223372036854775807 1\n9223372036854775808 1\n")
+    rows = edge_list_rows(spark.read.text(str(path)))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan text") == 1 and plan.count("Exchange") == 1
+    found, lazy = (tk.read_edge_list(spark, str(path), stored=stored) for stored in (True, False))
+    assert pairs_of(found.edges) == pairs_of(lazy.edges)
+    assert sorted(r.v for r in found.vertices.collect()) == sorted(r.v for r in lazy.vertices.collect())
+    assert sorted(map(tuple, found.rejects.collect())) == sorted(map(tuple, lazy.rejects.collect()))
+    assert len(found.rejects.collect()) == 5
+    path.write_text("")
+    assert all(part.collect() == [] for part in tk.read_edge_list(spark, str(path), stored=True))
+
+
+def test_stored_edge_list_fails_fast(spark, tmp_path):
+    path = tmp_path / "messy.txt"
+    path.write_text("7\n1 2\n")
+    found = tk.read_edge_list(spark, str(path), "FAILFAST", stored=True)
+    assert pairs_of(found.edges) == [(1, 2)] and found.rejects.count() == 1
+    path.write_text(MESSY)
+    with pytest.raises(PySparkException):
+        tk.read_edge_list(spark, str(path), "FAILFAST", stored=True)
+
+
+def test_bad_adjacency_lines_are_rejected_whole(spark):
+    lines = ["# 1 2", "", " 1 2\t3 ", "2 1 x3", "a", "4", "3 9223372036854775808", "-5 1"]
+    found = tk.check_adjacency_lines(spark.createDataFrame([(line,) for line in lines], "value string"))
+    assert sorted((r.v, r.nbrs) for r in found.lists.collect()) == [(-5, [1]), (1, [2, 3]), (4, [])]
+    assert sorted(tuple(r) for r in found.rejects.collect()) == [
+        (line, "not numeric") for line in sorted(["2 1 x3", "a", "3 9223372036854775808"])]
+
+
+def test_one_sided_arcs(spark):
+    lists = [(1, [2, 3, 3, 1]), (2, [1]), (2, [4]), (4, [2]), (5, [1, 6]), (6, [])]
+    found = tk.one_sided(spark.createDataFrame(lists, "v bigint, nbrs array<bigint>"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 3), (5, 1), (5, 6)]
+
+
+@pytest.mark.parametrize("bound", [1 << 17, 2])
+def test_checked_lists_stop_a_job_on_a_fault(spark, bound):
+    adj = tk.stable(tk.adjacency(edges_df(spark, [(1, 2), (1, 3), (2, 3), (1, 4), (1, 5)]), list_bound=bound))
+    assert sorted(map(tuple, tk.checked_lists(adj).collect())) == sorted(map(tuple, adj.collect()))
+    faults = {
+        "comes twice": adj.unionByName(adj.filter("v = 1 and part = 0")),
+        "as many ids": adj.withColumn("degree", F.col("degree") + (F.col("v") == 3).cast("int")),
+        "not ascending": adj.withColumn("nbrs", F.reverse("nbrs")),
+    }
+    for text, faulty in faults.items():
+        with pytest.raises(PySparkException, match=text):
+            tk.checked_lists(faulty).select("v").collect()

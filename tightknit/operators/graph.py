@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tightknit.plans.stable import LIST_BOUND, stable
+from tightknit.plans.stable import LIST_BOUND, MAX_BROADCAST_BYTES, fetch_side, stable, stable_measured
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
@@ -109,12 +109,21 @@ def _places(pairs: DataFrame) -> DataFrame:
     return numbered.withColumn("place", F.col("place") + F.coalesce("before", F.lit(0))).drop("before", "p")
 
 
-def neighbors(edges: DataFrame, vertices: DataFrame, direction: str = "both", list_bound: int = LIST_BOUND) -> DataFrame:
+def neighbors(
+    edges: DataFrame,
+    vertices: DataFrame,
+    direction: str = "both",
+    list_bound: int = LIST_BOUND,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+) -> DataFrame:
     """The lists of the given ``vertices(v)`` only, as ``adjacency`` gives them.
 
-    Edges are cut down to these vertices before any list is built.
+    Edges are cut down to these vertices before any list is built. The vertices are stored and measured: within
+    ``max_broadcast_bytes`` they are broadcast and only their own arcs are shuffled, beyond it all are.
     """
-    pairs = _pairs(edges, direction).join(vertices.select("v").hint("merge"), "v", "left_semi")
+    wanted, seen = stable_measured(vertices.select("v").distinct(), n_bytes=F.count(F.lit(1)) * 64)
+    wanted = fetch_side(wanted, seen["n_bytes"], max_broadcast_bytes)
+    pairs = _pairs(edges, direction).join(wanted, "v", "left_semi")
     return _lists(stable(pairs), list_bound, None)
 
 
@@ -141,6 +150,30 @@ def list_integrity(adj: DataFrame) -> DataFrame:
     )
 
 
+def checked_lists(adj: DataFrame) -> DataFrame:
+    """``adj`` as it is, from a plan that fails if a list comes twice or is not whole.
+
+    Checked are that no (v, part) has two rows, that the parts of a vertex hold ``degree`` ids together, and that each
+    part is strictly ascending. The ids of a row come out through the checks, so no pruning can skip them. Rows
+    are grouped by vertex, with what is shuffled for the lists themselves.
+    """
+    of_vertex, of_part = Window.partitionBy("v"), Window.partitionBy("v", "part")
+    copies = F.count(F.lit(1)).over(of_part)
+    held = F.sum(F.size("nbrs")).over(of_vertex)
+    ascending = F.size("nbrs") < 2
+    steps = F.zip_with(F.slice("nbrs", 1, F.greatest(F.size("nbrs") - 1, F.lit(0))), F.slice("nbrs", 2, F.size("nbrs")), lambda a, b: a < b)
+    ascending = ascending | F.forall(steps, lambda step: F.coalesce(step, F.lit(False)))
+    fault = (
+        F.when(F.col("copies") > 1, "comes twice")
+        .when(F.col("held") != F.col("degree"), "does not hold as many ids as its degree")
+        .when(~ascending, "is not ascending")
+    )
+    text = F.concat(F.lit("the list of vertex "), F.col("v").cast("string"), F.lit(" "), fault)
+    checked = F.when(fault.isNull(), F.col("v")).otherwise(F.raise_error(text).cast("bigint"))
+    rows = adj.withColumns({"copies": copies, "held": held})
+    return rows.withColumn("v", checked).select(*adj.columns)
+
+
 def graph_info(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``(n_vertices, n_edges, edges_per_vertex, avg_degree)`` in one row."""
     seen = degrees(edges)

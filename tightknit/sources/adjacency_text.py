@@ -2,14 +2,50 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tightknit.operators.graph import orient
-from tightknit.sources.edge_list import data_lines, is_data
+from tightknit.sources.edge_list import NOT_NUMERIC, data_lines, is_data
 from tightknit.sources.output import run_path
 
 
+class AdjacencyList(NamedTuple):
+    """``lists(v, nbrs)``, one row a sound line, and ``rejects(line, reason)``."""
+
+    lists: DataFrame
+    rejects: DataFrame
+
+
+def check_adjacency_lines(lines: DataFrame) -> AdjacencyList:
+    """``parse_adjacency_lines`` for files that can hold bad lines, which go to the rejects as a whole.
+
+    A line is bad if any of its tokens is no 64-bit number.
+    """
+    ids = F.transform("tokens", lambda t: t.try_cast("bigint"))
+    rows = data_lines(lines).select("line", ids.alias("ids"))
+    bad = F.exists("ids", lambda i: i.isNull())
+    lists = rows.filter(~bad).select(F.get("ids", F.lit(0)).alias("v"), F.slice("ids", 2, F.size("ids")).alias("nbrs"))
+    return AdjacencyList(lists, rows.filter(bad).select("line", F.lit(NOT_NUMERIC).alias("reason")))
+
+
+def one_sided(adj: DataFrame) -> DataFrame:
+    """``(v, w)``: the arcs of ``(v, nbrs)`` lists whose other direction no list has, each once.
+
+    A file that is to hold every edge in both lists has none. Self-loops are their own other direction. Arcs of a pair
+    are counted by direction in one aggregation, which hubs reach already counted.
+    """
+    arcs = adj.select(F.col("v"), F.explode("nbrs").alias("w"))
+    up = F.col("v") < F.col("w")
+    pairs = arcs.filter("v <> w").select(F.least("v", "w").alias("low"), F.greatest("v", "w").alias("high"), up.alias("up"))
+    seen = pairs.groupBy("low", "high").agg(F.bool_or("up").alias("up"), F.bool_or(~F.col("up")).alias("down"))
+    alone = seen.filter(F.col("up") != F.col("down"))
+    v, w = (F.when(F.col("up"), F.col(a)).otherwise(F.col(b)) for a, b in (("low", "high"), ("high", "low")))
+    return alone.select(v.alias("v"), w.alias("w"))
+
+
 def parse_adjacency_lines(lines: DataFrame) -> DataFrame:
     """``(v, nbrs)`` per line; a long list may be spread over several lines of the same v."""
     # The cast fails on text; a filter moved below it must not reach comment lines.
