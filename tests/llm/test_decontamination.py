@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -58,3 +59,19 @@ def test_empty_tables(docs_of):
     assert run(docs_of, [], [(1, "some words")]) == []
     kept = decontamination.clean(docs_of(docs), docs_of([(1, "some words")], "item_id bigint, text string"))
     assert [r.doc_id for r in kept.collect()] == [2] and kept.columns == docs_of(docs).columns
+
+
+def test_long_texts_and_short_items_take_linear_time(docs_of):
+    rng = random.Random(9)
+    spoken = [f"w{rng.randrange(3000)}" for _ in range(100_000)]
+    docs = [(1, " ".join(spoken)), (2, " ".join(spoken[:20_000])), (3, "nothing here")]
+    items = [(1, "w17"), (3, " ".join(spoken[500:503])), (8, " ".join(spoken[60_000:60_008])), (9, " ".join(spoken[70_000:70_009]))]
+    started = time.monotonic()
+    got = run(docs_of, docs, items)
+    assert time.monotonic() - started < 60
+    places = [i for i, w in enumerate(spoken) if w == "w17"]
+    for (_, n_words, n_hit, found), size in zip(got, (100_000, 20_000)):
+        hit = {i for i in places if i < size} | {i for a, b in ((500, 503), (60_000, 60_008), (70_000, 70_009)) for i in range(a, b) if b <= size}
+        assert n_words == size and n_hit == len(hit)
+        assert found == (["1", "3", "8", "9"] if size > 70_000 else ["1", "3"])
+    assert got[2] == ("3", 2, 0, [])

@@ -45,27 +45,31 @@ def _fingerprints(rows: DataFrame, span: int) -> DataFrame:
     around = span - k
     n = F.size("w") - (k - 1)
 
-    def marked(i: Column) -> Column:
+    def hash_at(i: Column) -> Column:
+        return F.xxhash64(F.lit(span), F.slice("w", i, k))
+
+    def marked(i: Column, value: Column) -> Column:
         left = F.least(i - 1, F.lit(around))
         return F.struct(
             F.lit(span).alias("span"),
-            F.get("g", i - 1).alias("hash"),
+            value.alias("hash"),
             (i - 1).alias("pos"),
             left.alias("left"),
             F.slice("w", i - left, left + span).alias("near"),
         )
 
     places = F.when(n > around, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    hashed = rows.withColumn("g", F.transform(places, lambda i: F.xxhash64(F.lit(span), F.slice("w", i, k))))
     if around == 0:
-        return hashed.withColumn("found", F.transform(places, marked)).drop("g")
+        # Each place is hashed where it is marked: an array of hashes used in one place only would be computed anew for each.
+        return rows.withColumn("found", F.transform(places, lambda i: marked(i, hash_at(i))))
+    hashed = rows.withColumn("g", F.transform(places, hash_at))
     runs = F.when(n > around, F.sequence(F.lit(0), n - around - 1)).otherwise(F.array().cast("array<int>"))
     least = hashed.withColumn("m", F.transform(runs, lambda j: F.least(*(F.get("g", j + t) for t in range(around + 1)))))
     # The smallest of some run that holds it: as large as the largest of those runs' minima.
     chosen = F.filter(
         places, lambda i: F.get("g", i - 1) == F.greatest(*(F.get("m", i - 1 - t) for t in range(around + 1)))
     )
-    return least.withColumn("i", chosen).withColumn("found", F.transform("i", marked)).drop("g", "m", "i")
+    return least.withColumn("i", chosen).withColumn("found", F.transform("i", lambda i: marked(i, F.get("g", i - 1)))).drop("g", "m", "i")
 
 
 def _exploded(rows: DataFrame, spans: list[int], *keys: str) -> DataFrame:
