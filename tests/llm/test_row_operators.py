@@ -130,6 +130,26 @@ def test_language_id_on_held_out_texts(docs_of):
     assert {r.lang_pred for r in found if r.doc_id in (900, 901, 902)} == {"und"}
 
 
+def test_training_draws_from_whole_texts(docs_of, monkeypatch):
+    monkeypatch.setattr(language_id, "fit", lambda texts, labels: list(zip(texts, labels)))
+    rng = random.Random(2)
+    whole = {i: "".join(rng.choices("abcdefgh", k=300 + i)) for i in range(40)}
+    docs = docs_of([(i, t, "aa") for i, t in whole.items()] + [(99, "short", "bb")], "doc_id bigint, text string, lang string")
+    drawn = language_id.train_on(docs, F.lit(True), chars=50)
+    pieces = [t for t, lang in drawn if lang == "aa"]
+    assert len(pieces) == 40 and ("short", "bb") in drawn
+    assert all(len(p) == 50 and any(p in t for t in whole.values()) for p in pieces)
+    assert sum(any(t.startswith(p) for t in whole.values()) for p in pieces) < 20
+
+
+def test_texts_of_two_languages_stay(docs_of):
+    rows = [(i, t, lang) for i, t, lang in spoken(120, 8)]
+    net = language_id.train_on(docs_of(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    mixed = [(i, rows[i][1] + " " + rows[i + 1][1] + " " * 600 + rows[i + 2][1]) for i in range(0, 100, 3)]
+    kept = language_id.of_known_language(docs_of(mixed + [(900, None), (901, "12 !"), (902, "")]), net).collect()
+    assert sorted(r.doc_id for r in kept) == [i for i, _ in mixed]
+
+
 def test_language_id_without_labels(docs_of):
     docs = docs_of([(1, "abc", None), (2, None, None)], "doc_id bigint, text string, lang string")
     for frame in (docs, docs.limit(0)):

@@ -151,14 +151,18 @@ def fit(
 
 
 def train_on(
-    docs: DataFrame, usable: Column, *, texts: int = TRAIN_TEXTS, text: str = "text", lang: str = "lang"
+    docs: DataFrame, usable: Column, *, texts: int = TRAIN_TEXTS, chars: int = TRAIN_CHARS, text: str = "text", lang: str = "lang"
 ) -> ByteNet:
     """Fit on at most ``texts`` different usable texts of each language, the first by a hash of the text.
 
-    Copies of a text count once. Reads at most ``TRAIN_CHARS`` characters of each; both bounds limit training only.
+    Copies of a text count once. Of a text of more than ``chars`` characters as many are read from a place
+    anywhere in it that the hash draws; both bounds limit training only.
     """
+    h = F.xxhash64(docs[text])
+    spare = F.greatest(F.char_length(docs[text]) - chars, F.lit(0))
+    drawn = F.substr(docs[text], (F.pmod(F.xxhash64(h), spare + 1) + 1).cast("int"), F.lit(chars))
     rows = docs.where(usable & docs[lang].isNotNull() & docs[text].isNotNull()).select(
-        F.substring(docs[text], 1, TRAIN_CHARS).alias("text"), docs[lang].alias("lang"), F.xxhash64(docs[text]).alias("h")
+        drawn.alias("text"), docs[lang].alias("lang"), h.alias("h")
     )
     # Only hashes are shuffled, and the rank limit is pushed below the shuffle of the ranks.
     first = Window.partitionBy("lang").orderBy("h")
@@ -207,10 +211,11 @@ def identify(docs: DataFrame, net: ByteNet, *, text: str = "text", doc_id: str =
     return id_text(docs, text=text, doc_id=doc_id).mapInArrow(predict, "doc_id bigint, lang_pred string, score double")
 
 
-def of_known_language(docs: DataFrame, net: ByteNet, *, least: float = 0.5, text: str = "text") -> DataFrame:
+def of_known_language(docs: DataFrame, net: ByteNet, *, least: float = 0.0, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a known language with a score of ``least``, with their columns.
 
-    If nothing was learned, all rows are kept.
+    By default only what ``identify`` calls ``und`` goes, so that texts of two languages stay. If nothing was
+    learned, all rows are kept.
     """
     small_batches(docs)
     if not net.languages:
