@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tightknit.plans.stable import stable
+from tightknit.plans.stable import drop_table, stable
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round links every node's larger neighbors to its smallest neighbor, then
     its smaller ones; the rounds grow with the logarithm of the longest path. Each
-    round's edges are a stored table. Nodes are 64-bit ids; nothing is collected but two sums.
+    round's edges are a stored table, dropped when the next one's are written. Nodes are 64-bit ids; nothing is collected but two sums.
     """
     now = stable(
         edges.where(F.col(a) != F.col(b))
@@ -27,8 +27,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        before = state
-        now = stable(_small_star(_large_star(now)))
+        before, last = state, now
+        now = stable(_small_star(_large_star(last)))
+        drop_table(last)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ as many rows as still reach it; colliding paragraphs are compared exactly, and o
 connected group the first paragraph stays.
 
 In what stays, every run of ``PASSAGE`` words that stands word for word at an earlier place is cut too, wherever lines
-begin and end. Of each such run the 16 words of smallest hash are the anchor, so that equal runs share it; only runs
-whose anchor occurs twice are compared, by a hash of all their words.
+begin and end. Of each such run the 32 words of smallest hash are the anchor, so that equal runs share it; only runs
+whose anchor occurs twice are compared, by a hash of all their words. Tables are dropped as soon as nothing reads them.
 """
 
 from __future__ import annotations
@@ -23,16 +23,19 @@ from tightknit.llm import similar_sets
 from tightknit.llm.batches import bytes_of, id_text, offsets_of, pieces, small_batches
 from tightknit.llm.components import components
 from tightknit.llm.shingles import labels, mix, recall, set_ids, shingle_sets, words
-from tightknit.plans.stable import stable
+from tightknit.plans.stable import drop_table, stable
 
 THRESHOLD, MIN_WORDS = 0.8, 30
 VALUES, TARGET_RECALL = 56, 0.999
-#: Words of a run that is cut wherever it stands, and of its anchor.
-PASSAGE, ANCHOR = 50, 16
+#: Words of a run that is cut wherever it stands, and of its anchor: any length finds the same runs. A longer one has more
+#: places in a text, but fewer edited copies share it, whose runs would all be listed only to be found unequal.
+PASSAGE, ANCHOR = 50, 32
 #: An odd number and its inverse among 64-bit numbers.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 BIN = 2048
+#: Bytes of text handled at once, of which numbers take some ten times as many.
+PIECE = 2 << 20
 REMOVED = "removed"
 
 
@@ -94,7 +97,7 @@ def repeated_paragraphs(
     rows = rows.where("doc_id is not null")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, n_bytes=PIECE):
             row, start, stop, n, sets, ends = _long_paragraphs(piece.column(1), min_words)
             if not len(row):
                 continue
@@ -112,18 +115,22 @@ def repeated_paragraphs(
         )
     )
     place = F.struct("doc_id", "version", "start", "stop")
-    sets = stable(
+    lines = stable(signed.drop("labels"))
+    labelled = stable(
         signed.groupBy("sid").agg(
             F.count(F.lit(1)).alias("weight"), F.min(place).alias("place"), F.first("labels").alias("labels")
         )
     )
-    places = similar_sets.placed(components(similar_sets.candidate_edges(sets)))
-    chosen = stable(places.join(sets.select("sid", "weight", "place"), "sid"))
+    drop_table(signed)
+    sets = stable(labelled.drop("labels"))
+    met = components(similar_sets.candidate_edges(labelled))
+    drop_table(labelled)
+    chosen = stable(similar_sets.placed(met).join(sets, "sid"))
     n_bins = max(1, chosen.count() // BIN)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["sid", "component", "block", "n_blocks", "weight"]
-        for piece in pieces(batches):
+        for piece in pieces(batches, n_bytes=PIECE):
             _, _, _, _, sets, ends = _long_paragraphs(piece.column(1), 1)
             items = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(sets.view(np.int64)))
             yield pa.RecordBatch.from_arrays([*piece.columns[2:], items], [*names, "items"])
@@ -142,14 +149,12 @@ def repeated_paragraphs(
         .agg(F.min("place").alias("class_first"))
     )
     of_set = (
-        sets.select("sid", "weight", "place")
-        .join(classes.join(firsts, "root").select(F.col("node").alias("sid"), "class_first"), "sid", "left")
+        sets.join(classes.join(firsts, "root").select(F.col("node").alias("sid"), "class_first"), "sid", "left")
         .where("weight > 1 or class_first is not null")
         .select("sid", F.coalesce("class_first", "place").alias("first"))
     )
     return (
-        signed.drop("labels")
-        .join(of_set, "sid")
+        lines.join(of_set, "sid")
         .where(place != F.col("first"))
         .select("doc_id", "version", "start", "stop", "n_words", F.col("first.doc_id").alias("first_doc_id"))
         .distinct()
@@ -198,7 +203,7 @@ def repeated_passages(
     rows = rows.where("doc_id is not null")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, n_bytes=PIECE):
             _, row, anchor, small, *_ = _runs(piece.column(1), size)
             _, once = np.unique(anchor, return_index=True)
             row, small = row[once], small[once]
@@ -227,7 +232,7 @@ def repeated_passages(
     ).select("doc_id", "text", "version", "anchors", "begin", "end")
 
     def list_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, n_bytes=PIECE):
             first, row, _, small, whole, starts, stops, number = _runs(piece.column(1), size)
             cuts = np.searchsorted(row, np.arange(piece.num_rows + 1))
             keep = np.zeros(len(first), bool)
@@ -246,7 +251,14 @@ def repeated_passages(
             )
 
     runs = stable(wanted.mapInArrow(list_runs, "run bigint, doc_id bigint, version bigint, at int, start int, stop int"))
-    firsts = runs.groupBy("run").agg(F.min(F.struct("doc_id", "version", "at")).alias("first"))
+    drop_table(marks)
+    # Stored, so that both sides of the join are plain shuffles, of which a common run's can be split.
+    firsts = stable(
+        runs.groupBy("run")
+        .agg(F.min(F.struct("doc_id", "version", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .drop("n")
+    ).hint("merge")
     same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
     repeats = runs.join(firsts, "run").where(~same | (F.col("at") - F.col("first.at") >= size))
     own = Window.partitionBy("doc_id", "version").orderBy("at", "start")
