@@ -23,7 +23,7 @@ from tightknit.llm import similar_sets
 from tightknit.llm.batches import bytes_of, id_text, offsets_of, pieces
 from tightknit.llm.components import components
 from tightknit.llm.shingles import labels, recall, set_ids, shingle_sets, words
-from tightknit.plans.stable import stable
+from tightknit.plans.stable import drop_table, stable
 
 THRESHOLD = 0.8
 TREES, DEPTH = 40, 8
@@ -31,6 +31,8 @@ TARGET_RECALL = 0.9999
 
 #: Small candidate components compared by one task call hold about so many sets.
 BIN = 512
+#: Bytes of text handled at once, of which numbers take some ten times as many.
+PIECE = 1 << 20
 
 
 def stop_depth(trees: int, depth: int, threshold: float, target: float) -> int:
@@ -76,7 +78,7 @@ def jaccard_classes(
     rows = id_text(docs, F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("version"), text=text, doc_id=doc_id)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, n_bytes=PIECE):
             values, offsets = _sets(piece)
             full = np.diff(offsets) > 0
             marks = np.zeros((len(full), trees), np.int64)
@@ -96,13 +98,14 @@ def jaccard_classes(
             F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("rep"), F.first("labels").alias("labels")
         )
     )
-    edges = similar_sets.candidate_edges(sets)
-    places = similar_sets.placed(components(edges))
+    slim = stable(signed.drop("labels"))
+    drop_table(signed)
+    places = similar_sets.placed(components(similar_sets.candidate_edges(sets)))
     chosen = stable(places.join(sets.select("sid", "weight", "rep"), "sid"))
     n_bins = max(1, chosen.count() // BIN)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, n_bytes=PIECE):
             values, offsets = _sets(piece)
             same = set_ids(values, offsets) == piece.column(2).to_numpy()  # a repeated id has other texts too
             items = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(values.view(np.int64)))
@@ -133,11 +136,12 @@ def jaccard_classes(
             (F.col("weight") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"),
         )
     )
-    alone = signed.where("not full or doc_id is null").select(
+    alone = slim.where("not full or doc_id is null").select(
         "doc_id", "version", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")
     )
     return (
-        usable.select("doc_id", "version", "sid")
+        slim.where("full and doc_id is not null")
+        .select("doc_id", "version", "sid")
         .join(of_set, "sid")
         .select("doc_id", "version", "class_id", "n_links")
         .unionByName(alone)

@@ -223,7 +223,7 @@ def of_known_language(docs: DataFrame, net: ByteNet, *, least: float = 0.0, text
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.paired()
-        for piece in pieces(batches, text):
+        for piece in pieces(batches, text, n_bytes=1 << 20):
             texts = pc.fill_null(piece.column(piece.schema.get_field_index(text)), "")
             names, score = _predict(net, tables, texts)
             yield piece.filter(pa.array((names != UNKNOWN) & (score >= least)))
