@@ -110,6 +110,40 @@ def test_components_of_paths_and_stars(spark):
     assert found == {i: root[i] for i in touched}
 
 
+def test_forests_span_all_links():
+    rng = np.random.default_rng(6)
+    path = np.zeros((4, 4), bool)
+    for a, b in ((0, 2), (2, 3), (3, 1)):  # the first partner of each would lose the middle link
+        path[a, b] = path[b, a] = True
+    for n, m, share in ((4, 4, 0), (1, 1, 0), (40, 40, 0.03), (90, 90, 0.012), (60, 45, 0.02), (1, 30, 0.3), (30, 1, 0.3)):
+        for two_sided in (False, True) if n == m else (True,):
+            links = path if n == 4 else rng.random((n, m)) < share
+            if not two_sided:
+                links = (links | links.T) & ~np.eye(n, dtype=bool)
+            shift = n if two_sided else 0
+            up, down = similar_sets.spanning_forest(links, two_sided)
+            kept = [(i, p + shift) for i, p in enumerate(up) if p >= 0]
+            assert all(links[i, p - shift] for i, p in kept)
+            if two_sided:
+                kept += [(p, j + shift) for j, p in enumerate(down) if p >= 0]
+                assert all(links[p, j - shift] for p, j in kept)
+            edges = [(int(i), int(j) + shift) for i, j in zip(*np.nonzero(links))]
+            assert grouped(n + m, kept) == grouped(n + m, edges)
+            assert len(kept) == n + m - len(set(grouped(n + m, edges)))
+
+
+def test_classes_of_chains(docs_of, monkeypatch):
+    """Texts of which each is near the next one only, in blocks of all sizes and in one."""
+    words = [f"c{i}" for i in range(1200)]
+    rng = random.Random(15)
+    starts = list(range(0, 900, 14))
+    rng.shuffle(starts)
+    texts = [" ".join(words[s : s + 200]) for s in starts]
+    check_join(docs_of, texts)
+    monkeypatch.setattr(similar_sets, "BLOCK", 5)
+    check_join(docs_of, texts)
+
+
 def brute_paragraphs(texts, min_words=30):
     found = []
     for i, text in enumerate(texts):
