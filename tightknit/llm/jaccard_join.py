@@ -1,10 +1,12 @@
-"""N-gram Jaccard self-join of documents by MinHash prefixes of fixed depth.
+"""N-gram Jaccard self-join of documents by a MinHash LSH forest.
 
-Fixed-depth banding replaces the forest's adaptive descent: each tree of a forest would be matched from whole paths of
-MinHash values to shorter prefixes until the chance that two sets at the threshold meet reaches the target
-recall. That depth follows from the threshold and the number of trees alone, and sets that agree in a longer prefix agree
-in this one, so no trie is built: a label is a hash of tree and prefix, and sets of one label are candidates. All
-candidates are then compared exactly.
+Candidates are the sets that meet below a node of the forest (``lsh_forest``), first of its whole paths. All
+candidates are compared exactly, and the prefixes are then shortened to the longest ones at which the weakest link seen
+meets with the target recall, until no link seen is weaker than that. So the depth follows from the data, between ``depth``
+and the depth that suffices for links right at the threshold, and each link seen was found by prefixes that
+miss at most one in 1 / (1 - target) of its kind. Links weaker than all that were seen can remain unseen only if each of
+them misses the longer prefixes too: with 40 trees of 10 values, k links right at the threshold do so with a
+chance of 0.011^k, so that stopping early loses 0.011 links of a corpus on average at worst.
 
 Documents with equal sets are one class, compared once. Candidates' components
 are compared in blocks (``similar_sets``), so that pairs are counted but never become rows.
@@ -19,14 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tightknit.llm import similar_sets
+from tightknit.llm import lsh_forest, similar_sets
 from tightknit.llm.batches import bytes_of, id_text, offsets_of, pieces
 from tightknit.llm.components import components
-from tightknit.llm.shingles import labels, recall, set_ids, shingle_sets, words
+from tightknit.llm.lsh_forest import stop_depth
+from tightknit.llm.shingles import set_ids, shingle_sets, words
 from tightknit.plans.stable import drop_table, stable
 
 THRESHOLD = 0.8
-TREES, DEPTH = 40, 8
+TREES, DEPTH = 40, 10
 TARGET_RECALL = 0.9999
 
 #: Small candidate components compared by one task call hold about so many sets.
@@ -35,14 +38,6 @@ BIN = 512
 PIECE = 1 << 20
 
 
-def stop_depth(trees: int, depth: int, threshold: float, target: float) -> int:
-    """The longest prefix whose recall at the threshold reaches the target."""
-    for d in range(depth, 0, -1):
-        if recall(threshold, trees, d) >= target:
-            return d
-    raise ValueError(f"{trees} trees cannot reach a recall of {target} at similarity {threshold}")
-
-
 def _sets(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of each text and their offsets."""
     column = piece.column(piece.schema.get_field_index("text"))
@@ -51,11 +46,6 @@ def _sets(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return shingle_sets(hashes, np.searchsorted(rows, np.arange(len(offsets))))
 
 
-def _arrays(matrix: np.ndarray) -> pa.Array:
-    width = matrix.shape[1]
-    return pa.ListArray.from_arrays(np.arange(len(matrix) + 1, dtype=np.int32) * width, pa.array(matrix.ravel()))
-
-
 def jaccard_classes(
     docs: DataFrame,
     *,
@@ -74,35 +64,36 @@ def jaccard_classes(
     empty ones, are linked to nothing and are classes of their own, as are rows without an id
     (class null). Rows that repeat an id are rows of their own. ``version`` is a hash of the text.
     """
-    width = stop_depth(trees, depth, threshold, target)
+    floor = stop_depth(trees, depth, threshold, target)
     rows = id_text(docs, F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("version"), text=text, doc_id=doc_id)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, n_bytes=PIECE):
             values, offsets = _sets(piece)
             full = np.diff(offsets) > 0
-            marks = np.zeros((len(full), trees), np.int64)
+            marks = np.zeros((len(full), trees * depth), np.uint8)
             if full.any():
-                marks[full] = labels(values, np.append(offsets[:-1][full], offsets[-1]), trees, width)
+                marks[full] = lsh_forest.paths(values, np.append(offsets[:-1][full], offsets[-1]), trees, depth)
+            marks = pa.array([row.tobytes() for row in marks], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), piece.column(2), pa.array(set_ids(values, offsets)), pa.array(full), _arrays(marks)],
-                ["doc_id", "version", "sid", "full", "labels"],
+                [piece.column(0), piece.column(2), pa.array(set_ids(values, offsets)), pa.array(full), marks],
+                ["doc_id", "version", "sid", "full", "paths"],
             )
 
     signed = stable(
-        rows.mapInArrow(sign, "doc_id bigint, version bigint, sid bigint, full boolean, labels array<bigint>")
+        rows.mapInArrow(sign, "doc_id bigint, version bigint, sid bigint, full boolean, paths binary")
     )
     usable = signed.where("full and doc_id is not null")
     sets = stable(
         usable.groupBy("sid").agg(
-            F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("rep"), F.first("labels").alias("labels")
+            F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("rep"), F.first("paths").alias("paths")
         )
     )
-    slim = stable(signed.drop("labels"))
+    slim = stable(signed.drop("paths"))
     drop_table(signed)
-    places = similar_sets.placed(components(similar_sets.candidate_edges(sets)))
-    chosen = stable(places.join(sets.select("sid", "weight", "rep"), "sid"))
-    n_bins = max(1, chosen.count() // BIN)
+    joints = lsh_forest.joints(sets.select("sid", "paths"), trees, depth, floor)
+    known = stable(sets.drop("paths"))
+    drop_table(sets)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, n_bytes=PIECE):
@@ -112,23 +103,41 @@ def jaccard_classes(
             names = ["sid", "component", "block", "n_blocks", "weight"]
             yield pa.RecordBatch.from_arrays([*piece.columns[2:], items], [*names, "items"]).filter(pa.array(same))
 
-    # Shuffled at every size: a broadcast would end where the candidates outgrow it.
-    wanted = rows.select("doc_id", "text").join(chosen.hint("merge"), F.col("doc_id") == F.col("rep")).select(
-        "doc_id", "text", "sid", "component", "block", "n_blocks", "weight"
-    )
-    shape = "sid bigint, component bigint, block int, n_blocks int, weight bigint, items array<bigint>"
-    found = wanted.mapInArrow(measure, shape)
-    links = stable(similar_sets.linked(found, threshold, n_bins))
+    def links_at(d: int) -> DataFrame:
+        """Links of the sets that meet at prefixes of ``d`` values."""
+        met = components(joints.where(F.col("agree") >= d))
+        chosen = stable(similar_sets.placed(met).join(known, "sid"))
+        n_bins = max(1, chosen.count() // BIN)
+        # Shuffled at every size: a broadcast would end where the candidates outgrow it.
+        wanted = rows.select("doc_id", "text").join(chosen.hint("merge"), F.col("doc_id") == F.col("rep")).select(
+            "doc_id", "text", "sid", "component", "block", "n_blocks", "weight"
+        )
+        shape = "sid bigint, component bigint, block int, n_blocks int, weight bigint, items array<bigint>"
+        found = stable(similar_sets.linked(wanted.mapInArrow(measure, shape), threshold, n_bins))
+        drop_table(chosen)
+        drop_table(met)
+        return found
+
+    now = depth
+    while True:
+        links = links_at(now)
+        weakest = links.agg(F.min("weakest")).first()[0]
+        enough = now if weakest is None else stop_depth(trees, now, max(weakest, threshold), target)
+        if enough == now:
+            break
+        drop_table(links)
+        now = enough
+    drop_table(joints)
+
     classes = components(links.select(F.col("sid").alias("a"), F.col("other").alias("b")))
     near = links.groupBy("sid").agg(F.sum("n_linked").alias("near"))
     firsts = (
-        classes.join(sets.select(F.col("sid").alias("node"), "rep"), "node")
+        classes.join(known.select(F.col("sid").alias("node"), "rep"), "node")
         .groupBy("root")
         .agg(F.min("rep").alias("class_rep"))
     )
     of_set = (
-        sets.select("sid", "weight", "rep")
-        .join(near, "sid", "left")
+        known.join(near, "sid", "left")
         .join(classes.join(firsts, "root").select(F.col("node").alias("sid"), "class_rep"), "sid", "left")
         .select(
             "sid",
