@@ -11,12 +11,13 @@ Strategies differ only in how the level step fetches a list:
 * ``join``       a shuffle join with the ranked lists, keyed by vertex.
 * ``ego``        a shuffle join with the lists restricted to the neighborhood of
   the clique's first member, keyed by (first member, vertex). A hub's rows
-  spread over all the neighborhoods it occurs in.
+  spread over all the neighborhoods it occurs in. To restrict them, the shorter of
+  two lists travels to the longer one.
 * ``bitmap``     as ``ego``, but inside a neighborhood vertices are places and
   sets of them bitmaps (``operators/bitmaps.py``): for dense neighborhoods the
   lists are many times smaller, and a level is an AND of words.
-* ``broadcast``  the ranked lists are broadcast if their measured size is within
-  ``max_broadcast_bytes``; otherwise as ``join``.
+* ``broadcast``  the ranked lists of vertices that are in other lists are broadcast if
+  their measured size is within ``max_broadcast_bytes``; otherwise as ``join``.
 * ``auto``       ``broadcast`` within that bound, ``ego`` beyond it.
 """
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tightknit.functions.arrays import after, computed, empty_list, ordered_intersect
+from tightknit.operators.closures import met_wedges
 from tightknit.operators.core import prune_core
 from tightknit.operators.graph import vertices_of
 from tightknit.plans.dealing import deal
@@ -282,6 +284,12 @@ def wedges(graph: RankedGraph, behind: int, least: int = 0, num_partitions: int
     ``rest`` is the part of the anchor's list behind w, of at least ``behind``
     vertices. Anchors with lists of fewer than ``least`` vertices are left out.
     """
+    rows = _places(graph, behind, least, num_partitions)
+    return rows.select("anchor", "w", after("nbrs", "pos").alias("rest"))
+
+
+def _places(graph: RankedGraph, behind: int, least: int, num_partitions: int | None) -> DataFrame:
+    """``(anchor, w, pos, n_out, nbrs)``: the ``wedges`` by w's place in the anchor's list."""
     lists = graph.out.filter((F.col("n_out") > behind) & (F.col("n_out") >= least)).select("v", "n_out", "nbrs")
     parts = task_count(graph, num_partitions)
     share = graph.work // parts
@@ -290,21 +298,33 @@ def wedges(graph: RankedGraph, behind: int, least: int = 0, num_partitions: int
         lists = deal(lists, ["v"], F.col("n_out").cast("bigint") * F.col("n_out"), parts)
     rows = unfold(lists, "nbrs", graph.longest, key="v", parts=parts)
     rows = rows.filter(F.col("n_out") - F.col("pos") > behind)
-    return rows.select(F.col("v").alias("anchor"), "w", after("nbrs", "pos").alias("rest"))
+    return rows.withColumnRenamed("v", "anchor")
+
+
+def fetched_lists(graph: RankedGraph, max_broadcast_bytes: int) -> DataFrame | None:
+    """The side of ``wedge_closures`` to fetch from: a broadcast, or ``None`` if it would be too large."""
+    if graph.asked_bytes > max_broadcast_bytes:
+        return None
+    return F.broadcast(graph.asked.select("w", "nbrs"))
 
 
 def wedge_closures(
-    graph: RankedGraph, lists: DataFrame, how: str = "inner", least: int = 0, num_partitions: int | None = None
+    graph: RankedGraph, lists: DataFrame | None, how: str = "inner", least: int = 0, num_partitions: int | None = None,
+    limit: int = 0,
 ) -> DataFrame:
     """``(anchor, w, ext)`` per ranked edge anchor-w: the triangles above it.
 
     ``ext`` lists the common higher-ranked neighbors in rank order. ``lists(w,
-    nbrs)`` is the side to fetch from; with ``how='inner'`` edges that close no
-    triangle are left out. ``least`` is the shortest list of an anchor.
+    nbrs)`` is the side to fetch from, ``None`` for a shuffle of the shorter lists; with ``how='inner'`` edges that
+    close no triangle are left out. ``least`` is the shortest list of an anchor, ``limit`` what that shuffle may broadcast.
     """
-    fan = wedges(graph, 1 if how == "inner" else 0, least, num_partitions)
+    behind = 1 if how == "inner" else 0
+    if lists is None:
+        met = met_wedges(graph, _places(graph, behind, least, num_partitions), how, limit)
+    else:
+        met = wedges(graph, behind, least, num_partitions).join(lists, "w", how)
     ext = ordered_intersect("rest", F.coalesce("nbrs", empty_list()))
-    closed = computed(fan.join(lists, "w", how), ["anchor", "w"], ext=ext)
+    closed = computed(met, ["anchor", "w"], ext=ext)
     return closed.filter(F.size("ext") > 0) if how == "inner" else closed
 
 
@@ -322,9 +342,9 @@ def _levels(
     With ``prune`` states and candidates that cannot reach size k are dropped.
     """
     if strategy == "auto":
-        strategy = "broadcast" if graph.n_bytes <= max_broadcast_bytes else "ego"
+        strategy = "broadcast" if graph.asked_bytes <= max_broadcast_bytes else "ego"
     limit = max_broadcast_bytes if strategy == "broadcast" else 0
-    lists = fetch_side(graph.out.select(F.col("v").alias("w"), "nbrs"), graph.n_bytes, limit)
+    lists = fetch_side(graph.asked.select("w", "nbrs"), graph.asked_bytes, limit)
     if strategy == "bitmap":
         from tightknit.operators import bitmaps  # which unfolds its rows as this module does
 
@@ -337,9 +357,11 @@ def _levels(
         return k - size if prune else 1
 
     pair = _carry(members, F.array("anchor", "w"))
-    if strategy == "ego" and k > 3:
+    if strategy == "ego":
         # The restricted lists are the states of size 2 as well. An anchor needs k - 1 others.
-        local = stable(wedge_closures(graph, lists, least=k - 1 if prune else 0, num_partitions=num_partitions))
+        least = k - 1 if prune else 0
+        local = wedge_closures(graph, None, least=least, num_partitions=num_partitions, limit=max_broadcast_bytes)
+        local = stable(local) if k > 3 else local
         frontier = local.select("anchor", *pair, "ext").filter(F.size("ext") >= missing(2))
         lists, keys = local.withColumnRenamed("ext", "nbrs").hint("merge"), ["anchor", "w"]
     else:

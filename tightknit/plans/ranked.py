@@ -31,12 +31,13 @@ PARTITION_BYTES = 256 << 20
 
 
 class RankedGraph(NamedTuple):
-    """``vertices(v, degree)`` and ``out(v, n_out, nbrs)``, both written tables.
+    """``vertices(v, degree)`` and ``out(v, n_out, nbrs, n_below)``, both written tables.
 
-    ``nbrs`` holds the higher-ranked neighbors in rank order; vertices without
-    any have no row. ``n_bytes`` bounds the in-memory size of ``out``,
+    ``nbrs`` holds the higher-ranked neighbors in rank order, ``n_below`` counts the lower-ranked ones; vertices without
+    any above have no row. ``n_bytes`` bounds the in-memory size of ``out``,
     ``longest`` the length of a list, ``work`` the sum of squared lengths: as many ids
-    come from unfolding every list, each candidate with those behind it.
+    come from unfolding every list, each candidate with those behind it. ``asked_bytes`` and ``n_asked`` bound the size
+    and rows of ``asked``, the only lists that a candidate can ask for.
     """
 
     vertices: DataFrame
@@ -44,6 +45,13 @@ class RankedGraph(NamedTuple):
     n_bytes: int
     longest: int
     work: int
+    asked_bytes: int
+    n_asked: int
+
+    @property
+    def asked(self) -> DataFrame:
+        """``(w, n_w, nbrs)``: the lists of the vertices that are in other lists. By degree most vertices are in none."""
+        return self.out.filter("n_below > 0").select(F.col("v").alias("w"), F.col("n_out").alias("n_w"), "nbrs")
 
 
 def rank_graph(
@@ -85,6 +93,11 @@ def rank_graph(
     lists = oriented.repartition(num_partitions, "v").groupBy("v")
     out = lists.agg(F.sort_array(F.collect_list("w")).alias("w"))
     out = out.select("v", F.size("w").alias("n_out"), F.col("w.v").alias("nbrs"))
+    out = out.join(vertices.hint("merge"), "v").select("v", "n_out", "nbrs", (F.col("degree") - F.col("n_out")).alias("n_below"))
     square = F.col("n_out").cast("bigint") * F.col("n_out")
-    out, seen = stable_measured(out, n_bytes=list_bytes("n_out"), longest=F.max("n_out"), work=F.sum(square))
-    return RankedGraph(vertices, out, seen["n_bytes"], seen["longest"], seen["work"])
+    asked = F.when(F.col("n_below") > 0, F.col("n_out").cast("bigint") * 8 + 64)
+    out, seen = stable_measured(
+        out, n_bytes=list_bytes("n_out"), longest=F.max("n_out"), work=F.sum(square),
+        asked_bytes=F.sum(asked), n_asked=F.count(asked),
+    )
+    return RankedGraph(vertices, out, **seen)
