@@ -1,12 +1,12 @@
 """Lists that travel: only those asked for, the shorter one of two, and none for what needs none."""
 
 import pytest
-from graphs import edges_df, random_pairs
+from graphs import brute_cliques, brute_maximal, cliques_of, edges_df, random_pairs
 from pyspark.sql import functions as F
 
 import tightknit as tk
 from tightknit.functions.arrays import empty_list, ordered_intersect
-from tightknit.operators import closures, kclique
+from tightknit.operators import closures, kclique, maximal
 from tightknit.plans.ranked import ORDERS
 
 # Two hubs with the same 300 neighbors, of which every tenth is adjacent to the next; then small dense graphs.
@@ -52,3 +52,27 @@ def test_the_shorter_list_travels(graph):
     sent = met.select(F.sum(F.least(F.size("rest"), F.size("nbrs")))).first()[0]
     assert sent * 50 < ids_in(kclique.wedges(ranked, 1))
     assert met.filter(F.size(ordered_intersect("rest", F.coalesce("nbrs", empty_list()))) > 0).count() > 0
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_maximality_of_edges_takes_no_lists_along(graph, monkeypatch, limit):
+    """The lists of the hubs would come to 300 ids for each of their 600 edges."""
+    stored = []
+    for name in ("stable", "stable_measured"):
+        make = getattr(maximal, name)
+        monkeypatch.setattr(maximal, name, lambda *a, make=make, **m: stored.append(make(*a, **m)) or stored[-1])
+    listed = tk.stable(tk.cliques_upto(graph, 3))
+    kept = tk.is_maximal(listed, graph, max_broadcast_bytes=limit)
+    found, _ = brute_cliques(PAIRS, 3)
+    assert cliques_of(kept) == {c for cs in found.values() for c in cs} & brute_maximal(PAIRS)
+    tables = [t[0] if isinstance(t, tuple) else t for t in stored]
+    assert max(map(ids_in, tables)) < 20 * len(PAIRS)
+
+
+def test_lists_are_built_for_members_only(graph, spark, monkeypatch):
+    lists = []
+    make = maximal.fetch_side
+    monkeypatch.setattr(maximal, "fetch_side", lambda t, *a: lists.append(t) or make(t, *a))
+    some = spark.createDataFrame([([100, 101],), ([0, 1, 100, 101],), ([0, 1, 105],)], "clique array<bigint>")
+    assert cliques_of(tk.is_maximal(some, graph)) == {(0, 1, 100, 101), (0, 1, 105)}
+    assert {r.v for t in lists if "nbrs" in t.columns for r in t.collect()} == {0, 1, 100, 101, 105}
