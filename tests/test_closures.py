@@ -54,6 +54,16 @@ def test_the_shorter_list_travels(graph):
     assert met.filter(F.size(ordered_intersect("rest", F.coalesce("nbrs", empty_list()))) > 0).count() > 0
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_children_without_a_list_are_not_shuffled(graph, limit):
+    ranked = tk.rank_graph(graph, "id")
+    found = tk.expand(tk.init_frontier(ranked.out), ranked.out, ranked.longest, limit)
+    nbrs = brute_cliques(PAIRS, 1)[1]
+    want = sorted((a, b, sorted(x for x in nbrs[a] & nbrs[b] if x > b)) for a, b in PAIRS)
+    assert sorted((*r.clique, r.ext) for r in found.collect()) == want
+    assert ("LeftAnti" in found._jdf.queryExecution().optimizedPlan().toString()) == (limit > 0)
+
+
 @pytest.mark.parametrize("limit", [0, 1 << 20])
 def test_maximality_of_edges_takes_no_lists_along(graph, monkeypatch, limit):
     """The lists of the hubs would come to 300 ids for each of their 600 edges."""

@@ -34,7 +34,7 @@ from tightknit.operators.core import prune_core
 from tightknit.operators.graph import vertices_of
 from tightknit.plans.dealing import deal
 from tightknit.plans.ranked import RankedGraph, rank_graph
-from tightknit.plans.stable import MAX_BROADCAST_BYTES, fetch_side, stable
+from tightknit.plans.stable import MAX_BROADCAST_BYTES, fetch_side, stable, stable_measured
 
 STRATEGIES = ("auto", "join", "broadcast", "ego", "bitmap")
 
@@ -70,17 +70,31 @@ def bound_prune(frontier: DataFrame, k: int) -> DataFrame:
     return frontier.filter(F.size("clique") + F.size("ext") >= k)
 
 
-def expand(frontier: DataFrame, lists: DataFrame, longest: int | None = None) -> DataFrame:
+def expand(
+    frontier: DataFrame, lists: DataFrame, longest: int | None = None, max_broadcast_bytes: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
     """All children ``(clique, ext)`` of all states, for the ranked lists they started from.
 
     What is adjacent to a candidate and still possible stands behind it in ``ext``. ``longest`` is the length of the
     longest list, ``rank_graph(...).longest``; without it states are shuffled once more, as some could be long.
+    The ids that have a list are stored and measured: within ``max_broadcast_bytes`` they are broadcast, and candidates
+    without one are not shuffled.
     """
     _check_whole(lists)
-    fan = unfold(frontier, "ext", longest).select("clique", "w", after("ext", "pos").alias("rest"))
-    fetched = fan.join(lists.select(F.col("v").alias("w"), "nbrs").hint("merge"), "w", "left")
+    fan = unfold(frontier, "ext", longest)
+    rest, fetched = after("ext", "pos").alias("rest"), lists.select(F.col("v").alias("w"), "nbrs").hint("merge")
+    ids, seen = stable_measured(lists.select(F.col("v").alias("w")), n_bytes=F.count(F.lit(1)) * 64)
+    if seen["n_bytes"] > max_broadcast_bytes:
+        return _children(fan.select("clique", "w", rest).join(fetched, "w", "left"))
+    ids = F.broadcast(ids)
+    grown = _children(fan.join(ids, "w", "left_semi").select("clique", "w", rest).join(fetched, "w"))
+    ended = fan.select("clique", "w").join(ids, "w", "left_anti")
+    return grown.unionByName(ended.select(F.array_append("clique", F.col("w")).alias("clique"), empty_list().alias("ext")))
+
+
+def _children(met: DataFrame) -> DataFrame:
     return computed(
-        fetched,
+        met,
         [F.array_append("clique", F.col("w")).alias("clique")],
         ext=ordered_intersect("rest", F.coalesce("nbrs", empty_list())),
     )
