@@ -167,3 +167,13 @@ def test_checked_lists_stop_a_job_on_a_fault(spark, bound):
     for text, faulty in faults.items():
         with pytest.raises(PySparkException, match=text):
             tk.checked_lists(faulty).select("v").collect()
+
+
+def test_lines_are_split_once(spark):
+    """Filters on tokens or ids do not make the line be split, or its ids be read, a second time."""
+    lines = spark.createDataFrame([("1 2 3",), ("# 2 1",), ("2 x",), ("3 1",), ("  ",)], "value string")
+    checked = tk.check_adjacency_lines(lines)
+    for found in (tk.one_sided(checked.lists), checked.rejects, tk.parse_edge_lines(lines).rejects):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [tuple(r) for r in tk.one_sided(checked.lists).collect()] == [(1, 2)]
+    assert [r.line for r in checked.rejects.collect()] == ["2 x"]

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tightknit.functions.arrays import computed
 from tightknit.operators.graph import orient
 from tightknit.sources.edge_list import NOT_NUMERIC, data_lines, is_data
 from tightknit.sources.output import run_path
@@ -25,7 +26,7 @@ def check_adjacency_lines(lines: DataFrame) -> AdjacencyList:
     A line is bad if any of its tokens is no 64-bit number.
     """
     ids = F.transform("tokens", lambda t: t.try_cast("bigint"))
-    rows = data_lines(lines).select("line", ids.alias("ids"))
+    rows = computed(data_lines(lines), ["line"], ids=ids)
     bad = F.exists("ids", lambda i: i.isNull())
     lists = rows.filter(~bad).select(F.get("ids", F.lit(0)).alias("v"), F.slice("ids", 2, F.size("ids")).alias("nbrs"))
     return AdjacencyList(lists, rows.filter(bad).select("line", F.lit(NOT_NUMERIC).alias("reason")))

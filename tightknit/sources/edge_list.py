@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tightknit.functions.arrays import computed
 from tightknit.operators.graph import orient, vertices_of
 from tightknit.plans.stable import stable_by
 
@@ -38,7 +39,7 @@ def is_data(tokens="tokens"):
 def data_lines(lines: DataFrame) -> DataFrame:
     """``(line, tokens)`` of the lines that are neither blank nor comments."""
     rows = lines.select(F.col(lines.columns[0]).alias("line"))
-    return rows.withColumn("tokens", tokens_of("line")).filter(is_data())
+    return computed(rows, ["line"], tokens=tokens_of("line")).filter(is_data())
 
 
 def parse_pairs(lines: DataFrame) -> DataFrame:
