@@ -4,11 +4,13 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from tightknit.llm import ppm
+from tightknit.plans.stable import table_folder
 
 
 def trie(texts, order=ppm.ORDER):
@@ -137,3 +139,29 @@ def test_no_count_is_cut_above_a_million_symbols(docs_of, monkeypatch):
         symbols = [0] * ppm.ORDER + [b + 1 for b in t.encode()] + [ppm.END]
         expected = sum(plain(symbols[i - ppm.ORDER : i], symbols[i], counts, 1) for i in range(ppm.ORDER, len(symbols)))
         assert found[d] == pytest.approx(expected, rel=1e-4)
+
+
+def test_a_chunk_asks_once_and_leaves_no_texts(docs_of, spark, monkeypatch):
+    """Texts of 6 MB in one task ask for their distinct codes once; texts, codes and words that were sent are not kept."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(1_500)) for _ in range(600)]
+    docs, n_bytes = docs_of(list(enumerate(texts))).coalesce(1), sum(map(len, texts))
+    seen, make = [], ppm._sent
+
+    def sent(rows, n):
+        table = make(rows, n)
+        asked = table.where(f"kind = {ppm.CODES}").selectExpr("count(*)", "sum(octet_length(payload))").first()
+        seen.append((n, *asked))
+        return table
+
+    def stored():
+        return sum(p.stat().st_size for p in Path(table_folder(spark)).rglob("*.parquet"))
+
+    monkeypatch.setattr(ppm, "_sent", sent)
+    before = stored()
+    found = ppm.score(docs)
+    (n, rows, size), codes = seen[0], len({t[i : i + 7] for t in texts for i in range(len(t) - 6)})
+    assert n_bytes > 6_000_000 and rows <= n and size < 8 * codes
+    assert stored() - before < n_bytes / 20
+    assert found.count() == len(texts)

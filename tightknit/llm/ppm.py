@@ -5,7 +5,7 @@ the longest context known; if it is not among what followed there, an escape is
 asked, without the symbols already excluded. An escape gets half a count of each symbol. A text's score is its code
 length, end included, as a log10 probability.
 
-Counts come from all training texts, and none is cut. Each chunk of texts asks for its distinct codes, a symbol with all of
+Counts come from all training texts, and none is cut. Each chunk of texts, large so that few codes travel twice, asks for its distinct codes, a symbol with all of
 its context, at buckets of their last ``GLOBAL`` + 1 context symbols; there all counts of these contexts and of the longer ones
 meet, the bucket builds their part of the trie and answers the chunk. Only the orders up to ``GLOBAL``, which the
 alphabet bounds, go to every task. As what follows a context also follows its shorter ones, one pass of lookups per
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tightknit.llm.batches import bytes_of, crc_of_id, offsets_of, pieces, small_batches
 from tightknit.llm.bpe import packed, packed_words, unpacked, unpacked_words
 from tightknit.llm.shingles import mix
-from tightknit.plans.stable import stable
+from tightknit.plans.stable import drop_table, stable
 
 ORDER = 6
 #: Longest contexts that go to every task.
@@ -43,8 +43,8 @@ BITS, END, SYMBOLS = 9, 257, 257
 EMPTY = np.uint64(2**64 - 1)
 #: Words that a task sums before it sends them; codes that a bucket holds before it sums them.
 HELD_WORDS, HELD_CODES = 300_000, 3_000_000
-#: Bytes of texts that ask together; a longer text asks alone.
-CHUNK_BYTES = 4 << 20
+#: Bytes of texts that ask together, in pieces; a longer text asks alone. The more ask together, the fewer codes are asked for twice.
+CHUNK_BYTES, TEXT_PIECE = 16 << 20, 1 << 20
 #: Bytes of text for each bucket that counts are merged in.
 BUCKET_BYTES = 8 << 20
 
@@ -225,6 +225,16 @@ def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return all_codes[first], np.add.reduceat(all_counts[order], first) if len(first) else all_counts
 
 
+def planes(values: np.ndarray) -> np.ndarray:
+    """The values' bytes by significance, the lowest of all first: those that are alike pack well side by side."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.ravel()
+
+
+def of_planes(data: np.ndarray, kind: str) -> np.ndarray:
+    """The values of ``planes``."""
+    return np.ascontiguousarray(data.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -235,17 +245,16 @@ def _bucket(turned: np.ndarray, n: int) -> np.ndarray:
     return (mix(turned >> np.uint64(4 * BITS)) % np.uint64(n)).astype(np.int64)
 
 
-CODES, WORDS, TEXTS = 0, 1, 2
+CODES, TEXTS = 0, 1
 
 
 def _sent(rows: DataFrame, n: int) -> DataFrame:
-    """``kind, bucket, chunk, payload``: each chunk's texts, its distinct codes by bucket with their counts in training texts, and words.
+    """``kind, bucket, chunk, payload``: each chunk's texts, and its distinct codes by bucket with their counts in training texts.
 
     Codes that begin alike after ``rotated`` share a bucket, so that they pack well.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
         chunk = TaskContext.get().partitionId() << 32
 
         def batch(kind: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -255,68 +264,84 @@ def _sent(rows: DataFrame, n: int) -> DataFrame:
                 ["kind", "bucket", "chunk", "payload"],
             )
 
-        def sent_words() -> pa.RecordBatch:
-            keys, times = list(words), np.fromiter(words.values(), np.int64, len(words))
-            words.clear()
-            return batch(WORDS, [
-                (b, packed(times[rows], np.frombuffer(packed_words(pa.array([keys[i] for i in rows], pa.large_binary())), np.uint8)))
-                for b, rows in _split(np.array([zlib.crc32(w) % n for w in keys], np.int64))
-            ])
-
-        def sent_chunk(held: list[pa.RecordBatch], codes: list[np.ndarray], times: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for piece in held:
-                    out.write_batch(piece)
-            yield batch(TEXTS, [(0, sink.getvalue().to_pybytes())])
+        def sent_chunk(texts: bytes, codes: list[np.ndarray], times: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            yield batch(TEXTS, [(0, texts)])
             turned, counts = summed(codes, times)
-            steps = ((b, packed(np.diff(turned[rows], prepend=np.uint64(0)), counts[rows].astype(np.uint32))) for b, rows in _split(_bucket(turned, n)))
+            steps = (
+                (b, packed(planes(np.diff(turned[rows], prepend=np.uint64(0))), planes(counts[rows].astype(np.uint32))))
+                for b, rows in _split(_bucket(turned, n))
+            )
             yield batch(CODES, list(steps))
 
-        held, codes, times, size = [], [], [], 0
-        for piece in pieces(batches, n_bytes=1 << 20):
+        sink, texts, codes, times, size = None, None, [], [], 0
+        for piece in pieces(batches, n_bytes=TEXT_PIECE):
             data, offsets = bytes_of(piece.column(2)), offsets_of(piece.column(2))
             out = piece.column(1).to_numpy(zero_copy_only=False).astype(bool)
             own, ends = coded(data, offsets)
             turned, at = np.unique(rotated(own), return_inverse=True)
-            held.append(piece)
+            if texts is None:
+                sink = pa.BufferOutputStream()
+                texts = pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3)))
+            texts.write_batch(piece)
             codes.append(turned)
             times.append(np.bincount(at, np.repeat(~out, np.diff(ends)), len(turned)).astype(np.int64))
+            if len(codes) > 4:
+                codes, times = ([x] for x in summed(codes, times))
             size += len(data)
-            for a, b in zip(offsets[:-1][~out], offsets[1:][~out]):
-                words.update(data[a:b].tobytes().lower().split())
-            if len(words) > HELD_WORDS:
-                yield sent_words()
             if size >= CHUNK_BYTES:
-                yield from sent_chunk(held, codes, times)
-                held, codes, times, size, chunk = [], [], [], 0, chunk + 1
-        if held:
-            yield from sent_chunk(held, codes, times)
-        if words:
-            yield sent_words()
+                texts.close()
+                yield from sent_chunk(sink.getvalue().to_pybytes(), codes, times)
+                sink, texts, codes, times, size, chunk = None, None, [], [], 0, chunk + 1
+        if texts is not None:
+            texts.close()
+            yield from sent_chunk(sink.getvalue().to_pybytes(), codes, times)
 
     return stable(rows.mapInArrow(send, "kind int, bucket int, chunk bigint, payload binary"))
 
 
 def _unpacked_codes(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    steps, times = unpacked(payload, "<u8", "<u4")
-    return np.cumsum(steps, dtype=np.uint64), times.astype(np.int64)
+    steps, times = unpacked(payload, "u1", "u1")
+    return np.cumsum(of_planes(steps, "<u8"), dtype=np.uint64), of_planes(times, "<u4").astype(np.int64)
 
 
-def _words(sent: DataFrame) -> DataFrame:
+def _words(rows: DataFrame, n: int) -> DataFrame:
     """``word, n`` of all training texts."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            keys = sorted(words)
+            times = np.array([words[w] for w in keys], np.int64)
+            words.clear()
+            parts = [
+                (b, packed(planes(times[rows]), np.frombuffer(packed_words(pa.array([keys[i] for i in rows], pa.large_binary())), np.uint8)))
+                for b, rows in _split(np.array([zlib.crc32(w) % n for w in keys], np.int64))
+            ]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([b for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["bucket", "payload"]
+            )
+
+        for piece in pieces(batches, n_bytes=TEXT_PIECE):
+            data, offsets = bytes_of(piece.column(0)), offsets_of(piece.column(0))
+            for a, b in zip(offsets[:-1], offsets[1:]):
+                words.update(data[a:b].tobytes().lower().split())
+            if len(words) > HELD_WORDS:
+                yield counted()
+        if words:
+            yield counted()
+
     def merge(table: pa.Table) -> pa.Table:
         words, times = [pa.array([], pa.large_binary())], [np.zeros(0, np.int64)]
         for payload in table.column("payload").to_pylist():
-            own, listed = unpacked(payload, "<i8", "u1")
+            own, listed = unpacked(payload, "u1", "u1")
             words.append(unpacked_words(listed.tobytes()))
-            times.append(own)
+            times.append(of_planes(own, "<i8"))
         listed = pa.concat_arrays(words).dictionary_encode()
         sums = np.bincount(listed.indices.to_numpy(), np.concatenate(times), len(listed.dictionary)).astype(np.int64)
         return pa.table([listed.dictionary.cast(pa.binary()).cast(pa.string()), pa.array(sums, pa.int64())], names=["word", "n"])
 
-    held = sent.where(F.col("kind") == WORDS).select("bucket", "payload")
+    held = rows.where(~F.col("held_out")).select("text").mapInArrow(count, "bucket int, payload binary")
     return stable(held.groupBy("bucket").applyInArrow(merge, "word string, n bigint"))
 
 
@@ -363,7 +388,7 @@ def _answers(sent: DataFrame, lower: list[dict]) -> DataFrame:
         masks = (np.uint64((1 << BITS * (k + 1)) - 1) for k in range(GLOBAL + 1, ORDER + 1))
         levels = below + lookups(orders([summed([known & m], [counts[counts > 0]]) for m in masks], lower))
         logs = np.concatenate([log_probabilities(straight(asked[a : a + 200_000]), levels) for a in range(0, len(asked), 200_000)]).astype(np.float32)
-        replies = [packed(logs[asked.searchsorted(_unpacked_codes(payload.as_py())[0])]) for payload in table.column("payload")]
+        replies = [packed(planes(logs[asked.searchsorted(_unpacked_codes(payload.as_py())[0])])) for payload in table.column("payload")]
         return pa.table([table.column("chunk"), table.column("bucket"), pa.array(replies, pa.binary())], names=["chunk", "bucket", "payload"])
 
     held = sent.where(F.col("kind") == CODES).select("chunk", "bucket", "payload")
@@ -393,7 +418,7 @@ def score(
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_buckets = max(1, -(-n_bytes // BUCKET_BYTES))
     sent = _sent(rows, n_buckets)
-    words = _words(sent)
+    words = _words(rows, n_buckets)
     answers = _answers(sent, _lower(sent))
     n_ends = rows.where(~F.col("held_out")).count()
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -410,40 +435,45 @@ def score(
         heavy, parts = shared.value, []
         answered = dict(zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist()))
         for payload in chunks.column("payload").to_pylist():
-            texts = pa.ipc.open_stream(payload).read_all().combine_chunks()
-            piece = texts.to_batches()[0]
-            data, offsets = bytes_of(piece.column(2)), offsets_of(piece.column(2))
-            codes, ends = coded(data, offsets)
-            turned, at = np.unique(rotated(codes), return_inverse=True)
-            logs = np.zeros(len(turned))
-            for b, rows in _split(_bucket(turned, n_buckets)):
-                logs[rows] = unpacked(answered[b], "<f4")[0]
-            scores = np.add.reduceat(logs[at], ends[:-1])
-            n_tokens, n_known, base, rare, n_rare, until = [], [], [], [], [], [0]
-            for a, b in zip(offsets[:-1], offsets[1:]):
-                found = data[a:b].tobytes().lower().split()
-                known, total = int(n_ends > 0), end
-                for word, times in Counter(found).items():
-                    value = heavy.get(word)
-                    if value is None:
-                        rare.append(word)
-                        n_rare.append(times)
-                        total += times * unknown  # unless the join finds it
-                    else:
-                        known += times
-                        total += times * value
-                n_tokens.append(len(found) + 1)
-                n_known.append(known)
-                base.append(total)
-                until.append(len(rare))
-            pairs = pa.StructArray.from_arrays(
-                [pa.array(rare, pa.binary()).cast(pa.string()), pa.array(n_rare, pa.int32())], ["word", "times"]
-            )
-            parts.append(pa.RecordBatch.from_arrays(
-                [piece.column(0), piece.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                 pa.array(base), pa.array(scores), pa.ListArray.from_arrays(pa.array(until, pa.int32()), pairs)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
-            ))
+            asked = []
+            for piece in pa.ipc.open_stream(payload):
+                asked.append(np.unique(rotated(coded(bytes_of(piece.column(2)), offsets_of(piece.column(2)))[0])))
+                if len(asked) > 4:
+                    asked = [np.unique(np.concatenate(asked))]
+            asked = np.unique(np.concatenate(asked))
+            logs = np.zeros(len(asked), np.float32)
+            for b, rows in _split(_bucket(asked, n_buckets)):
+                logs[rows] = of_planes(unpacked(answered[b], "u1")[0], "<f4")
+            for piece in pa.ipc.open_stream(payload):
+                data, offsets = bytes_of(piece.column(2)), offsets_of(piece.column(2))
+                codes, ends = coded(data, offsets)
+                turned, at = np.unique(rotated(codes), return_inverse=True)
+                scores = np.add.reduceat(logs[asked.searchsorted(turned)].astype(np.float64)[at], ends[:-1])
+                n_tokens, n_known, base, rare, n_rare, until = [], [], [], [], [], [0]
+                for a, b in zip(offsets[:-1], offsets[1:]):
+                    found = data[a:b].tobytes().lower().split()
+                    known, total = int(n_ends > 0), end
+                    for word, times in Counter(found).items():
+                        value = heavy.get(word)
+                        if value is None:
+                            rare.append(word)
+                            n_rare.append(times)
+                            total += times * unknown  # unless the join finds it
+                        else:
+                            known += times
+                            total += times * value
+                    n_tokens.append(len(found) + 1)
+                    n_known.append(known)
+                    base.append(total)
+                    until.append(len(rare))
+                pairs = pa.StructArray.from_arrays(
+                    [pa.array(rare, pa.binary()).cast(pa.string()), pa.array(n_rare, pa.int32())], ["word", "times"]
+                )
+                parts.append(pa.RecordBatch.from_arrays(
+                    [piece.column(0), piece.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
+                     pa.array(base), pa.array(scores), pa.ListArray.from_arrays(pa.array(until, pa.int32()), pairs)],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+                ))
         return pa.Table.from_batches(parts)
 
     chunks = sent.where(F.col("kind") == TEXTS).select("chunk", "payload")
@@ -454,6 +484,7 @@ def score(
             "rare array<struct<word:string,times:int>>",
         ).withColumn("row", F.monotonically_increasing_id())
     )
+    drop_table(sent)
     uncommon = words.where(F.col("n") < least)
     gained = (
         measured.select("row", F.inline("rare"))
