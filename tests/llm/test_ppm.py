@@ -119,6 +119,15 @@ def test_codes_turn_back():
     assert (ppm.straight(ppm.rotated(codes)) == codes).all()
 
 
+def test_codes_are_told_apart_by_sorting():
+    codes = np.random.default_rng(2).integers(0, 50, 1000, dtype=np.uint64)
+    for some in (codes, codes[:1], codes[:0]):
+        values, at = np.unique(some, return_inverse=True)
+        assert ppm.deduped(some).tolist() == values.tolist()
+        assert [x.tolist() for x in ppm.placed(some)] == [values.tolist(), at.tolist()]
+        assert (ppm.of_planes(ppm.planes(some), "<u8") == some).all()
+
+
 def test_no_count_is_cut_above_a_million_symbols(docs_of, monkeypatch):
     """Continuations seen once count as well where a millionth of all symbols is more than one; in many buckets and chunks."""
     monkeypatch.setattr(ppm, "BUCKET_BYTES", 40_000)
