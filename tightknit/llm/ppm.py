@@ -7,7 +7,7 @@ length, end included, as a log10 probability.
 
 Counts come from all training texts, and none is cut. Each chunk of texts, large so that few codes travel twice, asks for its distinct codes, a symbol with all of
 its context, at buckets of their last ``GLOBAL`` + 1 context symbols; there all counts of these contexts and of the longer ones
-meet, the bucket builds their part of the trie and answers the chunk. Only the orders up to ``GLOBAL``, which the
+meet, the bucket builds their part of the trie and answers the chunk, with the codes. Only the orders up to ``GLOBAL``, which the
 alphabet bounds, go to every task. As what follows a context also follows its shorter ones, one pass of lookups per
 order gives every score.
 
@@ -41,10 +41,10 @@ WORD_SHARE = 1e-6
 #: Symbols: 0 stands before a text, 1 to 256 are bytes, 257 is a text's end.
 BITS, END, SYMBOLS = 9, 257, 257
 EMPTY = np.uint64(2**64 - 1)
-#: Words that a task sums before it sends them; codes that a bucket holds before it sums them.
-HELD_WORDS, HELD_CODES = 300_000, 3_000_000
+#: Words that a task sums before it sends them; codes that a bucket holds before it sums them; codes of one run that are merged at once.
+HELD_WORDS, HELD_CODES, MERGED_CODES = 300_000, 3_000_000, 200_000
 #: Bytes of texts that ask together, in pieces; a longer text asks alone. The more ask together, the fewer codes are asked for twice.
-CHUNK_BYTES, TEXT_PIECE = 16 << 20, 1 << 20
+CHUNK_BYTES, TEXT_PIECE = 16 << 20, 1 << 19
 #: Bytes of text for each bucket that counts are merged in.
 BUCKET_BYTES = 8 << 20
 
@@ -222,7 +222,19 @@ def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     order = np.argsort(all_codes, kind="stable")
     all_codes = all_codes[order]
     first = np.flatnonzero(np.concatenate([[True], all_codes[1:] != all_codes[:-1]])[: len(order)])
-    return all_codes[first], np.add.reduceat(all_counts[order], first) if len(first) else all_counts
+    return all_codes[first], np.add.reduceat(all_counts[order], first, dtype=all_counts.dtype) if len(first) else all_counts
+
+
+def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``summed`` of runs of which each is in order, range by range, so that little more than runs and result is held."""
+    longest = max(codes, key=len)
+    cuts = longest[MERGED_CODES::MERGED_CODES]
+    bounds = [[0, *run.searchsorted(cuts).tolist(), len(run)] for run in codes]
+    parts = [
+        summed([run[at[i] : at[i + 1]] for run, at in zip(codes, bounds)], [n[at[i] : at[i + 1]] for n, at in zip(counts, bounds)])
+        for i in range(len(cuts) + 1)
+    ]
+    return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
 
 
 def deduped(codes: np.ndarray) -> np.ndarray:
@@ -241,6 +253,48 @@ def placed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], at
 
 
+def counted(codes: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and how often each one is not held out. Values alone are sorted, with ``out`` as their spare 64th bit."""
+    ordered = codes << np.uint64(1) | out
+    ordered.sort()
+    training = (~ordered & np.uint64(1)).astype(np.uint32)
+    ordered >>= np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+    return ordered[first], np.add.reduceat(training, first, dtype=np.uint32) if len(first) else training
+
+
+def looked_up(keys: np.ndarray, asked: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """The log of each key, all of which are among ``asked``, in order. Keys are mixed numbers.
+
+    They are sorted by their high bits with their places as the low ones; equal keys that others part are looked up again.
+    """
+    bits = np.uint64(len(keys).bit_length())
+    at = keys >> bits << bits | np.arange(len(keys), dtype=np.uint64)
+    at.sort()
+    at = (at & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
+    ordered = keys[at]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+    found = np.empty(len(keys))
+    found[at] = np.repeat(logs[asked.searchsorted(ordered[first])], np.diff(np.append(first, len(keys))))
+    return found
+
+
+_BLANK = np.isin(np.arange(256), [*b" \t\n\v\f\r"])
+_LOWERED = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The lower-cased words of the texts, one after the other, and the texts' offsets in these."""
+    word, edge = ~_BLANK[data], np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    begins = np.flatnonzero(word & (np.concatenate([[True], ~word[:-1]]) | edge[:-1]))
+    ends = np.flatnonzero(word & (np.concatenate([~word[1:], [True]]) | edge[1:])) + 1
+    at = np.concatenate([[0], np.cumsum(ends - begins)])
+    values = _LOWERED[data[word]]
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(at), pa.py_buffer(values)])
+    return found.dictionary_encode(), begins.searchsorted(offsets)
+
+
 def planes(values: np.ndarray) -> np.ndarray:
     """The values' bytes by significance, the lowest of all first: those that are alike pack well side by side."""
     return values.view(np.uint8).reshape(len(values), values.itemsize).T.ravel()
@@ -282,9 +336,10 @@ def _sent(rows: DataFrame, n: int) -> DataFrame:
 
         def sent_chunk(texts: bytes, codes: list[np.ndarray], times: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             yield batch(TEXTS, [(0, texts)])
-            turned, counts = summed(codes, times)
+            turned, counts = merged(codes, times)
+            codes.clear(), times.clear()
             steps = (
-                (b, packed(planes(np.diff(turned[rows], prepend=np.uint64(0))), planes(counts[rows].astype(np.uint32))))
+                (b, packed(planes(np.diff(turned[rows], prepend=np.uint64(0))), planes(counts[rows])))
                 for b, rows in _split(_bucket(turned, n))
             )
             yield batch(CODES, list(steps))
@@ -294,15 +349,15 @@ def _sent(rows: DataFrame, n: int) -> DataFrame:
             data, offsets = bytes_of(piece.column(2)), offsets_of(piece.column(2))
             out = piece.column(1).to_numpy(zero_copy_only=False).astype(bool)
             own, ends = coded(data, offsets)
-            turned, at = placed(rotated(own))
+            turned, training = counted(rotated(own), np.repeat(out, np.diff(ends)))
             if texts is None:
                 sink = pa.BufferOutputStream()
                 texts = pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3)))
             texts.write_batch(piece)
             codes.append(turned)
-            times.append(np.bincount(at, np.repeat(~out, np.diff(ends)), len(turned)).astype(np.int64))
-            if len(codes) > 4:
-                codes, times = ([x] for x in summed(codes, times))
+            times.append(training)
+            if len(codes) > 8:
+                codes, times = ([x] for x in merged(codes, times))
             size += len(data)
             if size >= CHUNK_BYTES:
                 texts.close()
@@ -326,7 +381,7 @@ def _words(rows: DataFrame, n: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
 
-        def counted() -> pa.RecordBatch:
+        def summed_words() -> pa.RecordBatch:
             keys = sorted(words)
             times = np.array([words[w] for w in keys], np.int64)
             words.clear()
@@ -340,12 +395,13 @@ def _words(rows: DataFrame, n: int) -> DataFrame:
 
         for piece in pieces(batches, n_bytes=TEXT_PIECE):
             data, offsets = bytes_of(piece.column(0)), offsets_of(piece.column(0))
-            for a, b in zip(offsets[:-1], offsets[1:]):
-                words.update(data[a:b].tobytes().lower().split())
+            found = words_of(data, offsets)[0]
+            for word, times in zip(found.dictionary.to_numpy(zero_copy_only=False), np.bincount(found.indices, minlength=len(found.dictionary)).tolist()):
+                words[word] += times
             if len(words) > HELD_WORDS:
-                yield counted()
+                yield summed_words()
         if words:
-            yield counted()
+            yield summed_words()
 
     def merge(table: pa.Table) -> pa.Table:
         words, times = [pa.array([], pa.large_binary())], [np.zeros(0, np.int64)]
@@ -385,7 +441,7 @@ def _lower(sent: DataFrame) -> list[dict]:
 
 
 def _answers(sent: DataFrame, lower: list[dict]) -> DataFrame:
-    """``chunk, bucket, payload``: log10 probabilities of the codes that the chunk sent to the bucket, in their order."""
+    """``chunk, payload``: the codes that the chunk sent to a bucket, with their log10 probabilities."""
     shared = sent.sparkSession.sparkContext.broadcast((lower, lookups(lower)))
 
     def answer(table: pa.Table) -> pa.Table:
@@ -397,18 +453,22 @@ def _answers(sent: DataFrame, lower: list[dict]) -> DataFrame:
             counts.append(times)
             size += len(turned)
             if size > HELD_CODES:
-                merged, times = summed(codes, counts)
-                codes, counts, size = [merged], [times], 0
-        asked, counts = summed(codes, counts)
+                together, times = merged(codes, counts)
+                codes, counts, size = [together], [times], 0
+        asked, counts = merged(codes, counts)
+        del codes
         known = straight(asked[counts > 0])
         masks = (np.uint64((1 << BITS * (k + 1)) - 1) for k in range(GLOBAL + 1, ORDER + 1))
         levels = below + lookups(orders([summed([known & m], [counts[counts > 0]]) for m in masks], lower))
         logs = np.concatenate([log_probabilities(straight(asked[a : a + 200_000]), levels) for a in range(0, len(asked), 200_000)]).astype(np.float32)
-        replies = [packed(planes(logs[asked.searchsorted(_unpacked_codes(payload.as_py())[0])])) for payload in table.column("payload")]
-        return pa.table([table.column("chunk"), table.column("bucket"), pa.array(replies, pa.binary())], names=["chunk", "bucket", "payload"])
+        replies = []
+        for payload in table.column("payload"):
+            steps = unpacked(payload.as_py(), "u1", "u1")[0]
+            replies.append(packed(steps, planes(logs[asked.searchsorted(np.cumsum(of_planes(steps, "<u8"), dtype=np.uint64))])))
+        return pa.table([table.column("chunk"), pa.array(replies, pa.binary())], names=["chunk", "payload"])
 
     held = sent.where(F.col("kind") == CODES).select("chunk", "bucket", "payload")
-    return held.groupBy("bucket").applyInArrow(answer, "chunk bigint, bucket int, payload binary")
+    return held.groupBy("bucket").applyInArrow(answer, "chunk bigint, payload binary")
 
 
 def score(
@@ -448,42 +508,35 @@ def score(
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def measure(chunks: pa.Table, replies: pa.Table) -> pa.Table:
-        heavy, parts = shared.value, []
-        answered = dict(zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist()))
-        for payload in chunks.column("payload").to_pylist():
-            asked = []
-            for piece in pa.ipc.open_stream(payload):
-                asked.append(deduped(rotated(coded(bytes_of(piece.column(2)), offsets_of(piece.column(2)))[0])))
-                if len(asked) > 4:
-                    asked = [deduped(np.concatenate(asked))]
-            asked = deduped(np.concatenate(asked))
-            logs = np.zeros(len(asked), np.float32)
-            for b, rows in _split(_bucket(asked, n_buckets)):
-                logs[rows] = of_planes(unpacked(answered[b], "u1")[0], "<f4")
-            for piece in pa.ipc.open_stream(payload):
+        heavy, parts, asked, logs = shared.value, [], [], []
+        for payload in replies.column("payload"):
+            steps, own = unpacked(payload.as_py(), "u1", "u1")
+            asked.append(mix(np.cumsum(of_planes(steps, "<u8"), dtype=np.uint64)))
+            logs.append(of_planes(own, "<f4"))
+        asked, logs = np.concatenate(asked), np.concatenate(logs)
+        order = np.argsort(asked)
+        asked, logs = asked[order], logs[order]
+        del order
+        for payload in chunks.column("payload"):
+            for piece in pa.ipc.open_stream(payload.as_buffer()):
                 data, offsets = bytes_of(piece.column(2)), offsets_of(piece.column(2))
                 codes, ends = coded(data, offsets)
-                turned, at = placed(rotated(codes))
-                scores = np.add.reduceat(logs[asked.searchsorted(turned)].astype(np.float64)[at], ends[:-1])
-                n_tokens, n_known, base, rare, n_rare, until = [], [], [], [], [], [0]
-                for a, b in zip(offsets[:-1], offsets[1:]):
-                    found = data[a:b].tobytes().lower().split()
-                    known, total = int(n_ends > 0), end
-                    for word, times in Counter(found).items():
-                        value = heavy.get(word)
-                        if value is None:
-                            rare.append(word)
-                            n_rare.append(times)
-                            total += times * unknown  # unless the join finds it
-                        else:
-                            known += times
-                            total += times * value
-                    n_tokens.append(len(found) + 1)
-                    n_known.append(known)
-                    base.append(total)
-                    until.append(len(rare))
+                scores = np.add.reduceat(looked_up(mix(rotated(codes)), asked, logs), ends[:-1])
+                found, begins = words_of(data, offsets)
+                values = np.array([heavy.get(word, math.nan) for word in found.dictionary.to_numpy(zero_copy_only=False)], float)
+                word = found.indices.to_numpy()
+                value, text = values[word], np.repeat(np.arange(len(offsets) - 1), np.diff(begins))
+                uncommon = np.isnan(value)
+                value[uncommon] = unknown  # unless the join finds them
+                n_rare = np.bincount(text[uncommon], minlength=len(offsets) - 1)
+                base = end + np.bincount(text, value, len(offsets) - 1)
+                n_tokens = np.diff(begins) + 1
+                n_known = n_tokens - n_rare - int(n_ends == 0)
+                own, times = np.unique(text[uncommon] * len(values) + word[uncommon], return_counts=True)
+                rare = found.dictionary.take(pa.array(own % max(len(values), 1)))
+                until = (own // max(len(values), 1)).searchsorted(np.arange(len(offsets)))
                 pairs = pa.StructArray.from_arrays(
-                    [pa.array(rare, pa.binary()).cast(pa.string()), pa.array(n_rare, pa.int32())], ["word", "times"]
+                    [rare.cast(pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], ["word", "times"]
                 )
                 parts.append(pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
